@@ -5,15 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm.cluster import load
+from spindrift.llm.decontam import contamination
+from spindrift.llm.mixing import mix
 from spindrift.llm.neardup import near_duplicates
+from spindrift.llm.spans import dedup_spans
+from spindrift.llm.toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(load(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose a repeated passage, with the text that is left of them."""
+    return dedup_spans(load(spark, sf_dir, "documents")).where("n_removed > 0")
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_minhash_neardup": op3_minhash_neardup,
+    "op5_decontamination": op5_decontamination,
+    "op6_mixing": op6_mixing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
-
 ORACLES: dict[str, str] = {}
