@@ -9,8 +9,8 @@ Plan: one pass over the texts makes set digest, band keys and a byte signature;
 sets collapse to their smallest id; every LSH bucket compares its smallest member with the others
 (linear in the bucket); pairs are confirmed on the full sets; components follow.  Whatever a bucket
 still holds in several components is then compared across those components in fixed-size blocks, a
-signature estimate first and the full sets after, so no group is expanded into all its pairs and no
-link between different texts that shares a band is left out.
+signature estimate first and the full sets after; a block gives at most one row for a document and a
+component, so no group is expanded into its pairs, and no link between components is left out.
 """
 
 from __future__ import annotations
@@ -133,25 +133,65 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between components inside the buckets of rows(bucket, i, j, part, rep, n, comp, sig)."""
+def _stray_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct (x, comp): member x may have a link to a member of component comp, by rows(bucket, i, j, part, rep, n, comp, sig).
+
+    Looks at every pair of members of a block whose components differ, and keeps one row for a member and
+    a component, however many pairs of them pass the signature estimate.
+    """
 
     def run(key, table):
         del key
         rep, n, comp, part = (np.asarray(table.column(c)) for c in ("rep", "n", "comp", "part"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(len(rep), -1)
         left, right = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
-        a, b = [], []
+        xs, cs = [], []
         for x in left:
-            small_, large = np.minimum(n[x], n[right]), np.maximum(n[x], n[right])
-            y = right[(comp[right] != comp[x]) & (small_ * 100 >= percent * large)]
-            y = y[(sig[y] == sig[x]).mean(axis=1) >= FLOOR] if len(y) else y
-            a.append(np.minimum(rep[y], rep[x]))
-            b.append(np.maximum(rep[y], rep[x]))
+            y = right[comp[right] < comp[x]]
+            y = y[np.minimum(n[x], n[y]) * 100 >= percent * np.maximum(n[x], n[y])]
+            if len(y):
+                c = np.unique(comp[y[(sig[y] == sig[x]).mean(axis=1) >= FLOOR]])
+                xs.append(np.full(len(c), rep[x]))
+                cs.append(c)
         empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate(a) if a else empty, "b": np.concatenate(b) if b else empty})
+        return pa.table({"x": np.concatenate(xs) if xs else empty, "comp": np.concatenate(cs) if cs else empty})
 
-    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "x long, comp long").distinct()
+
+
+def _first_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b): for each x of a block the first member of the component it is linked with, on full sets.
+
+    rows(comp, i, j, part, id, s): part 0 are the strays x, part 1 the component's members.
+    """
+
+    def run(key, table):
+        del key
+        ids, part = (np.asarray(table.column(c)) for c in ("id", "part"))
+        sets = table.column("s").combine_chunks()
+        off, flat = np.asarray(sets.offsets), np.asarray(sets.values)
+        left, right = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
+        size = np.diff(off)
+        values = np.concatenate([flat[off[y] : off[y + 1]] for y in right]) if len(right) else flat[:0]
+        owner = np.repeat(np.arange(len(right)), size[right])
+        a, b = [], []
+        for x in left:
+            mine = np.sort(flat[off[x] : off[x + 1]])
+            at = np.minimum(np.searchsorted(mine, values), max(0, len(mine) - 1))
+            common = np.bincount(owner[mine[at] == values], minlength=len(right)) if len(mine) else np.zeros(len(right), np.int64)
+            hit = np.flatnonzero(100 * common >= percent * (size[x] + size[right] - common))
+            if len(hit):
+                a.append(min(ids[right[hit[0]]], ids[x]))
+                b.append(max(ids[right[hit[0]]], ids[x]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("comp", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _grid(df: DataFrame, part: int, rows: str, columns: str, own: str) -> DataFrame:
+    """Deals one side over a grid of rows x columns blocks: part 0 to one row and every column, part 1 the other way."""
+    block, every = F.pmod(F.xxhash64(own), F.col(rows if part == 0 else columns)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(columns if part == 0 else rows) - 1))
+    return df.withColumn("i", block if part == 0 else every).withColumn("j", every if part == 0 else block).withColumn("part", F.lit(part)).drop(rows, columns)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -175,20 +215,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = cut(confirm(docs, star, k, percent))
     first = components(links)
 
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     labelled = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     mixed = (
         labelled.groupBy("bucket").agg(F.min("comp").alias("main"), F.max("comp").alias("top"), F.count("*").alias("size"))
-        .where("main <> top").select("bucket", "main", "size")
+        .where("main <> top").select("bucket", "main", blocks("size").alias("rows"), blocks("size").alias("columns"))
     )
     rest = labelled.join(mixed, "bucket").join(classes.select("rep", "sig"), "rep")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rest = rest.select("bucket", "rep", "n", "comp", "sig", "main", blocks.alias("nb"), own.alias("own"))
-    # strays (outside the bucket's main component) against all members: strays go to one row of blocks, members to one column
-    left = rest.where("comp <> main").select("bucket", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(0).alias("part"), "rep", "n", "comp", "sig")
-    right = rest.select("bucket", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.col("own").alias("j"), F.lit(1).alias("part"), "rep", "n", "comp", "sig")
-    cross = cut(_across(left.unionByName(right), percent))
-    more = cut(confirm(docs, cross.join(star, ["a", "b"], "left_anti"), k, percent))
+    left, right = _grid(rest.where("comp <> main"), 0, "rows", "columns", "rep"), _grid(rest, 1, "rows", "columns", "rep")
+    stray = cut(_stray_rows(left.unionByName(right).drop("main"), percent))
+    members = classes.select("rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("rep").alias("id"), F.coalesce("component", "rep").alias("comp"))
+    members = cut(members.join(stray.select("comp").distinct(), "comp"))
+    shape = stray.groupBy("comp").agg(F.count("*").alias("x")).join(members.groupBy("comp").agg(F.count("*").alias("y")), "comp").select("comp", blocks("x").alias("rows"), blocks("y").alias("columns"))
+    left = _grid(stray.withColumnRenamed("x", "id").join(shape, "comp"), 0, "rows", "columns", "id")
+    right = _grid(members.join(shape, "comp"), 1, "rows", "columns", "id")
+    ids = cut(stray.select(F.col("x").alias("doc_id")).unionByName(members.select(F.col("id").alias("doc_id"))).distinct())
+    sets = _full_sets(columns_only(docs, "doc_id", "text").join(small(ids), "doc_id", "left_semi"), k)
+    more = cut(_first_links(left.unionByName(right).join(sets, "id"), percent))
 
     final = components(links.unionByName(more))
     owner = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
