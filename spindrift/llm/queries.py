@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm.cluster import load
 from spindrift.llm.decontam import contamination
+from spindrift.llm.langid import languages
+from spindrift.llm.lm import score_texts
+from spindrift.llm.media import encode, inspect
 from spindrift.llm.mixing import mix
 from spindrift.llm.neardup import near_duplicates
+from spindrift.llm.quality import quality
 from spindrift.llm.spans import dedup_spans
 from spindrift.llm.toxicity import toxicity
 
@@ -16,10 +20,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(load(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -28,16 +40,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(load(spark, sf_dir, "documents"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect(encode(load(spark, sf_dir, "documents"))).drop("carved")
+
+
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(load(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that lose a repeated passage, with the text that is left of them."""
     return dedup_spans(load(spark, sf_dir, "documents")).where("n_removed > 0")
 
 
 QUERIES = {
-    "op1_toxicity": op1_toxicity,
-    "op3_minhash_neardup": op3_minhash_neardup,
-    "op5_decontamination": op5_decontamination,
-    "op6_mixing": op6_mixing,
-    "op10_substring_dedup": op10_substring_dedup,
+    q.__name__: q
+    for q in (op1_toxicity, op2_quality, op3_minhash_neardup, op4_language, op5_decontamination, op6_mixing, op7_media, op9_class_lm, op10_substring_dedup)
 }
 ORACLES: dict[str, str] = {}
