@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spindrift.llm.cluster import load
 from spindrift.llm.decontam import contamination
 from spindrift.llm.langid import languages
+from spindrift.llm.licenses import scan_licenses
 from spindrift.llm.lm import score_texts
 from spindrift.llm.media import encode, inspect
 from spindrift.llm.mixing import mix
@@ -44,6 +45,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect(encode(load(spark, sf_dir, "documents"))).drop("carved")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(load(spark, sf_dir, "documents"))
+
+
 def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(load(spark, sf_dir, "documents"))
 
@@ -55,6 +60,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (op1_toxicity, op2_quality, op3_minhash_neardup, op4_language, op5_decontamination, op6_mixing, op7_media, op9_class_lm, op10_substring_dedup)
+    for q in (op1_toxicity, op2_quality, op3_minhash_neardup, op4_language, op5_decontamination, op6_mixing, op7_media, op8_licenses, op9_class_lm, op10_substring_dedup)
 }
 ORACLES: dict[str, str] = {}

@@ -256,8 +256,8 @@ def fit(train: DataFrame, terms: list[str], base: float) -> tuple[dict[tuple[int
     return weight, logistic(x, y) if len(rows) and 0 < y.sum() < len(y) else np.array([-30.0, 0, 0, 0, 0, 0])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, modulus: int = 4, rest: int = 2) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_hits, terms) for each row of ``docs``.
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, modulus: int = 4, rest: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted, n_hits, terms) and the columns named by ``carry`` for each row of ``docs``.
 
     Learned from at most ``sample`` labelled rows outside the held-out fold.  Null and empty texts and
     texts without hits have the low score of such texts; with no usable labels every score is nearly 0.
@@ -283,10 +283,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(features(n, found, weight), w)))))))
                 hits.append(len(found))
                 names.append(",".join(sorted({terms[t] for t, _ in found})))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(hits, pa.int32()), pa.array(names, pa.string())], ["doc_id", "held_out", "score", "predicted", "n_hits", "terms"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(hits, pa.int32()), pa.array(names, pa.string()), *[batch.column(c) for c in carry]],
+                ["doc_id", "held_out", "score", "predicted", "n_hits", "terms", *carry],
+            )
 
-    rows = columns_only(docs, "doc_id", "text").select("doc_id", held_out(modulus, rest).alias("held_out"), "text")
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int, n_hits int, terms string")
+    rows = columns_only(docs, "doc_id", "text", *[c for c in carry if c != "text"]).withColumn("held_out", held_out(modulus, rest))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int, n_hits int, terms string" + (kinds and ", " + kinds))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
