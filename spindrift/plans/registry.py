@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from spindrift.plans import runs, web
+
+QUERIES: dict = web.QUERIES | runs.QUERIES
+ORACLES: dict = web.ORACLES | runs.ORACLES
