@@ -12,14 +12,19 @@ from pyspark.sql.types import StructType
 
 def struct_udf(schema: str):
     """Decorator: a function of pandas Series that returns one tuple a row becomes a vectorised UDF of ``struct<schema>``."""
-    names = StructType.fromDDL(schema).fieldNames()
 
     def wrap(rows):
-        def run(*columns: pd.Series) -> pd.DataFrame:
-            got = rows(*[c.astype(object).where(c.notna(), None) for c in columns])
-            return pd.DataFrame({n: pd.Series([r[i] for r in got], dtype=object) for i, n in enumerate(names)})
+        def column(*args):
+            # the schema is parsed here and not on import, which needs no session
+            names = StructType.fromDDL(schema).fieldNames()
 
-        return lambda *args: F.pandas_udf(_typed(run, len(args)), schema)(*args)
+            def run(*columns: pd.Series) -> pd.DataFrame:
+                got = rows(*[c.astype(object).where(c.notna(), None) for c in columns])
+                return pd.DataFrame({n: pd.Series([r[i] for r in got], dtype=object) for i, n in enumerate(names)})
+
+            return F.pandas_udf(_typed(run, len(args)), schema)(*args)
+
+        return column
 
     return wrap
 

@@ -135,7 +135,7 @@ def secret_scan(spark, sf_dir):
 
 @query("SELECT page_id, CAST(NULL AS VARCHAR) AS code FROM pages")
 def url_safety(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", safety.safety_udf("url").alias("code"))
+    return table(spark, sf_dir, "pages").select("page_id", safety.unsafe(F.col("url")).alias("code"))
 
 
 KEYS = "(VALUES ('X-Api-Key'), ('user'), ('Set-Cookie'), ('refresh_token_v2'), ('monkey'), ('client.secret'), ('Auth'), ('author'), ('passwd')) AS t(name)"
