@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-A first pass counts in how many documents each benchmark trigram occurs.  Every item keeps its rarest
-half as seeds; the ranking is within the item, so a passage copied into a third of all documents
-still has its seeds.  A second pass looks the seeds up in each document and aligns the item with the
+A first pass counts in how many documents each benchmark trigram occurs.  An item's seeds are its
+trigrams that are not much more frequent than its median one; the measure is the item's own, so a
+passage copied into a third of all documents still has its seeds.  A second pass looks the seeds up in each document and aligns the item with the
 stretch around the hits, word by word; the score of an alignment is its share of the item's perfect
 score, which edited and paraphrased copies keep to a large part.
 
@@ -26,6 +26,8 @@ from spindrift.llm.cluster import columns_only
 GRAM, MATCH, MISMATCH, GAP = 3, 2, -1, -1
 #: Share of an item's perfect score from which a passage counts as a copy; seeds that must agree on a place; characters of benchmark per block.
 THRESHOLD, SEEDS, BLOCK_CHARS = 0.5, 2, 16_000_000
+#: A trigram is a seed up to so many times the documents of its item's median trigram; one seed is enough for items below so many words.
+RARE, SHORT = 4, 16
 _U = np.uint64
 _BITS = 20
 
@@ -99,7 +101,7 @@ def passages(words: np.ndarray, index: _Index, items: list[np.ndarray], seeds: i
         start, end, where = start[order], end[order], pos[chunk][order]
         cut = np.flatnonzero(start[1:] > np.maximum.accumulate(end)[:-1]) + 1
         for part in np.split(np.arange(len(start)), cut):
-            if len(np.unique(where[part])) < min(seeds, max(1, size - GRAM)):
+            if len(np.unique(where[part])) < (1 if size < SHORT else seeds):
                 continue
             a, b = int(start[part[0]]), int(end[part].max())
             score, x, y = smith_waterman(items[it], words[a:b])
@@ -170,12 +172,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
             continue
         distinct, place = np.unique(flat, return_inverse=True)
         rarity = _frequencies(docs, distinct)[place]
-        order = np.lexsort((offset, rarity, owner))
-        rank = np.empty(len(flat), np.int64)
-        first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(items)))[:-1]])
-        rank[order] = np.arange(len(flat)) - first[owner[order]]
-        grams_of = np.bincount(owner, minlength=len(items))
-        use = rank < np.maximum((grams_of + 1) // 2, np.minimum(grams_of, 8))[owner]
+        usual = np.array([np.median(part) for part in np.split(rarity, np.flatnonzero(np.diff(owner)) + 1)])
+        use = rarity <= RARE * np.maximum(usual, 1.0)[owner]
         bc = spark.sparkContext.broadcast((ids, items, flat[use], owner[use], offset[use]))
 
         def scan(batches, bc=bc):
