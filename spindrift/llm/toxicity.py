@@ -253,14 +253,15 @@ def fit(train: DataFrame, terms: list[str], base: float) -> tuple[dict[tuple[int
             else:
                 weight[t, wrong] = 0.7 * weight.get((t, False), 0.0)
     x = np.array([features(r["n"], h, weight) for r, h in zip(rows, hits, strict=True)]).reshape(len(rows), 6)
-    return weight, logistic(x, y) if len(rows) and 0 < y.sum() < len(y) else np.array([-30.0, 0, 0, 0, 0, 0])
+    return weight, logistic(x, y) if terms and 0 < y.sum() < len(y) else np.array([-30.0, 0, 0, 0, 0, 0])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, modulus: int = 4, rest: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_hits, terms) and the columns named by ``carry`` for each row of ``docs``.
 
     Learned from at most ``sample`` labelled rows outside the held-out fold.  Null and empty texts and
-    texts without hits have the low score of such texts; with no usable labels every score is nearly 0.
+    texts without hits have the low score of such texts; with no usable labels, or none that
+    teach a term, every score is nearly 0.
     Repeated rows are scored each, a null doc_id is not held out, extra columns are ignored, an empty
     table gives an empty result.  Among equally near terms the first in order counts.
     """
