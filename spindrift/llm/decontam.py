@@ -134,7 +134,7 @@ def _frequencies(docs: DataFrame, wanted: np.ndarray) -> np.ndarray:
     def count(batches):
         hasher, found = tk.Hasher(tk.class_alnum()), np.zeros(len(bc.value), np.int64)
         index = _Index(bc.value, np.arange(len(found)), np.zeros(len(found), np.int64))
-        for batch in batches:
+        for batch in tk.pieces(batches):
             for t in tk.texts(batch.column("text")):
                 w = hasher.words(t)[2]
                 if len(w) >= GRAM:
@@ -179,7 +179,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
         def scan(batches, bc=bc):
             ids, items, h, owner, offset = bc.value
             hasher, index = tk.Hasher(tk.class_alnum()), _Index(h, owner, offset)
-            for batch in batches:
+            for batch in tk.pieces(batches):
                 got = [(doc, ids[i], score, a, z) for doc, t in zip(batch.column("doc_id").to_pylist(), tk.texts(batch.column("text")), strict=True) for i, score, a, z in passages(hasher.words(t)[2], index, items, seeds, threshold)]
                 cols = list(zip(*got, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "start_word", "end_word"])

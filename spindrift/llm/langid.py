@@ -16,6 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm import textkit as tk
 from spindrift.llm.cluster import columns_only, cut
 from spindrift.llm.labelled import held_out
 
@@ -96,7 +97,7 @@ def languages(docs: DataFrame, modulus: int = 3, rest: int = 1, sample: int = SA
 
     def score(batches):
         model = Classifier(bc.value)
-        for batch in batches:
+        for batch in tk.pieces(batches):
             got = [model.predict(t) for t in batch.column("text").to_pylist()]
             cols = list(zip(*got, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "accepted"])

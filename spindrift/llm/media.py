@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from spindrift.llm import textkit as tk
 from spindrift.llm.cluster import columns_only
 
 MAGIC = {
@@ -213,7 +214,7 @@ def encode(docs: DataFrame, declared: str = "application/octet-stream") -> DataF
     """(doc_id, n_bytes, declared, media): each text's UTF-8 bytes, null as empty, padded with zeros to a positive multiple of 64, as a WAV file."""
 
     def run(batches):
-        for batch in batches:
+        for batch in tk.pieces(batches):
             raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
             media = [wav(b + b"\x00" * (-len(b) % UNIT if b else UNIT)) for b in raw]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(b) for b in raw], pa.int64()), pa.array([declared] * len(raw), pa.string()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "declared", "media"])
@@ -231,7 +232,7 @@ def inspect(media: DataFrame) -> DataFrame:
 
     def run(batches):
         auto = automaton()
-        for batch in batches:
+        for batch in tk.pieces(batches):
             got = []
             for data, declared in zip(batch.column("media").to_pylist(), batch.column("declared").to_pylist(), strict=True):
                 data = data or b""

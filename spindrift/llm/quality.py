@@ -89,7 +89,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
 
     def count(batches):
         hasher = tk.Hasher(tk.class_space_delimited(), lower=False)
-        for batch in batches:
+        for batch in tk.pieces(batches):
             ats, ns = [], []
             for t in tk.texts(batch.column("text")):
                 parts = list(buckets(t, hasher))
@@ -108,7 +108,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
     def score(batches):
         weight, bias = bc.value
         hasher = tk.Hasher(tk.class_space_delimited(), lower=False)
-        for batch in batches:
+        for batch in tk.pieces(batches):
             out = []
             for t in tk.texts(batch.column("text")):
                 total, n = 0.0, 0

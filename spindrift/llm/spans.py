@@ -19,6 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm import textkit as tk
 from spindrift.llm.cluster import columns_only
 
 #: A run is the shortest one from its sentence on with SENTENCES sentences and WORDS words, or with LONG words.
@@ -80,7 +81,7 @@ def dedup_spans(docs: DataFrame, k: int = SENTENCES, words: int = WORDS, long: i
     """
 
     def emit(batches):
-        for batch in batches:
+        for batch in tk.pieces(batches):
             ids, hashes = [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h = np.unique(runs(text, k, words, long)[2])
@@ -90,7 +91,7 @@ def dedup_spans(docs: DataFrame, k: int = SENTENCES, words: int = WORDS, long: i
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes) if hashes else empty), pa.array(np.concatenate(ids) if ids else empty)], ["h", "doc_id"])
 
     def apply(batches):
-        for batch in batches:
+        for batch in tk.pieces(batches):
             got = [[], [], [], [], []]
             for text, remove, size in zip(*(batch.column(c).to_pylist() for c in ("text", "remove", "n_chars")), strict=True):
                 row = (text, 0, 0, 0) if text is None else strip(text, set(remove or ()), k, words, long)

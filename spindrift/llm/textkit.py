@@ -144,8 +144,11 @@ def texts(col: pa.Array | pa.ChunkedArray):
         yield empty if null is not None and null[i] else data[off[i] : off[i + 1]]
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def pieces(batches, rows: int = 1024):
+    """The batches cut to ``rows`` rows at most, which bounds what a task holds as Python values."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -20,6 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm import textkit as tk
 from spindrift.llm.cluster import columns_only, cut
 from spindrift.llm.labelled import held_out, training_texts
 
@@ -138,7 +139,7 @@ def learn(train: DataFrame, limit: int = TERMS) -> tuple[list[str], float]:
     """(terms, base rate); stems end in '*'.  Counts are made by the executors, once a document."""
 
     def count(batches):
-        for batch in batches:
+        for batch in tk.pieces(batches):
             pos: dict[str, int] = {}
             neg: dict[str, int] = {}
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
@@ -229,7 +230,7 @@ def fit(train: DataFrame, terms: list[str], base: float) -> tuple[dict[tuple[int
 
     def scan(batches):
         auto, memo = Automaton(words, stems), {}
-        for batch in batches:
+        for batch in tk.pieces(batches):
             rows = [find(t or "", auto, memo) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("y"), pa.array([n for n, _ in rows], pa.int64()), *[pa.array([[f(k, v) for k, v in h.items()] for _, h in rows], pa.list_(t)) for f, t in ((lambda k, _: k[0], pa.int32()), (lambda k, _: k[1], pa.bool_()), (lambda _, v: v, pa.float64()))]],
@@ -275,7 +276,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
     def score(batches):
         terms, weight, w = bc.value
         auto, memo = Automaton([t for t in terms if not t.endswith("*")], [t[:-1] for t in terms if t.endswith("*")]), {}
-        for batch in batches:
+        for batch in tk.pieces(batches):
             scores, hits, names = [], [], []
             for text in batch.column("text").to_pylist():
                 if len(auto.states) > 1 << 16:
