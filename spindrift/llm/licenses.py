@@ -35,7 +35,7 @@ def _family(label: str, name: str, short: str, versions: tuple[str, ...] = (), s
         tag = f"{label}-{v}"
         rules += [(tag, 3, f"{name}{_V}{at}"), (tag, 3, f"{short}(?: version| v)? ?{at}(?: (?:only|or later))? licensed?"), (tag, 3, f"spdx license identifier {short} {at}(?: (?:only|or later))?"), (tag, 3, f"licensed under{_THE} {short}{_V}{at}")]
         if v.endswith(".0") and v.count(".") == 1:
-            rules.append((tag, 3, f"{name}{_V}{v[:-2]}(?! \\d)"))
+            rules.append((tag, 2, f"{name}{_V}{v[:-2]}"))
     return rules
 
 
@@ -117,7 +117,7 @@ RULES: list[tuple[str, int, str]] = [
 
 def keyword(pattern: str) -> str:
     """The longest text that every match of a rule's pattern holds."""
-    plain = re.sub(r"\(\?:(?:[^()]|\([^()]*\))*\)\??|\(\?![^)]*\)|\[[^\]]*\]|\\d(?:\{\d\})?", "\n", pattern)
+    plain = re.sub(r"\(\?:(?:[^()]|\([^()]*\))*\)\??|\[[^\]]*\]|\\d(?:\{\d\})?", "\n", pattern)
     plain = re.sub(r".\?", "\n", plain)
     return max((p.strip() for p in plain.split("\n")), key=len)
 

@@ -28,8 +28,9 @@ from spindrift.llm.cluster import columns_only, components, cut, small
 
 #: Slots of a signature, and rows of a band: 40 bands of 5; at similarity 0.8 a pair shares no band once in 7 million times.
 SLOTS, ROWS = 200, 5
-#: Members of a bucket compared in one block, and the estimate under which a pair is not looked at (0.8 less about 4 deviations).
-BLOCK, FLOOR = 512, 0.68
+#: Members of a bucket compared in one block by signatures, documents compared in one block by full sets, and the estimate under
+#: which a pair is not looked at (0.8 less about 4 deviations).
+BLOCK, GRID, FLOOR = 512, 128, 0.68
 _U = np.uint64
 
 
@@ -211,7 +212,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = cut(confirm(docs, star, k, percent))
     first = components(links)
 
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    blocks = lambda n, size=BLOCK: F.ceil(F.col(n) / size).cast("int")
     labelled = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     mixed = (
         labelled.groupBy("bucket").agg(F.min("comp").alias("main"), F.max("comp").alias("top"), F.count("*").alias("size"))
@@ -222,7 +223,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     stray = cut(_stray_rows(left.unionByName(right).drop("main"), percent))
     members = classes.select("rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("rep").alias("id"), F.coalesce("component", "rep").alias("comp"))
     members = cut(members.join(stray.select("comp").distinct(), "comp"))
-    shape = stray.groupBy("comp").agg(F.count("*").alias("x")).join(members.groupBy("comp").agg(F.count("*").alias("y")), "comp").select("comp", blocks("x").alias("rows"), blocks("y").alias("columns"))
+    shape = stray.groupBy("comp").agg(F.count("*").alias("x")).join(members.groupBy("comp").agg(F.count("*").alias("y")), "comp").select("comp", blocks("x", GRID).alias("rows"), blocks("y", GRID).alias("columns"))
     left = _grid(stray.withColumnRenamed("x", "id").join(shape, "comp"), 0, "rows", "columns", "id")
     right = _grid(members.join(shape, "comp"), 1, "rows", "columns", "id")
     ids = cut(stray.select(F.col("x").alias("doc_id")).unionByName(members.select(F.col("id").alias("doc_id"))).distinct())

@@ -12,6 +12,7 @@ from spindrift.llm.lm import score_texts
 from spindrift.llm.media import encode, inspect
 from spindrift.llm.mixing import mix
 from spindrift.llm.neardup import near_duplicates
+from spindrift.llm.oracles import ORACLES
 from spindrift.llm.quality import quality
 from spindrift.llm.spans import dedup_spans
 from spindrift.llm.toxicity import toxicity
@@ -62,4 +63,4 @@ QUERIES = {
     q.__name__: q
     for q in (op1_toxicity, op2_quality, op3_minhash_neardup, op4_language, op5_decontamination, op6_mixing, op7_media, op8_licenses, op9_class_lm, op10_substring_dedup)
 }
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -237,6 +237,23 @@ def test_every_license_rule_matches_and_passes_its_gates(spark):
     assert all(got.values())
 
 
+def test_license_labels_equal_their_sql(spark):
+    import duckdb
+
+    from spindrift.llm.oracles import ORACLES
+
+    rng = random.Random(11)
+    bits = [re.sub(r"\(\?:([^()|]*)[^()]*(?:\([^()]*\)[^()]*)*\)\??|\[(.)[^\]]*\]|.\?", r"\1\2", p) for *_, p in licenses.RULES] + ["version 2", "3 0", "the", "and", "license", "cc by", "mit license"]
+    texts = [rng.choice([" ", "-", "\n", "; "]).join(rng.choice(bits) for _ in range(rng.randrange(0, 12))) for _ in range(300)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    rel = con.sql(ORACLES["op8_licenses"])
+    want = {r[0]: dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()}
+    got = {r.doc_id: r.asDict() for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_license_base_scan_and_suppression(spark):
     texts = ["MIT\nLicense, then the Apache-License and cc/by. GNU (General) Public: LICENSE version 3.", "gnu lesser general public license v2.1", "commit license", "mit license " * 2000]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
