@@ -15,13 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spindrift.llm import textkit as tk
-from spindrift.llm.cluster import columns_only
+from spindrift.llm.cluster import columns_only, cut
 from spindrift.llm.labelled import held_out, training_texts
 
 #: Labelled texts learned from; buckets (a power of two), width of the vectors, lengths of n-grams; passes and learning rate.
 SAMPLE, BITS, WIDTH, NGRAMS, EPOCHS, RATE = 6_000, 17, 8, (3, 4), 6, 0.5
+#: Distinct features of all texts learned from; where texts are so long that this is too few, the sample has fewer texts.
+FEATURES = 24_000_000
 _U = np.uint64
 #: The bucket of a word that repeats the one before it.
 REPEAT = 0
@@ -100,7 +103,13 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
             flat = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x) if x else np.zeros(0, np.int32))) for x in (ats, ns)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *flat], ["doc_id", "y", "at", "n"])
 
-    table = training_texts(docs, labels, "quality", sample, modulus, rest).select("doc_id", "y", "text").mapInArrow(count, "doc_id long, y int, at array<int>, n array<int>").toArrow().sort_by("doc_id")
+    counted = cut(training_texts(docs, labels, "quality", sample, modulus, rest).select("doc_id", "y", "text").mapInArrow(count, "doc_id long, y int, at array<int>, n array<int>"))
+    sizes = sorted(counted.groupBy("doc_id").agg(F.sum(F.size("at")).alias("n"), F.xxhash64(F.first("doc_id")).alias("u")).collect(), key=lambda r: (r.u, r.doc_id))
+    room = np.cumsum([r.n for r in sizes]) <= FEATURES
+    if not room.all():
+        few = spark.createDataFrame([(r.doc_id,) for r, ok in zip(sizes, room, strict=True) if ok], "doc_id long")
+        counted = counted.join(F.broadcast(few), "doc_id")
+    table = counted.toArrow().sort_by("doc_id")
     rows = [(int(y > 0), np.asarray(a), np.asarray(n)) for y, a, n in zip(table.column("y").to_pylist(), (x.values for x in table.column("at")), (x.values for x in table.column("n")), strict=True) if len(a)]
     model = train(rows) if rows else (np.zeros(1 << BITS, np.float32), 0.0)
     bc = spark.sparkContext.broadcast(model)

@@ -267,7 +267,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
     table gives an empty result.  Among equally near terms the first in order counts.
     """
     spark = docs.sparkSession
-    train = training_texts(docs, labels, "toxic", sample, modulus, rest)
+    train = cut(training_texts(docs, labels, "toxic", sample, modulus, rest))
     lexicon, base = learn(train)
     terms = [t for t in lexicon if not t.endswith("*")] + [t for t in lexicon if t.endswith("*")]
     weight, w = fit(train, terms, base)
