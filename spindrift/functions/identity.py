@@ -38,13 +38,20 @@ def blob_path(sha256: Column) -> Column:
     return F.concat(F.lit("blobs/"), F.substring(sha256, 1, 2), F.lit("/"), sha256, F.lit(".blob"))
 
 
+# Names that no path segment may have before its first dot.
+RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"COM{n}" for n in range(1, 10)), *(f"LPT{n}" for n in range(1, 10)))
+
+
 def portable_path(path: Column) -> Column:
-    """Whether a relative path is portable: no root, drive, backslash, control character, empty or dotted segment."""
-    return F.coalesce((path != "") & ~path.rlike(r"^/|^[A-Za-z]:|[\\\x00-\x1f\x7f:]") & F.forall(F.split(path, "/"), lambda p: ~p.isin("", ".", "..")), F.lit(False))
+    """Whether a relative path is portable: plain segments of letters, digits, dots, lines and hyphens, none dotted at its end or reserved."""
+    plain = lambda p: p.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$") & ~p.endswith(".") & (F.length(p) <= 255) & ~F.upper(F.substring_index(p, ".", 1)).isin(*RESERVED)
+    return F.coalesce((F.length(path) <= 1024) & F.forall(F.split(path, "/"), plain), F.lit(False))
 
 
 def mime_valid(mime: Column) -> Column:
-    return F.coalesce(mime.rlike(rf"^{_TOKEN}/{_TOKEN}$"), F.lit(False))
+    """Whether a stored MIME type is lower-case type/subtype without parameters."""
+    part = r"[a-z0-9][a-z0-9!#$%&'*+.^_`|~-]*"
+    return F.coalesce(mime.rlike(rf"^{part}/{part}$"), F.lit(False))
 
 
 def media_type(header: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.plans import runs, web
+from spindrift.plans import audit, runs, web
 
-QUERIES: dict = web.QUERIES | runs.QUERIES
-ORACLES: dict = web.ORACLES | runs.ORACLES
+QUERIES: dict = web.QUERIES | runs.QUERIES | audit.QUERIES
+ORACLES: dict = web.ORACLES | runs.ORACLES | audit.ORACLES

@@ -79,7 +79,7 @@ def site_key_rollup(spark, sf_dir):
 
 
 _ALLOWED = """CASE WHEN code IS NOT NULL THEN code WHEN url NOT LIKE 'https://%' THEN 'scope.origin_not_allowed'
-WHEN NOT (regexp_matches(url, '^https://[^/?#]*/(en|fr)(/|$|\\?)')) THEN 'scope.path_not_included' ELSE 'scope.allowed' END"""
+WHEN NOT (regexp_matches(url, '^https://[^/?#]*/(en|fr)(/|$|\\?)')) THEN 'scope.path_not_included' ELSE 'policy.allowed' END"""
 
 
 def _decided(spark, sf_dir):
@@ -88,12 +88,12 @@ def _decided(spark, sf_dir):
     return p.withColumn("d", urls.decide(F.col("c"), mine, F.array(F.lit("/en/**"), F.lit("/fr/**"))))
 
 
-@query(f"WITH {CANON} SELECT page_id, {_ALLOWED} = 'scope.allowed' AS allowed, {_ALLOWED} AS code FROM canon")
+@query(f"WITH {CANON} SELECT page_id, {_ALLOWED} = 'policy.allowed' AS allowed, {_ALLOWED} AS code FROM canon")
 def scope_decision(spark, sf_dir):
     return _decided(spark, sf_dir).select("page_id", "d.allowed", "d.code")
 
 
-@query(f"WITH {CANON} SELECT page_id, url FROM canon WHERE {_ALLOWED} = 'scope.allowed'")
+@query(f"WITH {CANON} SELECT page_id, url FROM canon WHERE {_ALLOWED} = 'policy.allowed'")
 def scope_filter(spark, sf_dir):
     return _decided(spark, sf_dir).where("d.allowed").select("page_id", F.col("c.url").alias("url"))
 
