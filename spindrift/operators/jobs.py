@@ -73,3 +73,37 @@ def batch_completion(results: DataFrame, expected: DataFrame) -> DataFrame:
         .otherwise(said("partial", "partial"))
     )
     return j.withColumn("k", kind).select("batch_id", F.col("k.s").alias("status"), F.col("k.r").alias("stop_reason"))
+
+
+def claims(commands: DataFrame, lease_seconds: int = 3600) -> DataFrame:
+    """(job_id, status, token, cancelled, n_applied, n_stale) of commands(job_id, ord, op, at, token), folded in order.
+
+    submit opens a job once; claim takes a submitted one, or a running one whose lease is over, under a new
+    fencing token; finish ends it if its token is the last one handed out, as failed if a cancel came
+    before, and is stale otherwise; the first cancel of an open job counts, ends win over later commands.
+    A job's commands are one array, so the fold is a built-in expression, in a stream as in a batch.
+    """
+    log = F.array_sort(F.collect_list(F.struct("ord", "op", "at", "token")))
+
+    def step(s, x):
+        is_open, running = s["status"].isin("submitted", "running"), s["status"] == "running"
+        free = (s["status"] == "submitted") | (running & (s["lease"] < x["at"]))
+        submit = (x["op"] == "submit") & s["status"].isNull()
+        claim = F.coalesce((x["op"] == "claim") & free, F.lit(False))
+        mine = F.coalesce((x["op"] == "finish") & running & (x["token"] == s["token"]), F.lit(False))
+        stale = F.coalesce((x["op"] == "finish") & running & (x["token"] != s["token"]), F.lit(False))
+        cancel = F.coalesce((x["op"] == "cancel") & is_open & ~s["cancelled"], F.lit(False))
+        return F.struct(
+            F.when(submit, "submitted").when(claim, "running").when(mine & s["cancelled"], "failed").when(mine, "completed").otherwise(s["status"]).alias("status"),
+            F.when(claim, s["token"] + 1).otherwise(s["token"]).alias("token"),
+            F.when(claim, x["at"] + lease_seconds).otherwise(s["lease"]).alias("lease"),
+            (s["cancelled"] | cancel).alias("cancelled"),
+            (s["applied"] + (submit | claim | mine | cancel).cast("bigint")).alias("applied"),
+            (s["stale"] + stale.cast("bigint")).alias("stale"),
+        )
+
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(F.lit(None).cast("string").alias("status"), zero.alias("token"), zero.alias("lease"), F.lit(False).alias("cancelled"), zero.alias("applied"), zero.alias("stale"))
+    end = F.aggregate("log", start, step)
+    got = commands.groupBy("job_id").agg(log.alias("log")).withColumn("s", end)
+    return got.select("job_id", "s.status", "s.token", "s.cancelled", F.col("s.applied").alias("n_applied"), F.col("s.stale").alias("n_stale"))

@@ -426,6 +426,41 @@ def checkpoint_gaps(spark, sf_dir):
     return jobs.checkpoint_gaps(c.select(F.col("conv_id").cast("string").alias("batch_id"), F.col("turn").alias("ordinal")))
 
 
+COMMANDS = """c AS (SELECT user_id AS job_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS ord, event_id * 60 AS at_,
+ CASE event_type WHEN 'signup' THEN 'submit' WHEN 'purchase' THEN 'claim' WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'cancel' ELSE 'none' END ELSE CASE WHEN event_id % 4 = 0 THEN 'finish' ELSE 'none' END END AS op, event_id % 3 AS token FROM events),
+f(job_id, ord, status, token, lease, cancelled, applied, stale) AS (
+ SELECT DISTINCT job_id, CAST(-1 AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM c
+ UNION ALL
+ SELECT job_id, ord, CASE WHEN su THEN 'submitted' WHEN cl THEN 'running' WHEN mi AND cancelled THEN 'failed' WHEN mi THEN 'completed' ELSE status END, CASE WHEN cl THEN token + 1 ELSE token END, CASE WHEN cl THEN at_ + 3600 ELSE lease END, cancelled OR ca,
+  applied + CASE WHEN su OR cl OR mi OR ca THEN 1 ELSE 0 END, stale + CASE WHEN st THEN 1 ELSE 0 END
+ FROM (SELECT f.job_id, c.ord, f.status, f.token, f.lease, f.cancelled, f.applied, f.stale, c.at_, op = 'submit' AND f.status IS NULL AS su,
+   coalesce(op = 'claim' AND (f.status = 'submitted' OR (f.status = 'running' AND f.lease < c.at_)), false) AS cl, coalesce(op = 'finish' AND f.status = 'running' AND c.token = f.token, false) AS mi,
+   coalesce(op = 'finish' AND f.status = 'running' AND c.token <> f.token, false) AS st, coalesce(op = 'cancel' AND f.status IN ('submitted', 'running') AND NOT f.cancelled, false) AS ca
+  FROM f JOIN c ON c.job_id = f.job_id AND c.ord = f.ord + 1))"""
+
+
+def _commands(spark, sf_dir):
+    from pyspark.sql import Window
+
+    n, kind = F.col("event_id"), F.col("event_type")
+    op = F.when(kind == "signup", "submit").when(kind == "purchase", "claim").when(kind == "error", F.when(n % 3 == 0, "cancel").otherwise("none")).otherwise(F.when(n % 4 == 0, "finish").otherwise("none"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("bigint").alias("ord"), op.alias("op"), (n * 60).alias("at"), (n % 3).alias("token"))
+
+
+CLAIMED = f"WITH RECURSIVE {COMMANDS} SELECT job_id, arg_max(coalesce(status, ''), ord) AS status, arg_max(token, ord) AS token, arg_max(cancelled, ord) AS cancelled, arg_max(applied, ord) AS n_applied, arg_max(stale, ord) AS n_stale FROM f GROUP BY job_id"
+
+
+@query(CLAIMED)
+def job_claims(spark, sf_dir):
+    """Users stand for jobs, their events for commands: claims under leases and fencing tokens, cancels, stale finishes."""
+    return jobs.claims(_commands(spark, sf_dir)).withColumn("status", F.coalesce("status", F.lit("")))
+
+
+@query(CLAIMED)
+def stream_job_claims(spark, sf_dir):
+    return feeds.run_claims(spark, _commands(spark, sf_dir)).withColumn("status", F.coalesce("status", F.lit("")))
+
+
 # ---- results
 
 

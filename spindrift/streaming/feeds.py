@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import identity
 from spindrift.functions.shared import shared_folder
-from spindrift.operators.jobs import TERMINAL
+from spindrift.operators.jobs import TERMINAL, claims
 
 
 def _drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
@@ -65,6 +65,13 @@ def run_jobs(spark: SparkSession, events: DataFrame) -> DataFrame:
     return _drain(per_job.select("job_id", end["status"].alias("status"), end["n"].alias("n_events")), "job-states", "complete")
 
 
+def run_claims(spark: SparkSession, commands: DataFrame) -> DataFrame:
+    """``jobs.claims`` over a stream of commands."""
+    log = shared_folder(spark, "commands")
+    commands.write.parquet(log)
+    return _drain(claims(_read(spark, log)), "claims", "complete")
+
+
 def daily(spark: SparkSession, path: str) -> DataFrame:
     """(day, event_type, n): events a day and type, late ones taken in for a day."""
     days = _read(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))

@@ -1,6 +1,8 @@
 """Operators on hand-made rows: URL rules, discovery, robots, quality, Markdown, framing."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spindrift.functions import identity, safety, urls
@@ -41,6 +43,16 @@ def test_fast_and_general_form_agree(spark):
     assert {r.u: (r.c.url, r.c.code) for r in rows} == {r.u: urls.canonical_parts(r.u) for r in rows}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abAB/.%?=#&:@ 0279[]üß\\\\-~+,*", max_size=24), st.sampled_from(["http://", "https://e.test", "HTTP://E.test:80/", "https://e.test/?"]))
+def test_canonical_form_is_canonical(tail, head):
+    url, code = urls.canonical_parts(head + tail)
+    assert (url is None) != (code is None)
+    if url is not None:
+        assert urls.canonical_parts(url) == (url, None)
+        assert "#" not in url and all(32 < ord(c) < 127 for c in url)
+
+
 def test_include_patterns():
     assert urls.canonical_pattern("/a/**") == ("/a/**", None)
     assert urls.canonical_pattern("/**") == ("/**", None)
