@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-A first pass counts in how many documents each benchmark trigram occurs.  An item's seeds are its
-trigrams that are not much more frequent than its median one; the measure is the item's own, so a
-passage copied into a third of all documents still has its seeds.  A second pass looks the seeds up in each document and aligns the item with the
-stretch around the hits, word by word; the score of an alignment is its share of the item's perfect
-score, which edited and paraphrased copies keep to a large part.
+Every trigram of an item is a seed, however frequent it is in the documents.  The seeds are looked up in
+each document and the item is aligned with the stretch around the hits, word by word; the score of an
+alignment is its share of the item's perfect score, which edited and paraphrased copies keep to a large
+part.  Stretches with too few of the item's words to reach the threshold are not aligned.
 
 The benchmark is worked in blocks of bounded size, each broadcast to the tasks, so it may be of any
 length; nothing about the documents but their passages that match leaves the executors.
@@ -26,8 +25,8 @@ from spindrift.llm.cluster import columns_only
 GRAM, MATCH, MISMATCH, GAP = 3, 2, -1, -1
 #: Share of an item's perfect score from which a passage counts as a copy; seeds that must agree on a place; characters of benchmark per block.
 THRESHOLD, SEEDS, BLOCK_CHARS = 0.5, 2, 16_000_000
-#: A trigram is a seed up to so many times the documents of its item's median trigram; one seed is enough for items below so many words.
-RARE, SHORT = 4, 16
+#: One seed is enough for items below so many words.
+SHORT = 16
 _U = np.uint64
 _BITS = 20
 
@@ -90,6 +89,13 @@ def passages(words: np.ndarray, index: _Index, items: list[np.ndarray], seeds: i
     out = []
     order = np.lexsort((pos, item))
     pos, item, offset = pos[order], item[order], offset[order]
+    if len(item):
+        # items hit at fewer places than they need, most of them by chance, are left out at once
+        first = np.ones(len(item), bool)
+        first[1:] = (item[1:] != item[:-1]) | (pos[1:] != pos[:-1])
+        hit, at = np.unique(item, return_inverse=True)
+        use = (np.bincount(at, weights=first) >= [1 if len(items[i]) < SHORT else seeds for i in hit])[at]
+        pos, item, offset = pos[use], item[use], offset[use]
     for chunk in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1) if len(item) else []:
         it = int(item[chunk[0]])
         size = len(items[it])
@@ -104,6 +110,8 @@ def passages(words: np.ndarray, index: _Index, items: list[np.ndarray], seeds: i
             if len(np.unique(where[part])) < (1 if size < SHORT else seeds):
                 continue
             a, b = int(start[part[0]]), int(end[part].max())
+            if MATCH * np.isin(items[it], words[a:b]).sum() < threshold * MATCH * size:
+                continue
             score, x, y = smith_waterman(items[it], words[a:b])
             if score > best[0]:
                 best = (score, a + x, a + y)
@@ -127,27 +135,6 @@ def _block(rows: list) -> tuple[list, list[np.ndarray], np.ndarray, np.ndarray,
     return ids, items, flat, np.repeat(np.arange(len(g)), n), np.concatenate([np.arange(x) for x in n]) if n else np.zeros(0, np.int64)
 
 
-def _frequencies(docs: DataFrame, wanted: np.ndarray) -> np.ndarray:
-    """In how many documents each of the sorted hashes ``wanted`` occurs."""
-    bc = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def count(batches):
-        hasher, found = tk.Hasher(tk.class_alnum()), np.zeros(len(bc.value), np.int64)
-        index = _Index(bc.value, np.arange(len(found)), np.zeros(len(found), np.int64))
-        for batch in tk.pieces(batches):
-            for t in tk.texts(batch.column("text")):
-                w = hasher.words(t)[2]
-                if len(w) >= GRAM:
-                    found[np.unique(index.hits(grams(w))[1])] += 1
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at])], ["g", "n"])
-
-    out = np.zeros(len(wanted), np.int64)
-    table = docs.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
-    out[np.asarray(table.column("g"))] = np.asarray(table.column("n"))
-    return out
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seeds: int = SEEDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word) for each document and item it holds a copy of.
 
@@ -170,11 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
         ids, items, flat, owner, offset = _block(rows)
         if not ids:
             continue
-        distinct, place = np.unique(flat, return_inverse=True)
-        rarity = _frequencies(docs, distinct)[place]
-        usual = np.array([np.median(part) for part in np.split(rarity, np.flatnonzero(np.diff(owner)) + 1)])
-        use = rarity <= RARE * np.maximum(usual, 1.0)[owner]
-        bc = spark.sparkContext.broadcast((ids, items, flat[use], owner[use], offset[use]))
+        bc = spark.sparkContext.broadcast((ids, items, flat, owner, offset))
 
         def scan(batches, bc=bc):
             ids, items, h, owner, offset = bc.value

@@ -183,6 +183,16 @@ def test_edited_copies_are_found_and_clean_texts_left_alone(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == planted
 
 
+@pytest.mark.parametrize("copies", [1, 4, 5, 40])
+def test_an_edited_copy_is_found_in_however_many_documents_it_stands(spark, copies):
+    item = [f"item{i}" for i in range(40)]
+    edited = [f"other{i}" if i % 5 == 2 else w for i, w in enumerate(item)]
+    docs = [(d, " ".join([f"d{d}x{i}" for i in range(50)] + edited)) for d in range(copies)]
+    docs += [(1000 + d, " ".join(edited[5 * (d % 8) + 3 : 5 * (d % 8) + 7])) for d in range(80)]
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(copies))
+
+
 def test_targets_share_the_excess():
     assert targets({"a": 10, "b": 1, "c": 10}) == {"a": pytest.approx((21 - 3) * 5 / 6), "b": 3.0, "c": pytest.approx((21 - 3) / 6)}
     assert targets({}) == {} and targets({None: 0}) == {None: 0.0}
