@@ -1,13 +1,16 @@
 """Brown class-based bigram language model, trained and applied over the whole corpus.
 
-Exchange clustering moves the most frequent words between classes while the likelihood of the class
-bigrams grows; all other words belong to the class of their ending.  A token's probability is that of
-its class after the class before it, times that of the word in its class, both smoothed.
-
-Counts come from every training document: word counts (a shuffle with map-side combine), symbol
-bigrams (bounded by the square of the clustered vocabulary) and, for scoring, the counts of the rare
-words, which are joined by a shuffle; only the head of the vocabulary is broadcast, and its size is
-bounded whatever the corpus.
+Every word seen often enough is clustered, in a number of classes that grows with the root of their
+number; rare and unseen words belong to the class of their ending.  Exchange clustering moves the most
+frequent words between the first classes while the likelihood of the class bigrams grows, the next
+ones found the other classes, and in distributed rounds each word is exchanged into the class whose
+neighbours are most like its own.  A token's probability is that of its class after the class before it,
+times that of the word in its class, both smoothed.
+
+Counts come from every training document: word counts (a shuffle with map-side combine), symbol and
+class bigrams, the neighbour classes of each clustered word (a shuffle), and, for scoring, the counts
+of the rare words, which are joined by a shuffle.  Broadcast are a bounded head of the word counts and
+the classes of the clustered words, which grow with the vocabulary: 10 bytes a word.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ from spindrift.llm import textkit as tk
 from spindrift.llm.cluster import columns_only, cut
 from spindrift.llm.labelled import held_out
 
-#: Words broadcast with their counts at most; words clustered, classes they form, classes of endings; passes; smoothing of transitions.
+#: Words broadcast with their counts at most; words clustered one by one, classes they form, classes of endings; passes; smoothing of transitions.
 HEAD, CLUSTERED, CLASSES, ENDINGS, PASSES, ALPHA = 131_072, 1_024, 64, 32, 3, 0.1
+#: Occurrences from which every word is clustered; distributed rounds; counts by which a class pair is drawn to independence.
+COMMON, ROUNDS, SHRINK = 10, 2, 5.0
 _U = np.uint64
-SYMBOLS = CLUSTERED + ENDINGS + 2
-BOS, END = SYMBOLS - 2, SYMBOLS - 1
 
 
 def _tokens(data: np.ndarray, hasher: tk.Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -72,41 +75,137 @@ def vocabulary(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "h long, ending int, c long").groupBy("h", "ending").agg(F.sum("c").alias("c"))
 
 
-def bigrams(train: DataFrame, keys: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Counts [SYMBOLS, SYMBOLS] of neighbouring symbols; a symbol is a clustered word, an ending, or a text's start or end."""
-    bc = train.sparkSession.sparkContext.broadcast((keys, rank))
+def bigrams(train: DataFrame, keys: np.ndarray, rank: np.ndarray, words: int = CLUSTERED) -> np.ndarray:
+    """Counts of neighbouring symbols; a symbol is one of ``words`` words or classes, an ending, or a text's start or end."""
+    bc, size = train.sparkSession.sparkContext.broadcast((keys, rank)), words + ENDINGS + 2
 
     def count(batches):
         keys, rank = bc.value
-        hasher, sieve, total = tk.Hasher(tk.class_space_delimited()), _sieve(keys), np.zeros(SYMBOLS * SYMBOLS, np.int64)
+        hasher, sieve, total = tk.Hasher(tk.class_space_delimited()), _sieve(keys), np.zeros(size * size, np.int64)
         for batch in batches:
-            parts, size = [], 0
+            parts, n = [], 0
             for t in tk.texts(batch.column("text")):
-                s = symbols(*_tokens(t, hasher), keys, rank, sieve)
-                parts.append(s[:-1] * SYMBOLS + s[1:])
-                size += len(s)
-                if size > 1 << 20:
-                    total += np.bincount(np.concatenate(parts), minlength=SYMBOLS * SYMBOLS)
-                    parts, size = [], 0
+                s = symbols(*_tokens(t, hasher), keys, rank, sieve, words)[0]
+                parts.append(s[:-1] * size + s[1:])
+                n += len(s)
+                if n > 1 << 20:
+                    total += np.bincount(np.concatenate(parts), minlength=size * size)
+                    parts, n = [], 0
             if parts:
-                total += np.bincount(np.concatenate(parts), minlength=SYMBOLS * SYMBOLS)
+                total += np.bincount(np.concatenate(parts), minlength=size * size)
         at = np.flatnonzero(total)
         for i in range(0, max(1, len(at)), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)].astype(np.int32)), pa.array(total[at[i : i + (1 << 16)]])], ["code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(total[at[i : i + (1 << 16)]])], ["code", "n"])
 
-    rows = train.select("text").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+    rows = train.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size, np.int64)
     out[np.asarray(rows.column("code"))] = np.asarray(rows.column("n"))
-    return out.reshape(SYMBOLS, SYMBOLS)
+    return out.reshape(size, size)
 
 
-def symbols(h: np.ndarray, ending: np.ndarray, keys: np.ndarray, rank: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+def symbols(h: np.ndarray, ending: np.ndarray, keys: np.ndarray, rank: np.ndarray, sieve: np.ndarray, words: int = CLUSTERED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols of a text with its start and end, positions of the words in keys, their index there)."""
     s = np.empty(len(h) + 2, np.int64)
-    s[0], s[-1] = BOS, END
-    s[1:-1] = CLUSTERED + ending
+    s[0], s[-1] = words + ENDINGS, words + ENDINGS + 1
+    s[1:-1] = words + ending
     at, k = _lookup(keys, h, sieve)
     s[1 + at] = rank[k]
-    return s
+    return s, at, k
+
+
+def affinity(m: np.ndarray, classes: int) -> np.ndarray:
+    """[2 * symbols, classes]: what a neighbour behind, then one before, says for each class, as pointwise mutual information."""
+    m = m.astype(np.float64)
+    usual = m.sum(1)[:, None] * m.sum(0)[None, :] / max(1.0, m.sum())
+    pmi = np.log((m + SHRINK) / (usual + SHRINK))
+    return np.concatenate([pmi[:classes].T, pmi[:, :classes]])
+
+
+def likelihood(m: np.ndarray) -> float:
+    """Of the class bigrams, but for what is the same for all clusterings."""
+    xlx = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    m = m.astype(np.float64)
+    return xlx(m) - xlx(m.sum(1)) - xlx(m.sum(0))
+
+
+def exchange_round(train: DataFrame, keys: np.ndarray, cls: np.ndarray, classes: int, m: np.ndarray) -> np.ndarray:
+    """The class that the neighbours of each word in ``keys`` speak for most, its own on a tie; ``m`` counts the bigrams of classes ``cls``."""
+    size = classes + ENDINGS + 2
+    bc = train.sparkSession.sparkContext.broadcast((keys, cls.astype(np.int16 if size < 1 << 15 else np.int32), affinity(m, classes)))
+
+    def neighbours(batches):
+        keys, cls, _ = bc.value
+        hasher, sieve = tk.Hasher(tk.class_space_delimited()), _sieve(keys)
+
+        def flush(parts):
+            code, n = np.unique(np.concatenate(parts), return_counts=True)
+            for i in range(0, len(code), 1 << 17):
+                c = code[i : i + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array((c // (2 * size)).astype(np.int32)), pa.array((c % (2 * size)).astype(np.int32)), pa.array(n[i : i + (1 << 17)].astype(np.int32))], ["w", "code", "n"])
+
+        parts, held = [], 0
+        for batch in batches:
+            for t in tk.texts(batch.column("text")):
+                s, at, k = symbols(*_tokens(t, hasher), keys, cls, sieve, classes)
+                parts += [k * (2 * size) + s[at + 2], k * (2 * size) + size + s[at]]
+                held += 2 * len(k)
+                if held > 1 << 22:
+                    yield from flush(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from flush(parts)
+
+    def move(batches):
+        _, cls, says = bc.value
+        rows = [tuple(np.asarray(b.column(i)) for i in range(3)) for b in batches]
+        if not rows:
+            return
+        w, code, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.argsort(w, kind="stable")
+        w, code, n = w[order], code[order], n[order]
+        word, first = np.unique(w, return_index=True)
+        first = np.append(first, len(w))
+        for i in range(0, len(word), 1024):
+            a, b = first[i], first[min(i + 1024, len(word))]
+            mine = word[i : i + 1024]
+            local = np.searchsorted(mine, w[a:b])
+            table = np.bincount(local * (2 * size) + code[a:b], weights=n[a:b], minlength=len(mine) * 2 * size).reshape(len(mine), 2 * size)
+            score = table @ says
+            best, old = score.argmax(1), cls[mine].astype(np.int64)
+            row = np.arange(len(mine))
+            stay = (old < classes) & (score[row, np.minimum(old, classes - 1)] >= score[row, best] - 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(np.where(stay, old, best).astype(np.int32))], ["w", "c"])
+
+    rows = train.select("text").mapInArrow(neighbours, "w int, code int, n int").repartition("w").mapInArrow(move, "w int, c int").toArrow()
+    out = cls.copy()
+    out[np.asarray(rows.column("w"))] = np.asarray(rows.column("c"))
+    return out
+
+
+def cluster(train: DataFrame, keys: np.ndarray, ending: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, int, np.ndarray]:
+    """(class of each word of the sorted ``keys``, number of classes, counts of neighbouring symbols); ``n`` are the words' counts."""
+    order = np.lexsort((keys, -n))
+    top = np.sort(order[:CLUSTERED])
+    cls = np.zeros(len(keys), np.int64)
+    found = 0
+    if len(top):
+        cls[top] = exchange(bigrams(train, keys[top], np.arange(len(top)), len(top)), len(top), CLASSES)[: len(top)]
+        found = int(cls[top].max()) + 1
+    classes = max(found, int(len(keys) ** 0.5) // 2)
+    rest = order[CLUSTERED:]
+    founders = rest[: classes - found]
+    classes = found + len(founders)
+    # the other words begin among the rare ones, by their endings
+    cls[rest] = classes + ending[rest]
+    cls[founders] = found + np.arange(len(founders))
+    m = bigrams(train, keys, cls, classes)
+    best = None
+    for _ in range(rounds if len(rest) else 0):
+        cls = exchange_round(train, keys, cls, classes, m)
+        m = bigrams(train, keys, cls, classes)
+        if best is None or likelihood(m) > likelihood(best[1]):
+            best = (cls, m)
+    return (best or (cls, m))[0], classes, (best or (cls, m))[1]
 
 
 def exchange(counts: np.ndarray, words: int, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
@@ -180,38 +279,33 @@ def score_texts(docs: DataFrame, modulus: int = 5, rest: int = 1) -> DataFrame:
         sum_, least = sum_ + r.n, r.least
     head = vocab.where(F.col("c") >= least).select("h", "ending", "c").toArrow() if least is not None else pa.table({"h": pa.array([], pa.int64()), "ending": pa.array([], pa.int32()), "c": pa.array([], pa.int64())})
     hh, he, hc = np.asarray(head.column("h")).view(_U), np.asarray(head.column("ending")).astype(np.int64), np.asarray(head.column("c"))
-    order = np.lexsort((hh, -hc))[:CLUSTERED]
-    top, top_c = hh[order], hc[order]
-    by_hash = np.argsort(top)
-    keys, rank = top[by_hash], by_hash.astype(np.int64)
-
-    counts = bigrams(train, keys, rank)
-    # symbols of words that do not exist keep classes of their own, without counts
-    cls = exchange(counts, len(top)) if len(top) else np.arange(SYMBOLS)
-    size = int(cls.max()) + 1
-    m = np.zeros((size, size))
-    np.add.at(m, (cls[:, None], cls[None, :]), counts)
+    common = vocab.where(F.col("c") >= COMMON).select("h", "ending", "c").toArrow()
+    most = np.lexsort((hh, -hc))[:CLUSTERED]
+    keys, first = np.unique(np.concatenate([hh[most], np.asarray(common.column("h")).view(_U)]), return_index=True)
+    key_e = np.concatenate([he[most], np.asarray(common.column("ending")).astype(np.int64)])[first]
+    key_c = np.concatenate([hc[most], np.asarray(common.column("c"))])[first]
+    cls, classes, m = cluster(train, keys, key_e, key_c)
+    size = len(m)
     move = np.log10(m + ALPHA) - np.log10(m.sum(1, keepdims=True) + ALPHA * size)
-    n_class, v_class = np.zeros(size), np.zeros(size)
-    np.add.at(n_class, cls[: len(top)], top_c)
-    np.add.at(v_class, cls[: len(top)], 1)
+    n_class = np.bincount(cls, weights=key_c, minlength=size)
+    v_class = np.bincount(cls, minlength=size).astype(np.float64)
     ends = vocab.groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
     for r in ends:
-        mine = he[order] == r.ending
-        n_class[cls[CLUSTERED + r.ending]] += r.c - top_c[mine].sum()
-        v_class[cls[CLUSTERED + r.ending]] += r.v - mine.sum()
+        mine = key_e == r.ending
+        n_class[classes + r.ending] += r.c - key_c[mine].sum()
+        v_class[classes + r.ending] += r.v - mine.sum()
     room = np.log10(n_class + 0.5 * (v_class + 1))
     sort = np.argsort(hh)
-    bc = spark.sparkContext.broadcast((hh[sort], np.log10(hc[sort] + 0.5), keys, rank, cls, move, room))
+    bc = spark.sparkContext.broadcast((hh[sort], np.log10(hc[sort] + 0.5), keys, cls.astype(np.int16 if size < 1 << 15 else np.int32), move, room))
 
     def scan(batches):
-        head_h, head_log, keys, rank, cls, move, room = bc.value
+        head_h, head_log, keys, cls, move, room = bc.value
         hasher, sieve, wide = tk.Hasher(tk.class_space_delimited()), _sieve(keys), _sieve(head_h)
         for batch in tk.pieces(batches):
             stats, hs, ns = [], [], []
             for t in tk.texts(batch.column("text")):
                 h, e = _tokens(t, hasher)
-                c = cls[symbols(h, e, keys, rank, sieve)]
+                c = symbols(h, e, keys, cls, sieve, classes)[0]
                 at, k = _lookup(head_h, h, wide)
                 rare = np.ones(len(h), bool)
                 rare[at] = False

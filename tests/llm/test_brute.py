@@ -311,6 +311,24 @@ def test_exchange_finds_planted_classes():
     assert len({(g, c) for g, c in zip(group[perm], cls, strict=True)}) == 2
 
 
+def test_words_beyond_the_most_frequent_are_clustered_by_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CLUSTERED", 20)
+    monkeypatch.setattr(lm, "CLASSES", 4)
+    rng = random.Random(4)
+    noun, verb = ([f"{c}{i}x" for i in range(150)] for c in "nv")
+    texts = [" ".join(rng.choice((noun, verb)[i % 2]) for i in range(200)) for _ in range(200)]
+    hasher = tk.Hasher(tk.class_space_delimited())
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    vocab = lm.vocabulary(train).toArrow()
+    keys = np.asarray(vocab.column("h")).view(np.uint64)
+    order = np.argsort(keys)
+    cls, classes, m = lm.cluster(train, keys[order], np.asarray(vocab.column("ending"))[order], np.asarray(vocab.column("c"))[order])
+    of = dict(zip(keys[order].tolist(), cls.tolist(), strict=True))
+    kinds = [{of[int(hasher.words(np.frombuffer(w.encode(), np.uint8))[2][0])] for w in words} for words in (noun, verb)]
+    assert max(kinds[0] | kinds[1]) < classes and not kinds[0] & kinds[1]
+    assert m.sum() == sum(len(t.split()) + 1 for t in texts)
+
+
 def brute_spans(texts, k, least, long):
     seen, out = {}, {}
     for d in sorted(texts):
