@@ -164,7 +164,8 @@ def learn(train: DataFrame, limit: int = TERMS) -> tuple[list[str], float]:
     rows = counts.where(f"term <> '' and pos > {3 * base} * (pos + neg)").where(gain >= math.log(tried / CHANCE)).orderBy(gain.desc(), "term").limit(4 * limit).collect() if q else []
     found = {r.term: (r.pos, r.neg) for r in rows}
     pure = {t: (a + base) / (a + b + 1) for t, (a, b) in found.items()}
-    # of nested terms with nearly the same hits the longest stands for all; a longer one with fewer stays only if it is surely purer
+    # of nested stems with nearly the same hits the longest term stands for all; a longer stem with fewer stays only if it is surely purer;
+    # words stay beside their stems, which match exactly only, for their misspellings
     covered: set[str] = set()
     for t, (a, _) in found.items():
         body = t.rstrip("*")
@@ -173,7 +174,7 @@ def learn(train: DataFrame, limit: int = TERMS) -> tuple[list[str], float]:
     for t in sorted(found.keys() - covered, key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t)):
         body, (a, b) = t.rstrip("*"), found[t]
         shorter = [pure[s] for s in keep if s.endswith("*") and s != t and body.startswith(s[:-1])]
-        if not shorter or a * math.log(pure[t] / max(shorter)) + b * math.log((1 - pure[t]) / (1 - max(shorter))) >= math.log(tried / CHANCE) and pure[t] > max(shorter):
+        if t == body or not shorter or a * math.log(pure[t] / max(shorter)) + b * math.log((1 - pure[t]) / (1 - max(shorter))) >= math.log(tried / CHANCE) and pure[t] > max(shorter):
             keep.append(t)
     return sorted(sorted(keep, key=lambda t: -found[t][0])[:limit]), base
 
@@ -241,9 +242,15 @@ def fit(train: DataFrame, terms: list[str], base: float) -> tuple[dict[tuple[int
     hits = [dict(zip(zip(r["term"], r["wrong"], strict=True), r["hits"], strict=True)) for r in rows]
     y = np.array([float(r["y"] > 0) for r in rows])
     p, q = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
+    # a word of the lexicon is also a hit of the stem that would have matched it: the stem's evidence is that of all its forms
+    bare, under = Automaton([], stems), {}
+    for t, word in enumerate(words):
+        hit = bare.match(word)
+        if hit is not None:
+            under[t, False] = (len(words) + hit[0], False)
     seen: dict[tuple[int, bool], list[int]] = {}
     for h, v in zip(hits, y, strict=True):
-        for k in h:
+        for k in h.keys() | {under[k] for k in h if k in under}:
             seen.setdefault(k, [0, 0])[int(v)] += 1
     weight = {}
     for t in range(len(terms)):

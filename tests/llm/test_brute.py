@@ -126,6 +126,17 @@ def test_quotation_weakens_a_hit():
     assert find('he said "idiot" once', auto, {})[1][0, False] == QUOTED
 
 
+def test_a_word_with_inflections_keeps_its_misspellings_and_its_stem(spark):
+    rng = random.Random(6)
+    said = ["idiot"] * 104 + ["idiots"] * 20 + [""] * 600
+    rows = [(i, " ".join([rng.choice("abcdefghij") * 3 for _ in range(12)] + [w]), int(w != "")) for i, w in enumerate(said)]
+    tests = ["idlot", "iddiot", "idi0t", "idiotisch"]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(10_000 + i, f"aaa bbb {w} ccc ddd") for i, w in enumerate([*tests, "eee"])], "doc_id long, text string")
+    got = {r.doc_id - 10_000: r for r in toxicity(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).collect()}
+    assert [got[i].terms for i in range(5)] == ["idiot", "idiot", "idiot", "idiot*", ""]
+    assert [got[i].predicted for i in range(5)] == [1, 1, 1, 1, 0]
+
+
 def held(spark, df, label):
     lab = load(spark, SF01, "labels").select("doc_id", label)
     return [(r[label], r.predicted) for r in df.join(lab, "doc_id").where("held_out").collect()]
