@@ -20,7 +20,7 @@ from spindrift.llm import textkit as tk
 from spindrift.llm.cluster import columns_only, cut
 from spindrift.llm.labelled import held_out
 
-#: Sampled texts of a language and bytes of each; bytes of a dictionary, bytes of a piece, zstandard level; languages told apart.
+#: Sampled texts of a language and characters of each; bytes of a dictionary, bytes of a piece, zstandard level; languages whose dictionaries are broadcast and compiled together.
 SAMPLE, SLICE, DICTIONARY, PIECE, LEVEL, LANGUAGES = 300, 1_000, 96_000, 1_500, 9, 64
 #: Share of the size by which the best must beat the next to be accepted.
 MARGIN = 0.02
@@ -35,10 +35,10 @@ def letters(text: str) -> str:
 def dictionaries(docs: DataFrame, modulus: int, rest: int, sample: int = SAMPLE) -> list[tuple[str, bytes]]:
     """[(lang, dictionary)] from about ``sample`` texts a language of the training fold, a window of SLICE characters of each.
 
-    The windows lie where a hash of doc_id puts them.  More than LANGUAGES languages: the most frequent.
+    The windows lie where a hash of doc_id puts them.  Every language of the training fold is learned.
     """
     rows = columns_only(docs, "doc_id", "text", "lang").where("lang is not null and text is not null and length(text) > 0").where(~held_out(modulus, rest))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return []
     rate = cut(docs.sparkSession.createDataFrame([(r.lang, min(1.0, sample / r.n)) for r in counts], "lang string, rate double"))
@@ -73,18 +73,37 @@ class Classifier:
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
         return [sum(len(c.compress(p)) for p in pieces) for c in self.coders]
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score, accepted); ``und`` for a text without letters or a model without languages."""
+    def smallest(self, text: str | None) -> tuple[int, int, int]:
+        """(size, language, next size) of a text's smallest and second smallest; language -1 for a text without letters."""
         if not text or not self.langs or not _LETTER.search(text):
-            return "und", 0.0, False
+            return 0, -1, -1
         sizes = self.sizes(letters(text).encode())
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
-        others = [s for i, s in enumerate(sizes) if i != best]
-        margin = (min(others) - sizes[best]) / max(1, min(others)) if others else 1.0
-        return self.langs[best], min(1.0, 0.5 + margin / 0.2 * 0.5), margin >= MARGIN
+        return sizes[best], best, min((s for i, s in enumerate(sizes) if i != best), default=-1)
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, score, accepted); ``und`` for a text without letters or a model without languages."""
+        return verdict(self.langs, self.smallest(text))
+
+
+def verdict(langs: list[str], found: tuple[int, int, int]) -> tuple[str, float, bool]:
+    """(language, score, accepted) of ``Classifier.smallest``."""
+    size, best, other = found
+    if best < 0:
+        return "und", 0.0, False
+    margin = (other - size) / max(1, other) if other >= 0 else 1.0
+    return langs[best], min(1.0, 0.5 + margin / 0.2 * 0.5), margin >= MARGIN
+
+
+def merged(a: tuple[int, int, int], b: tuple[int, int, int]) -> tuple[int, int, int]:
+    """The smallest and second smallest of two blocks of languages; ``a`` is of the earlier block and counts on a tie."""
+    if a[1] < 0 or b[1] < 0:
+        return a if b[1] < 0 else b
+    first, last = (a, b) if a[0] <= b[0] else (b, a)
+    return first[0], first[1], min(x for x in (first[2], last[0]) if x >= 0)
 
 
-def languages(docs: DataFrame, modulus: int = 3, rest: int = 1, sample: int = SAMPLE) -> DataFrame:
+def languages(docs: DataFrame, modulus: int = 3, rest: int = 1, sample: int = SAMPLE, block: int = LANGUAGES) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, accepted) for each row of ``docs``.
 
     Learned from texts outside the held-out fold whose lang is not null.  ``accepted`` is false where the
@@ -93,12 +112,22 @@ def languages(docs: DataFrame, modulus: int = 3, rest: int = 1, sample: int = SA
     ties go to the first language in order.  Repeated rows are scored each, a null doc_id is not held
     out, extra columns are ignored, an empty table gives an empty result.
     """
-    bc = docs.sparkSession.sparkContext.broadcast(dictionaries(docs, modulus, rest, sample))
+    found = dictionaries(docs, modulus, rest, sample)
+    bc = [docs.sparkSession.sparkContext.broadcast(found[i : i + block]) for i in range(0, len(found), block)]
+    langs = [lang for lang, _ in found]
 
     def score(batches):
-        model = Classifier(bc.value)
+        only = Classifier(bc[0].value) if len(bc) == 1 else None
         for batch in tk.pieces(batches):
-            got = [model.predict(t) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            least = [(0, -1, -1)] * len(texts)
+            # of several blocks one at a time is compiled, which bounds a task's memory
+            for b, part in enumerate(bc):
+                model = only or Classifier(part.value)
+                for i, t in enumerate(texts):
+                    size, best, other = model.smallest(t)
+                    least[i] = merged(least[i], (size, best + b * block if best >= 0 else -1, other))
+            got = [verdict(langs, x) for x in least]
             cols = list(zip(*got, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
 

@@ -156,6 +156,17 @@ def test_held_out_language(spark):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
 
 
+def test_every_language_is_learned_however_many(spark):
+    rng = random.Random(8)
+    vocab = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for _ in range(70)]
+    rows = [(70 * n + i, " ".join(rng.choice(v) for _ in range(60)), f"l{i:02d}") for n in range(6) for i, v in enumerate(vocab)]
+    got = languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    want = {d: lang for d, _, lang in rows}
+    assert all(r.lang_pred == want[r.doc_id] for r in got.collect())
+    some = spark.createDataFrame(rows[:280], "doc_id long, text string, lang string").where("doc_id % 70 < 9")
+    assert sorted(map(tuple, languages(some, block=2).collect())) == sorted(map(tuple, languages(some).collect()))
+
+
 def full_alignment(item, text):
     best = 0
     prev = [0] * (len(text) + 1)
