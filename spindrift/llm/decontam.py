@@ -39,6 +39,18 @@ def grams(words: np.ndarray, n: int = GRAM) -> np.ndarray:
     return h
 
 
+def words_of(hasher: tk.Hasher, data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a UTF-8 text; each character of a script written without spaces is a word."""
+    if not len(data) or data.max() < 0xE0:
+        return hasher.words(data)[2]
+    a, b = data, np.append(data[1:], 0)
+    between = lambda lead, low, high: (a == lead) & (b >= low) & (b <= high)
+    # Thai and Lao, Burmese, Khmer; Chinese and Japanese from U+2E80 to U+9FFF, compatibility forms, beyond the base plane
+    three = between(0xE0, 0xB8, 0xBB) | between(0xE1, 0x80, 0x82) | between(0xE1, 0x9E, 0x9F) | between(0xE2, 0xBA, 0xBF) | (a >= 0xE3) & (a <= 0xE9) | between(0xEF, 0xA4, 0xAB)
+    at3, at4 = np.flatnonzero(three), np.flatnonzero(between(0xF0, 0xA0, 0xB3))
+    return hasher.words(data, np.unique(np.concatenate([at3, at3 + 3, at4, at4 + 4])))[2]
+
+
 def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(score, start, end) of the best local alignment of word arrays ``item`` and ``text``; the range is in text."""
     n = len(text)
@@ -121,12 +133,22 @@ def passages(words: np.ndarray, index: _Index, items: list[np.ndarray], seeds: i
     return out
 
 
+def whole(words: np.ndarray, short: dict[int, _Index]) -> list[tuple[int, float, int, int]]:
+    """(item, score, start, end) of the first place of each item of fewer than GRAM words, by number of words in ``short``."""
+    out = []
+    for n, index in short.items():
+        pos, item, _ = index.hits(grams(words, n))
+        found, first = np.unique(item, return_index=True)
+        out += [(int(it), 1.0, int(a), int(a) + n) for it, a in zip(found, pos[first], strict=True)]
+    return out
+
+
 def _block(rows: list) -> tuple[list, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     hasher = tk.Hasher(tk.class_alnum())
     ids, items = [], []
     for row in rows:
-        w = hasher.words(np.frombuffer((row.text or "").encode(), np.uint8))[2]
-        if len(w) >= GRAM:
+        w = words_of(hasher, np.frombuffer((row.text or "").encode(), np.uint8))
+        if len(w):
             ids.append(row.item_id)
             items.append(w)
     g = [grams(w) for w in items]
@@ -138,10 +160,11 @@ def _block(rows: list) -> tuple[list, list[np.ndarray], np.ndarray, np.ndarray,
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seeds: int = SEEDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word) for each document and item it holds a copy of.
 
-    Words are runs of ASCII letters and digits and of other characters, lower-cased A-Z.  The score is
+    Words are runs of ASCII letters and digits and of other characters, lower-cased A-Z, and single
+    characters of scripts written without spaces.  The score is
     the best alignment's share of the item's perfect one; the words' range is where it lies in the text
-    (the first such place on a tie).  Items with fewer than three words and null or empty texts match
-    nothing; equal items and repeated rows are reported each; a null doc_id is reported as null; empty
+    (the first such place on a tie).  Items with fewer than three words match where their
+    words stand in a text, unedited, with score 1; null or empty texts match nothing; equal items and repeated rows are reported each; a null doc_id is reported as null; empty
     tables give an empty result; extra columns are ignored.
     """
     docs = columns_only(docs, "doc_id", "text")
@@ -161,9 +184,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
         def scan(batches, bc=bc):
             ids, items, h, owner, offset = bc.value
-            hasher, index = tk.Hasher(tk.class_alnum()), _Index(h, owner, offset)
+            hasher, index, short = tk.Hasher(tk.class_alnum()), _Index(h, owner, offset), {}
+            for n in range(1, GRAM):
+                mine = [i for i, w in enumerate(items) if len(w) == n]
+                if mine:
+                    short[n] = _Index(np.concatenate([grams(items[i], n) for i in mine]), np.array(mine), np.zeros(len(mine), np.int64))
             for batch in tk.pieces(batches):
-                got = [(doc, ids[i], score, a, z) for doc, t in zip(batch.column("doc_id").to_pylist(), tk.texts(batch.column("text")), strict=True) for i, score, a, z in passages(hasher.words(t)[2], index, items, seeds, threshold)]
+                got = [(doc, ids[i], score, a, z) for doc, t in zip(batch.column("doc_id").to_pylist(), tk.texts(batch.column("text")), strict=True) for w in (words_of(hasher, t),) for i, score, a, z in passages(w, index, items, seeds, threshold) + whole(w, short)]
                 cols = list(zip(*got, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "start_word", "end_word"])
 

@@ -97,11 +97,11 @@ class Hasher:
             last[b - 1] = w[b - 1]
         return np.flatnonzero(first), np.flatnonzero(last) + 1
 
-    def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, data: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, hashes) of the words of one text of any length, worked in pieces cut at word ends."""
         if self.lower:
             data = self.fold[data]
-        starts, ends = self.spans(data)
+        starts, ends = self.spans(data, breaks)
         out = np.empty(len(starts), dtype=_U)
         i = 0
         while i < len(starts):

@@ -215,6 +215,15 @@ def test_an_edited_copy_is_found_in_however_many_documents_it_stands(spark, copi
     assert sorted(r.doc_id for r in got) == list(range(copies))
 
 
+def test_short_items_and_scripts_without_spaces_are_found(spark):
+    passage = "水在标准大气压下的沸点是一百摄氏度而冰点是零度"
+    items = [(1, "Two words"), (2, "xylophone"), (3, passage), (4, "ภาษาไทยไม่เว้นวรรคระหว่างคำ")]
+    docs = [(1, "here are two words, and two words again"), (2, "two other words"), (3, "a Xylophone"), (4, "今天我们学习" + passage.replace("标准", "正常") + "谢谢大家"), (5, "今天天气很好我们去公园散步吧"), (6, "กขคภาษาไทยไม่เว้นวรรคระหว่างคำกขค"), (7, None)]
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (3, 2), (4, 3), (6, 4)]
+    assert [(r.start_word, r.end_word, r.score) for r in got if r.doc_id == 1] == [(2, 4, 1.0)]
+
+
 def test_targets_share_the_excess():
     assert targets({"a": 10, "b": 1, "c": 10}) == {"a": pytest.approx((21 - 3) * 5 / 6), "b": 3.0, "c": pytest.approx((21 - 3) / 6)}
     assert targets({}) == {} and targets({None: 0}) == {None: 0.0}
