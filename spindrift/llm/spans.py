@@ -1,20 +1,24 @@
 """Substring dedup by sliding sentence spans.
 
 Every run of consecutive sentences is hashed; runs are joined globally on the hash, and each sentence
-covered by an occurrence that is not the first is removed.  Only (hash, doc_id) pairs are shuffled for
-the counts, with map-side combine, so a passage that a third of all documents share is a few partial
-rows; the join back to the documents that hold a repeated run is an ordinary equi-join whose hot keys
-adaptive execution splits.
+covered by an occurrence that is not the first is removed.
+
+A passage rarely begins and ends where a sentence does, so sentences are cut further, at clauses and,
+where no mark stands for some words, behind a word that the words around it single out (the least hash of
+a window).  All cuts depend on the few words around them alone; two copies of a passage are cut alike but
+for its first and last words, whatever stands around them.
+
+Only hashes and doc_ids are shuffled for the counts, with map-side combine, so a passage that a third of
+all documents share is a few partial rows; the join back to the documents that hold a repeated run is an
+ordinary equi-join whose hot keys adaptive execution splits.
 """
 
 from __future__ import annotations
 
-import re
 import sys
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,92 +26,114 @@ from pyspark.sql import functions as F
 from spindrift.llm import textkit as tk
 from spindrift.llm.cluster import columns_only
 
-#: A run is the shortest one from its sentence on with SENTENCES sentences and WORDS words, or with LONG words.
-SENTENCES, WORDS, LONG = 3, 20, 50
-_BREAK = re.compile(r"[.!?]\s+|\n\s*")
-
-
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each sentence that holds a word; an end lies behind the white space that follows."""
-    out, at = [], 0
-    for m in _BREAK.finditer(text):
-        if text[at : m.end()].strip():
-            out.append((at, m.end()))
-            at = m.end()
-    if text[at:].strip():
-        out.append((at, len(text)))
-    return out
-
-
-def runs(text: str, k: int = SENTENCES, words: int = WORDS, long: int = LONG) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
-    """(sentences, word counts, hashes, last): run i has the signed 64-bit hashes[i] and ends with sentence last[i]."""
-    spans = sentences(text)
-    parts = [text[a:b].lower().split() for a, b in spans]
-    count = np.array([len(p) for p in parts], dtype=np.int64)
-    n = len(spans)
-    total = np.concatenate([[0], np.cumsum(count)])
-    i = np.arange(n)
-    last = np.minimum(np.maximum(i + k - 1, np.searchsorted(total, total[:-1] + words) - 1), np.searchsorted(total, total[:-1] + long) - 1)
-    whole = last < n
-    digest = b"".join(xxhash.xxh3_64_digest(" ".join(p)) for p in parts)
-    h = np.array([xxhash.xxh3_64_intdigest(digest[8 * a : 8 * b + 8]) for a, b in zip(i[whole], last[whole], strict=True)], dtype=np.uint64)
-    return spans, count, h.view(np.int64), last[whole]
-
-
-def strip(text: str, remove: set[int], k: int, words: int, long: int) -> tuple[str, int, int, int]:
-    """(text left, sentences, sentences removed, words removed): runs in ``remove`` and repeats inside the text go."""
-    spans, count, h, last = runs(text, k, words, long)
-    drop, seen = np.zeros(len(spans), dtype=bool), set()
-    for i, x in enumerate(h.tolist()):
-        if x in remove or x in seen:
-            drop[i : last[i] + 1] = True
-        seen.add(x)
-    if not drop.any():
-        return text, len(spans), 0, 0
-    kept = "".join(text[a:b] for (a, b), d in zip(spans, drop, strict=True) if not d)
-    return kept.strip(), len(spans), int(drop.sum()), int(count[drop].sum())
-
-
-def dedup_spans(docs: DataFrame, k: int = SENTENCES, words: int = WORDS, long: int = LONG) -> DataFrame:
-    """``docs`` with repeated sentence runs removed: (doc_id, text, lang, source, n_chars, n_sentences, n_removed, words_removed, first_docs).
-
+#: A run is the shortest one from its cut on with PARTS parts of sentences and WORDS words; a cut stands among every WINDOW words.
+PARTS, WORDS, WINDOW = 3, 40, 5
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[[ord(c) for c in ".!?,;:"]] = True
+_U = np.uint64
+
+
+def parts(hasher: tk.Hasher, data: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each word in bytes, hashes of the words, end of each part in words)."""
+    starts, ends, words = hasher.words(data, tk.unspaced(data))
+    if not len(words):
+        return starts, words, np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        rank = tk.mix(words + np.append(words[1:], _U(0)) * _U(tk.MULT))
+    cut = _MARKS[data[ends - 1]]
+    rank[cut] = 0
+    if len(words) >= window:
+        least = np.lib.stride_tricks.sliding_window_view(rank, window).argmin(axis=1)
+        cut[least + np.arange(len(least))] = True
+    cut[-1] = True
+    return starts, words, np.flatnonzero(cut) + 1
+
+
+def runs(hasher: tk.Hasher, words: np.ndarray, ends: np.ndarray, k: int = PARTS, least: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word behind the last, 128-bit hash in two halves) of each run, in the order of the text."""
+    first = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    last = np.maximum(np.searchsorted(ends, first + least), np.arange(len(ends)) + k - 1)
+    whole = last < len(ends)
+    a, b = first[whole], ends[last[whole]]
+    p, q = tk.powers(len(words) + 1, hasher.cache)
+    halves = []
+    with np.errstate(over="ignore"):
+        for x in (words, tk.mix(words ^ _U(0x5851F42D4C957F2D))):
+            total = np.zeros(len(words) + 1, dtype=_U)
+            np.cumsum(x * p[: len(words)], dtype=_U, out=total[1:])
+            halves.append(tk.mix((total[b] - total[a]) * q[a] + (b - a).astype(_U)).view(np.int64))
+    return a, b, halves[0], halves[1]
+
+
+def strip(hasher: tk.Hasher, data: np.ndarray, remove: np.ndarray, k: int, least: int, window: int) -> tuple[bytes | None, int, int, int]:
+    """(text left or None if nothing goes, parts, parts removed, words removed): runs in ``remove`` go, and those met before in the text."""
+    starts, words, ends = parts(hasher, data, window)
+    a, b, h, _ = runs(hasher, words, ends, k, least)
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    gone = np.flatnonzero(np.isin(h, remove) | (b[first][which] <= a)) if len(h) else first
+    if not len(gone):
+        return None, len(ends), 0, 0
+    step = np.zeros(len(words) + 1, np.int64)
+    np.add.at(step, a[gone], 1)
+    np.add.at(step, b[gone], -1)
+    drop = np.cumsum(step)[:-1] > 0
+    edge = np.flatnonzero(np.diff(drop, prepend=False, append=False))
+    offset = np.append(starts, len(data))
+    kept, at = [], 0
+    for x, y in offset[edge].reshape(-1, 2).tolist():
+        kept.append(data[at:x].tobytes())
+        at = y
+    kept.append(data[at:].tobytes())
+    return b"".join(kept).strip(), len(ends), int(drop[ends - 1].sum()), int(drop.sum())
+
+
+def dedup_spans(docs: DataFrame, k: int = PARTS, words: int = WORDS, window: int = WINDOW) -> DataFrame:
+    """``docs`` with repeated sentence runs removed: (doc_id, text, lang, source, n_chars, n_parts, n_removed, words_removed, first_docs).
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, in scripts without spaces characters.  Every
+    passage of words + 2 * window + 1 words (51) or more that recurs is found wherever it begins, and loses
+    all but at most ``window`` words at either end; nothing goes but runs of ``words`` words or more.
     A run's first occurrence is in the smallest doc_id that holds it, at its smallest position; it stays,
-    every sentence of every other occurrence goes, and first_docs lists the documents that keep them.
-    Letter case and white space do not matter.
+    every sentence part of every other occurrence goes, and first_docs lists the documents that keep them.
+    Inside a text an occurrence counts as another where it does not overlap the first.
     n_chars follows a text that was changed.  A text that loses nothing stays as it is, to the byte;
-    one that loses all becomes empty.  Null texts stay null; a row with a null doc_id is only searched
-    for repeats inside itself; rows that share a doc_id are one document and do not strip each other; an
-    empty table gives an empty result; extra columns are not carried.
+    one that loses all becomes empty.  Texts of any length are worked whole; null and empty texts stay; a
+    row with a null doc_id is only searched for repeats inside itself; rows that share a doc_id are one
+    document and do not strip each other; an empty table gives an empty result; extra columns are not carried.
     """
 
     def emit(batches):
+        hasher = tk.Hasher(tk.class_space_delimited())
         for batch in tk.pieces(batches):
-            ids, hashes = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h = np.unique(runs(text, k, words, long)[2])
-                hashes.append(h)
-                ids.append(np.full(len(h), doc, dtype=np.int64))
-            empty = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes) if hashes else empty), pa.array(np.concatenate(ids) if ids else empty)], ["h", "doc_id"])
+            found = [[np.zeros(0, np.int64)] for _ in range(3)]
+            for doc, data in zip(batch.column("doc_id").to_pylist(), tk.texts(batch.column("text")), strict=True):
+                h, g = runs(hasher, *parts(hasher, data, window)[1:], k, words)[2:]
+                h, at = np.unique(h, return_index=True)
+                for out, column in zip(found, (h, g[at], np.full(len(h), doc)), strict=True):
+                    out.append(column)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], ["h", "g", "doc_id"])
 
     def apply(batches):
+        hasher = tk.Hasher(tk.class_space_delimited())
         for batch in tk.pieces(batches):
+            old = batch.column("text").to_pylist()
             got = [[], [], [], [], []]
-            for text, remove, size in zip(*(batch.column(c).to_pylist() for c in ("text", "remove", "n_chars")), strict=True):
-                row = (text, 0, 0, 0) if text is None else strip(text, set(remove or ()), k, words, long)
-                for out, value in zip(got, (*row, len(row[0]) if row[2] else size), strict=True):
+            for text, data, remove, size in zip(old, tk.texts(batch.column("text")), batch.column("remove").to_pylist(), batch.column("n_chars").to_pylist(), strict=True):
+                left, *counts = strip(hasher, data, np.array(remove or [], np.int64), k, words, window)
+                left = text if left is None else left.decode()
+                for out, value in zip(got, (left, *counts, len(left) if counts[1] else size), strict=True):
                     out.append(value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(got[0], pa.string()), batch.column("lang"), batch.column("source"), pa.array(got[4], pa.int64()), *[pa.array(g, pa.int64()) for g in got[1:4]], batch.column("first_docs")],
-                ["doc_id", "text", "lang", "source", "n_chars", "n_sentences", "n_removed", "words_removed", "first_docs"],
+                ["doc_id", "text", "lang", "source", "n_chars", "n_parts", "n_removed", "words_removed", "first_docs"],
             )
 
     docs = columns_only(docs, "doc_id", "text", "lang", "source", "n_chars")
-    found = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(emit, "h long, doc_id long")
-    repeated = found.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("h", "first_doc")
-    hits = found.join(repeated, "h").where("doc_id > first_doc")
+    found = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(emit, "h long, g long, doc_id long")
+    repeated = found.groupBy("h", "g").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    hits = found.join(repeated, ["h", "g"]).where("doc_id > first_doc")
     remove = hits.groupBy("doc_id").agg(F.collect_set("h").alias("remove"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
-    schema = "doc_id long, text string, lang string, source string, n_chars long, n_sentences long, n_removed long, words_removed long, first_docs array<long>"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_parts long, n_removed long, words_removed long, first_docs array<long>"
     return docs.join(remove, "doc_id", "left").mapInArrow(apply, schema)
 
 

@@ -115,6 +115,18 @@ class Hasher:
         return starts, ends, out
 
 
+def unspaced(data: np.ndarray) -> np.ndarray | None:
+    """Offsets around each character of a script written without spaces in a UTF-8 text; such a character is a word."""
+    if not len(data) or data.max() < 0xE0:
+        return None
+    a, b = data, np.append(data[1:], 0)
+    between = lambda lead, low, high: (a == lead) & (b >= low) & (b <= high)
+    # Thai and Lao, Burmese, Khmer; Chinese and Japanese from U+2E80 to U+9FFF, compatibility forms, beyond the base plane
+    three = between(0xE0, 0xB8, 0xBB) | between(0xE1, 0x80, 0x82) | between(0xE1, 0x9E, 0x9F) | between(0xE2, 0xBA, 0xBF) | (a >= 0xE3) & (a <= 0xE9) | between(0xEF, 0xA4, 0xAB)
+    at3, at4 = np.flatnonzero(three), np.flatnonzero(between(0xF0, 0xA0, 0xB3))
+    return np.unique(np.concatenate([at3, at3 + 3, at4, at4 + 4]))
+
+
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; with fewer words the whole sequence is one."""
     n = len(words)

@@ -360,30 +360,63 @@ def test_words_beyond_the_most_frequent_are_clustered_by_their_neighbours(spark,
     assert m.sum() == sum(len(t.split()) + 1 for t in texts)
 
 
-def brute_spans(texts, k, least, long):
+def repeats(texts, n):
+    """For each document the words that lie in a run of n words which a smaller id holds too, or which the text had before, apart from it."""
     seen, out = {}, {}
     for d in sorted(texts):
-        found, count, h, last = spans.runs(texts[d], k, least, long)
-        drop = set()
-        for i, x in enumerate(h.tolist()):
-            if x in seen:
-                drop.update(range(i, last[i] + 1))
-            else:
-                seen[x] = d
-        out[d] = len(drop)
+        w, hit = words(texts[d]), set()
+        for i in range(len(w) - n + 1):
+            doc, at = seen.setdefault(tuple(w[i : i + n]), (d, i))
+            if doc != d or i >= at + n:
+                hit.update(range(i, i + n))
+        out[d] = hit
     return out
 
 
-def test_spans_equal_a_sequential_scan(spark):
+def test_every_long_repeat_goes_and_nothing_but_repeats(spark):
     docs = load(spark, SF01, "documents")
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
-    got = {r.doc_id: r.n_removed for r in spans.dedup_spans(docs).collect()}
-    assert got == brute_spans(texts, spans.SENTENCES, spans.WORDS, spans.LONG)
+    got = {r.doc_id: r for r in spans.dedup_spans(docs).collect()}
+    must, may = repeats(texts, spans.WORDS + 2 * spans.WINDOW + 1), repeats(texts, spans.WORDS)
+    assert sum(map(bool, must.values())) > 50
+    for d, text in texts.items():
+        r, w = got[d], words(text)
+        if not r.n_removed:
+            assert r.text == text and not must[d], d
+            continue
+        left = words(r.text)
+        assert len(w) - len(left) == r.words_removed <= len(may[d]) and r.n_chars == len(r.text), d
+        # what is left is the text in its order, less words of repeats; of long repeats the edges at most
+        assert r.words_removed >= 0.7 * len(must[d]), d
+        at = iter(w)
+        assert all(x in at for x in left), d
+
+
+def test_a_passage_is_found_wherever_it_begins(spark):
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(3000)]
+    rows = []
+    for p in range(60):
+        passage = [rng.choice(vocab) + rng.choice(["", "", "", ",", "."]) for _ in range(51)]
+        for c in range(3):
+            filler = [[rng.choice(vocab) + rng.choice(["", "", "."]) for _ in range(rng.randrange(0, 30))] for _ in range(2)]
+            rows.append((10 * p + c, " ".join(filler[0] + passage + filler[1])))
+    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        assert (got[d].words_removed == 0) if d % 10 == 0 else (41 <= got[d].words_removed <= 51), d
+        assert (got[d].first_docs or [d])[0] == d - d % 10
 
 
-def test_span_runs_are_shortest_and_text_is_kept_to_the_byte(spark):
-    passage = "Alpha beta gamma delta epsilon zeta. Eta theta iota kappa lambda mu nu. Xi omicron pi rho sigma tau upsilon phi chi."
-    rows = [(1, f"First one. {passage} End one."), (2, f"Other start.\n{passage}  Tail stays  as it is."), (3, "Nothing  shared\there.")]
+def test_span_text_is_kept_to_the_byte(spark):
+    passage = " ".join(f"Alpha{i} beta{i}, gamma{i} delta{i} epsilon{i}." for i in range(9))
+    chars = "水在标准大气压下的沸点是一百摄氏度而冰点是零度" * 1 + "今天我们学习如何在长文本中找到重复的段落并且只留下第一次出现的位置"
+    rows = [(1, f"First one. {passage} End one."), (2, f"Other start.\n{passage}  Tail stays  as it is."), (3, "Nothing  shared\there."), (4, "甲乙丙丁" + chars), (5, "戊己庚辛" + chars + "子丑寅卯")]
     got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].text == rows[0][1] and got[3].text == rows[2][1]
-    assert got[2].text == "Other start.\nTail stays  as it is." and got[2].first_docs == [1] and got[2].words_removed == 22
+    assert got[1].text == rows[0][1] and got[3].text == rows[2][1] and got[4].text == rows[3][1]
+    assert got[2].text == "Other start.\nTail stays  as it is." and got[2].first_docs == [1] and got[2].words_removed == 45
+    assert got[5].first_docs == [4] and got[5].text.startswith("戊己庚辛") and got[5].text.endswith("子丑寅卯") and got[5].words_removed >= 41
+
+
+def test_inside_a_text_the_first_occurrence_stays_whole(spark):
+    got = spans.dedup_spans(spark.createDataFrame([(1, "la " * 200), (2, "la " * 90)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [("la " * 40).strip(), ""]
