@@ -3,7 +3,7 @@
 Every run of consecutive sentences is hashed; runs are joined globally on the hash, and each sentence
 covered by an occurrence that is not the first is removed.
 
-A passage rarely begins and ends where a sentence does, so sentences are cut further, at clauses and,
+A passage rarely begins and ends where a sentence does, so long sentences are cut further, at clauses or,
 where no mark stands for some words, behind a word that the words around it single out (the least hash of
 a window).  All cuts depend on the few words around them alone; two copies of a passage are cut alike but
 for its first and last words, whatever stands around them.
@@ -27,9 +27,9 @@ from spindrift.llm import textkit as tk
 from spindrift.llm.cluster import columns_only
 
 #: A run is the shortest one from its cut on with PARTS parts of sentences and WORDS words; a cut stands among every WINDOW words.
-PARTS, WORDS, WINDOW = 3, 40, 5
-_MARKS = np.zeros(256, dtype=bool)
-_MARKS[[ord(c) for c in ".!?,;:"]] = True
+PARTS, WORDS, WINDOW = 3, 35, 8
+_SENTENCE, _CLAUSE = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_SENTENCE[[ord(c) for c in ".!?"]] = _CLAUSE[[ord(c) for c in ",;:"]] = True
 _U = np.uint64
 
 
@@ -39,8 +39,9 @@ def parts(hasher: tk.Hasher, data: np.ndarray, window: int = WINDOW) -> tuple[np
     if not len(words):
         return starts, words, np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        rank = tk.mix(words + np.append(words[1:], _U(0)) * _U(tk.MULT))
-    cut = _MARKS[data[ends - 1]]
+        rank = tk.mix(words + np.append(words[1:], _U(0)) * _U(tk.MULT)) | _U(1 << 63)
+    cut = _SENTENCE[data[ends - 1]]
+    rank[_CLAUSE[data[ends - 1]]] >>= _U(1)
     rank[cut] = 0
     if len(words) >= window:
         least = np.lib.stride_tricks.sliding_window_view(rank, window).argmin(axis=1)
@@ -50,19 +51,19 @@ def parts(hasher: tk.Hasher, data: np.ndarray, window: int = WINDOW) -> tuple[np
 
 
 def runs(hasher: tk.Hasher, words: np.ndarray, ends: np.ndarray, k: int = PARTS, least: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, word behind the last, 128-bit hash in two halves) of each run, in the order of the text."""
+    """(first word, word behind the last, hash of 64 bits, 32 bits more) of each run, in the order of the text."""
     first = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     last = np.maximum(np.searchsorted(ends, first + least), np.arange(len(ends)) + k - 1)
     whole = last < len(ends)
     a, b = first[whole], ends[last[whole]]
     p, q = tk.powers(len(words) + 1, hasher.cache)
-    halves = []
+    hashes = []
     with np.errstate(over="ignore"):
         for x in (words, tk.mix(words ^ _U(0x5851F42D4C957F2D))):
             total = np.zeros(len(words) + 1, dtype=_U)
             np.cumsum(x * p[: len(words)], dtype=_U, out=total[1:])
-            halves.append(tk.mix((total[b] - total[a]) * q[a] + (b - a).astype(_U)).view(np.int64))
-    return a, b, halves[0], halves[1]
+            hashes.append(tk.mix((total[b] - total[a]) * q[a] + (b - a).astype(_U)).view(np.int64))
+    return a, b, hashes[0], hashes[1].astype(np.int32)
 
 
 def strip(hasher: tk.Hasher, data: np.ndarray, remove: np.ndarray, k: int, least: int, window: int) -> tuple[bytes | None, int, int, int]:
@@ -91,7 +92,7 @@ def dedup_spans(docs: DataFrame, k: int = PARTS, words: int = WORDS, window: int
     """``docs`` with repeated sentence runs removed: (doc_id, text, lang, source, n_chars, n_parts, n_removed, words_removed, first_docs).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, in scripts without spaces characters.  Every
-    passage of words + 2 * window + 1 words (51) or more that recurs is found wherever it begins, and loses
+    passage of words + 2 * window words (51) or more that recurs is found wherever it begins, and loses
     all but at most ``window`` words at either end; nothing goes but runs of ``words`` words or more.
     A run's first occurrence is in the smallest doc_id that holds it, at its smallest position; it stays,
     every sentence part of every other occurrence goes, and first_docs lists the documents that keep them.
@@ -105,7 +106,7 @@ def dedup_spans(docs: DataFrame, k: int = PARTS, words: int = WORDS, window: int
     def emit(batches):
         hasher = tk.Hasher(tk.class_space_delimited())
         for batch in tk.pieces(batches):
-            found = [[np.zeros(0, np.int64)] for _ in range(3)]
+            found = [[np.zeros(0, t)] for t in (np.int64, np.int32, np.int64)]
             for doc, data in zip(batch.column("doc_id").to_pylist(), tk.texts(batch.column("text")), strict=True):
                 h, g = runs(hasher, *parts(hasher, data, window)[1:], k, words)[2:]
                 h, at = np.unique(h, return_index=True)
@@ -129,7 +130,7 @@ def dedup_spans(docs: DataFrame, k: int = PARTS, words: int = WORDS, window: int
             )
 
     docs = columns_only(docs, "doc_id", "text", "lang", "source", "n_chars")
-    found = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(emit, "h long, g long, doc_id long")
+    found = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(emit, "h long, g int, doc_id long")
     repeated = found.groupBy("h", "g").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
     hits = found.join(repeated, ["h", "g"]).where("doc_id > first_doc")
     remove = hits.groupBy("doc_id").agg(F.collect_set("h").alias("remove"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
