@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import sys
-from html.parser import HTMLParser
 from urllib.parse import urlsplit
 from xml.etree import ElementTree
 from xml.parsers import expat
@@ -20,6 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.functions import page as pg
 from spindrift.functions import urls
 from spindrift.functions.arrow import struct_udf
 from spindrift.functions.identity import HTML_TYPES
@@ -31,34 +31,6 @@ SITEMAP_TYPES = ("application/xml", "text/xml")
 _REFRESH = re.compile(r"(?:^|;)\s*url\s*=\s*(['\"]?)(.*?)\1\s*$", re.I)
 
 
-class _Anchors(HTMLParser):
-    """One pass over a page: the base, links with their download mark, refresh targets."""
-
-    def __init__(self):
-        super().__init__()
-        self.base = None
-        self.links: list[tuple[str, bool]] = []
-        self.refresh: list[str] = []
-        self.downloads: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        named = dict(attrs)
-        href = named.get("href")
-        if tag == "meta" and (named.get("http-equiv") or "").casefold() == "refresh":
-            found = _REFRESH.search(named.get("content") or "")
-            if found and found[2]:
-                self.refresh.append(found[2])
-        if not href:
-            return
-        if tag == "base":
-            self.base = self.base or href
-        elif tag in ("a", "area", "link"):
-            saved = tag == "a" and "download" in named
-            self.links.append((href, saved))
-            if saved:
-                self.downloads.append(href)
-
-
 def _resolve(base: str, href: str, keep_fragment: bool) -> str | None:
     full = urls.join(base, href.strip())
     if full is None:
@@ -70,19 +42,22 @@ def page_links(url: str | None, html: str | None) -> tuple:
     """([(candidate, download)] sorted, refresh targets, download targets) of one page; the last two keep fragments, and so lose URLs that have one."""
     if url is None or html is None:
         return [], [], [], False, False
-    page = _Anchors()
-    page.feed(html)
-    page.close()
-    base = urls.join(url, page.base) or url if page.base else url
+    tape = pg.events(html)
+    first = next((a["href"] for _, a in pg.opened(tape, "base") if a.get("href")), None)
+    base = urls.join(url, first) or url if first else url
+    links = [(a["href"], tag == "a" and "download" in a) for tag, a in pg.opened(tape, "a", "area", "link") if a.get("href")]
+    targets = (_REFRESH.search(a.get("content") or "") for _, a in pg.opened(tape, "meta") if (a.get("http-equiv") or "").casefold() == "refresh")
+    refresh = [m[2] for m in targets if m and m[2]]
+    downloads = [href for href, saved_mark in links if saved_mark]
     saved: dict[str, bool] = {}
-    for href, download in page.links:
+    for href, download in links:
         found = _resolve(base, href, keep_fragment=False)
         if found:
             saved[found] = saved.get(found, False) or download
     def explicit(hrefs):
         return sorted({c for c in (_resolve(base, h, keep_fragment=True) for h in hrefs) if c})
 
-    return [{"url": u, "download": d} for u, d in sorted(saved.items())], explicit(page.refresh), explicit(page.downloads), bool(page.refresh), bool(page.downloads)
+    return [{"url": u, "download": d} for u, d in sorted(saved.items())], explicit(refresh), explicit(downloads), bool(refresh), bool(downloads)
 
 
 @struct_udf("links array<struct<url:string,download:boolean>>, refresh array<string>, downloads array<string>, has_refresh boolean, has_downloads boolean")

@@ -24,6 +24,7 @@ NETWORK_CODES = {
     "gateway.tls_certificate_invalid": "gateway.tls_certificate_invalid",
     "gateway.transport": "robots.network_error",
 }
+_LETTER = {"user-agent": "a", "allow": "r", "disallow": "r", "crawl-delay": "o", "request-rate": "o"}
 _HTML = re.compile(r"^\s*<(?:!doctype\s+html\b|html(?:\s|>))", re.I | re.M)
 
 
@@ -36,41 +37,17 @@ def rules(text: str | None, mime: str | None) -> tuple:
         return [], None
     if mime in ("text/html", "application/xhtml+xml") or _HTML.search(text):
         return [], "robots.parse_error"
-    known = filled = False
-    groups: list[tuple[list[str], list[tuple[bool, str]]]] = []
-    agents: list[str] = []
-    lines: list[tuple[bool, str]] = []
-    reading = 0  # 1 after an agent, 2 after a rule
-    for raw in [*text.removeprefix("﻿").splitlines(), ""]:
-        line = raw.partition("#")[0].strip()
-        if not line:
-            if not raw.strip():
-                if reading == 2:
-                    groups.append((agents, lines))
-                agents, lines, reading = ([], [], 0) if reading else (agents, lines, 0)
-            continue
-        filled = True
-        key, colon, value = (p.strip() for p in line.partition(":"))
-        key = key.lower()
-        if not colon or key not in DIRECTIVES or "<" in line or ">" in line:
-            continue
-        known = True
-        value = unquote(value)
-        if key == "user-agent":
-            if reading == 2:
-                groups.append((agents, lines))
-                agents, lines = [], []
-            agents = [*agents, value.lower()]
-            reading = 1
-        elif reading and key in ("allow", "disallow"):
-            lines.append((key == "allow" or not value, quote(value)))
-            reading = 2
-        elif reading and key != "sitemap":
-            reading = 2
-    if reading == 2:
-        groups.append((agents, lines))
-    if filled and not known:
+    lines = [(raw, *(p.strip() for p in raw.partition("#")[0].partition(":"))) for raw in text.removeprefix("\ufeff").splitlines()]
+    known = [(key.lower(), unquote(value)) if colon and key.lower() in DIRECTIVES and not {"<", ">"} & set(key + value) else None for _, key, colon, value in lines]
+    if not any(known) and any(key or colon for _, key, colon, _ in lines):
         return [], "robots.parse_error"
+    # one letter a line: agents, what follows them, blank lines that end a group; other lines are none
+    seen = [(" ", "", "") if not raw.strip() else (_LETTER.get(found[0], ""), *found) if found else ("", "", "") for (raw, *_), found in zip(lines, known, strict=True)]
+    seen = [x for x in seen if x[0]]
+    groups = []
+    for m in re.finditer("(a+)([ro]+)", "".join(x[0] for x in seen)):
+        agents, asked = seen[m.start(1) : m.end(1)], seen[m.start(2) : m.end(2)]
+        groups.append(([value.lower() for *_, value in agents], [(key == "allow" or not value, quote(value)) for letter, key, value in asked if letter == "r"]))
     # the catch-all group is asked last, the first of its kind counts
     named = [g for g in groups if "*" not in g[0]] + [g for g in groups if "*" in g[0]][:1]
     # a group without rules still answers for its agents: all is allowed
