@@ -1,74 +1,8 @@
-"""Corpus preparation: toxicity, near-dedup, substring dedup, decontamination, mixing to target weights.
+"""Entry of the corpus pipeline; its stages are in the subpackage of the corpus operators."""
 
-Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns the columns of
-``documents``; the last adds the number of the copy.  Rows with a null doc_id cannot be told apart by the
-stages that link or drop by id and pass those; stages on empty tables give empty tables.
-"""
+from spindrift.llm.pipeline import STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from spindrift.llm.cluster import columns_only, cut, load, small
-from spindrift.llm.decontam import contamination
-from spindrift.llm.mixing import mix
-from spindrift.llm.neardup import near_duplicates
-from spindrift.llm.spans import dedup_spans
-from spindrift.llm.toxicity import toxicity
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``dropped``; rows with a null doc_id stay."""
-    return docs.join(small(cut(dropped.select("doc_id").distinct())), "doc_id", "left_anti")
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the toxicity score rejects (0.3 or more)."""
-    scored = toxicity(docs, load(spark, sf_dir, "labels"), carry=COLUMNS[1:])
-    return scored.where("predicted = 0").select(*COLUMNS)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group linked at 0.8 on five-word shingles."""
-    docs = columns_only(docs, *COLUMNS)
-    return _without(docs, near_duplicates(docs, k=5, percent=80).where("not kept")).select(*COLUMNS)
-
-
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated passages from the texts; every document stays, if with less text."""
-    return dedup_spans(docs).select(*COLUMNS)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a copy of a benchmark item."""
-    docs = columns_only(docs, *COLUMNS)
-    return _without(docs, contamination(docs, load(spark, sf_dir, "benchmark"))).select(*COLUMNS)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each copy of a document in the mix: the columns of documents, size, and copy from 1 on."""
-    docs = columns_only(docs, *COLUMNS)
-    copies = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"), F.max("size").alias("size"))
-    mixed = docs.join(copies, docs["doc_id"].eqNullSafe(copies["id"]))
-    return mixed.select(*COLUMNS, "size", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("minhash_near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("benchmark_decontamination", decontaminate),
-    ("mixing", mix_sources),
-]
 #: The learned scores, signatures and roundings of the stages are beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

@@ -224,10 +224,45 @@ def test_short_items_and_scripts_without_spaces_are_found(spark):
     assert [(r.start_word, r.end_word, r.score) for r in got if r.doc_id == 1] == [(2, 4, 1.0)]
 
 
-def test_targets_share_the_excess():
-    assert targets({"a": 10, "b": 1, "c": 10}) == {"a": pytest.approx((21 - 3) * 5 / 6), "b": 3.0, "c": pytest.approx((21 - 3) / 6)}
-    assert targets({}) == {} and targets({None: 0}) == {None: 0.0}
-    assert list(targets({None: 100, "b": 100, "a": 100}, (5, 2, 1)).items())[0] == ("a", pytest.approx(187.5))
+def brute_targets(sizes, weights=(5, 2, 1), cap=3):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    out, left, free = {}, float(sum(sizes.values())), list(order)
+    while free:
+        per = left / sum(weight[s] for s in free)
+        over = [s for s in free if per * weight[s] > cap * sizes[s]]
+        if not over:
+            return out | {s: per * weight[s] for s in free}
+        for s in over:
+            out[s] = float(cap * sizes[s])
+            left -= out[s]
+        free = [s for s in free if s not in out]
+    return out
+
+
+def test_targets_share_the_excess(spark):
+    rng = random.Random(13)
+    cases = [{"a": 10, "b": 1, "c": 10}, {None: 0}, {None: 100, "b": 100, "a": 100}, {"": 5, "B": 1, "a": 1, "ä": 900, None: 3}, {f"s{i}": rng.randrange(0, 10 ** rng.randrange(1, 6)) for i in range(700)}]
+    for sizes in cases:
+        got = targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+        assert {r.source: r.target for r in got} == {s: pytest.approx(t) for s, t in brute_targets(sizes).items()}
+    assert targets(spark.createDataFrame([], "source string, size long")).count() == 0
+
+
+def test_mix_with_many_sources_and_hot_ids(spark):
+    rng = random.Random(14)
+    rows = [(None if i % 3 == 0 else i % 50, "w " * rng.randrange(0, 40), f"s{rng.randrange(900)}" if i % 2 else "hot") for i in range(9000)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows)
+    have = collections.defaultdict(int)
+    for r in got:
+        assert r.taken == r.copies * r.size <= 3 * r.size
+        have[r.source] += r.taken
+    sizes = collections.Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    want = brute_targets({s: sizes[s] for _, _, s in rows})
+    assert all(abs(have[s] - t) <= 40 + 0.001 * t for s, t in want.items())
 
 
 def test_mix_meets_its_targets(spark):
@@ -238,7 +273,7 @@ def test_mix_meets_its_targets(spark):
     for r in got:
         assert r.size == len(words(text[r.doc_id])) and r.taken <= 3 * r.size
         by[r.source].append(r)
-    want = targets({s: sum(r.size for r in rs) for s, rs in by.items()})
+    want = brute_targets({s: sum(r.size for r in rs) for s, rs in by.items()})
     for s, rs in by.items():
         assert rs[0].target == pytest.approx(want[s]) and abs(sum(r.taken for r in rs) - want[s]) <= 0.02 * want[s]
     assert sorted(map(tuple, mix(docs).collect()), key=repr) == sorted(map(tuple, got), key=repr)

@@ -101,3 +101,27 @@ def test_stages_on_awkward_and_empty_tables(spark, docs, labels, bench, tmp_path
             assert got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"], name
             n = got.count()
             assert n > 0 if rows is docs else n == 0
+
+
+def test_the_mixing_stage_takes_each_row_by_itself(spark):
+    rows = [(i % 10 if i % 4 else None, " ".join(["w"] * (i % 7 + 1)), None, "ab"[i % 2], None) for i in range(1000)]
+    got = corpus_pipeline.STAGES[-1][1](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    size = {s: sum(i % 7 + 1 for i in range(1000) if "ab"[i % 2] == s) for s in "ab"}
+    total = sum(size.values())
+    for s, share in (("a", 5 / 7), ("b", 2 / 7)):
+        assert abs(sum(r.size for r in got if r.source == s) - total * share) <= 14
+    assert all(r.size == len(r.text.split()) and 1 <= r.copy <= 3 for r in got)
+    assert sum(r.doc_id is None for r in got) > 200
+
+
+def test_stages_keep_what_cannot_be_judged(spark, docs, bench, tmp_path):
+    """Without labels nothing is toxic; null, empty and id-less rows pass the filtering stages."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept[name] = sorted((r.doc_id is None, r.doc_id or 0) for r in stage(spark, docs, str(tmp_path)).select("doc_id").collect())
+    every = sorted((d is None, d or 0) for d, *_ in TEXTS)
+    assert kept["toxicity"] == kept["substring_dedup"] == every
+    assert kept["minhash_near_dedup"] == [x for x in every if x != (False, 2)]
+    assert kept["benchmark_decontamination"] == [x for x in every if x[1] not in (1, 2) or x[0]]
