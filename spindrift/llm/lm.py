@@ -7,10 +7,10 @@ ones found the other classes, and in distributed rounds each word is exchanged i
 neighbours are most like its own.  A token's probability is that of its class after the class before it,
 times that of the word in its class, both smoothed.
 
-Counts come from every training document: word counts (a shuffle with map-side combine), symbol and
-class bigrams, the neighbour classes of each clustered word (a shuffle), and, for scoring, the counts
-of the rare words, which are joined by a shuffle.  Broadcast are a bounded head of the word counts and
-the classes of the clustered words, which grow with the vocabulary: 10 bytes a word.
+Counts come from every training document: word counts (a shuffle with map-side combine), then, on the
+texts written as numbers of clustered words, symbol and class bigrams and the neighbour classes of each
+clustered word (a shuffle), and, for scoring, the counts of the rare words, which are joined by a shuffle.
+Broadcast are the clustered words with their counts and classes, which grow with the vocabulary: 16 bytes a word.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from spindrift.llm import textkit as tk
 from spindrift.llm.cluster import columns_only, cut
 from spindrift.llm.labelled import held_out
 
-#: Words broadcast with their counts at most; words clustered one by one, classes they form, classes of endings; passes; smoothing of transitions.
-HEAD, CLUSTERED, CLASSES, ENDINGS, PASSES, ALPHA = 131_072, 1_024, 64, 32, 3, 0.1
+#: Words clustered one by one, classes they form, classes of endings; passes; smoothing of transitions.
+CLUSTERED, CLASSES, ENDINGS, PASSES, ALPHA = 1_024, 64, 32, 3, 0.1
 #: Occurrences from which every word is clustered; distributed rounds; counts by which a class pair is drawn to independence.
 COMMON, ROUNDS, SHRINK = 10, 2, 5.0
 _U = np.uint64
@@ -46,18 +46,18 @@ def _tokens(data: np.ndarray, hasher: tk.Hasher) -> tuple[np.ndarray, np.ndarray
 
 
 def _lookup(keys: np.ndarray, h: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in h whose hash is in the sorted keys, their index there); the sieve is a bitmap over 20 bits."""
+    """(positions in h whose hash is in the sorted keys, their index there); the sieve is a bitmap over 24 bits."""
     if not len(keys):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.flatnonzero(sieve[(h >> _U(44)).astype(np.int64)])
+    at = np.flatnonzero(sieve[(h >> _U(40)).astype(np.int64)])
     k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
     ok = keys[k] == h[at]
     return at[ok], k[ok]
 
 
 def _sieve(keys: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << 20, dtype=bool)
-    out[(keys >> _U(44)).astype(np.int64)] = True
+    out = np.zeros(1 << 24, dtype=bool)
+    out[(keys >> _U(40)).astype(np.int64)] = True
     return out
 
 
@@ -75,44 +75,77 @@ def vocabulary(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "h long, ending int, c long").groupBy("h", "ending").agg(F.sum("c").alias("c"))
 
 
-def bigrams(train: DataFrame, keys: np.ndarray, rank: np.ndarray, words: int = CLUSTERED) -> np.ndarray:
-    """Counts of neighbouring symbols; a symbol is one of ``words`` words or classes, an ending, or a text's start or end."""
-    bc, size = train.sparkSession.sparkContext.broadcast((keys, rank)), words + ENDINGS + 2
+def encode(docs: DataFrame, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(rid, doc_id, held_out, n_tokens, known, logs, codes, h, n) of docs(rid, doc_id, held_out, text), the only pass that sees the texts after the vocabulary.
+
+    ``codes`` are 32-bit numbers: a text's start, its words and its end; words of the sorted ``keys`` by their
+    index, others len(keys) + ending, start and end behind those.  known and logs count the former and sum
+    their log10(c + 0.5); h and n are the hashes of the others, each with its number.
+    """
+    bc = docs.sparkSession.sparkContext.broadcast((keys, counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64)))
+
+    def run(batches):
+        keys, counts = bc.value
+        hasher, sieve = tk.Hasher(tk.class_space_delimited()), _sieve(keys)
+        for batch in tk.pieces(batches):
+            stats, codes, hs, ns = [], [], [], []
+            for t in tk.texts(batch.column("text")):
+                h, e = _tokens(t, hasher)
+                at, k = _lookup(keys, h, sieve)
+                s = np.empty(len(h) + 2, np.uint32)
+                s[0], s[-1] = len(keys) + ENDINGS, len(keys) + ENDINGS + 1
+                s[1:-1] = len(keys) + e
+                s[1 + at] = k
+                rare = np.ones(len(h), bool)
+                rare[at] = False
+                u, n = np.unique(h[rare], return_counts=True)
+                hs.append(u.view(np.int64))
+                ns.append(n.astype(np.int32))
+                codes.append(s.tobytes())
+                stats.append((len(h) + 1, len(at), float(np.log10(counts[k] + 0.5).sum())))
+            cols = list(zip(*stats, strict=True)) or [()] * 3
+            off = np.concatenate([[0], np.cumsum([len(x) for x in hs])]).astype(np.int32)
+            rare_cols = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x) if x else np.zeros(0, d), t)) for x, d, t in ((hs, np.int64, pa.int64()), (ns, np.int32, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], pa.array(codes, pa.binary()), *rare_cols], ["rid", "doc_id", "held_out", "n_tokens", "known", "logs", "codes", "h", "n"])
+
+    return docs.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, codes binary, h array<long>, n array<int>")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all codes of a batch, one text behind the other; where each text begins, and the end)."""
+    if not len(column):
+        return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]]
+    return data.view(np.uint32), (off - off[0]).astype(np.int64) // 4
+
+
+def _symbol_table(rank: np.ndarray, ending: np.ndarray, words: int) -> np.ndarray:
+    """Symbol of each code: rank of a key, or where that is negative the symbol of its ending; endings, start and end behind the first ``words`` symbols."""
+    return np.concatenate([np.where(rank < 0, words + ending, rank), np.arange(words, words + ENDINGS + 2)]).astype(np.int32)
+
+
+def bigrams(train: DataFrame, symbol: np.ndarray, size: int) -> np.ndarray:
+    """Counts of neighbouring symbols of train(codes), ``symbol`` of each code; the last two of ``size`` symbols are a text's start and end."""
+    bc = train.sparkSession.sparkContext.broadcast(symbol)
 
     def count(batches):
-        keys, rank = bc.value
-        hasher, sieve, total = tk.Hasher(tk.class_space_delimited()), _sieve(keys), np.zeros(size * size, np.int64)
+        symbol, total = bc.value, np.zeros(size * size, np.int64)
         for batch in batches:
-            parts, n = [], 0
-            for t in tk.texts(batch.column("text")):
-                s = symbols(*_tokens(t, hasher), keys, rank, sieve, words)[0]
-                parts.append(s[:-1] * size + s[1:])
-                n += len(s)
-                if n > 1 << 20:
-                    total += np.bincount(np.concatenate(parts), minlength=size * size)
-                    parts, n = [], 0
-            if parts:
-                total += np.bincount(np.concatenate(parts), minlength=size * size)
+            s = symbol[_flat(batch.column("codes"))[0]].astype(np.int64)
+            total += np.bincount(s[:-1] * size + s[1:], minlength=size * size)
+        # an end before a start is where one text follows another
+        total[(size - 1) * size + size - 2] = 0
         at = np.flatnonzero(total)
         for i in range(0, max(1, len(at)), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(total[at[i : i + (1 << 16)]])], ["code", "n"])
 
-    rows = train.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    rows = train.select("codes").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size, np.int64)
     out[np.asarray(rows.column("code"))] = np.asarray(rows.column("n"))
     return out.reshape(size, size)
 
 
-def symbols(h: np.ndarray, ending: np.ndarray, keys: np.ndarray, rank: np.ndarray, sieve: np.ndarray, words: int = CLUSTERED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols of a text with its start and end, positions of the words in keys, their index there)."""
-    s = np.empty(len(h) + 2, np.int64)
-    s[0], s[-1] = words + ENDINGS, words + ENDINGS + 1
-    s[1:-1] = words + ending
-    at, k = _lookup(keys, h, sieve)
-    s[1 + at] = rank[k]
-    return s, at, k
-
-
 def affinity(m: np.ndarray, classes: int) -> np.ndarray:
     """[2 * symbols, classes]: what a neighbour behind, then one before, says for each class, as pointwise mutual information."""
     m = m.astype(np.float64)
@@ -128,84 +161,109 @@ def likelihood(m: np.ndarray) -> float:
     return xlx(m) - xlx(m.sum(1)) - xlx(m.sum(0))
 
 
-def exchange_round(train: DataFrame, keys: np.ndarray, cls: np.ndarray, classes: int, m: np.ndarray) -> np.ndarray:
-    """The class that the neighbours of each word in ``keys`` speak for most, its own on a tie; ``m`` counts the bigrams of classes ``cls``."""
-    size = classes + ENDINGS + 2
-    bc = train.sparkSession.sparkContext.broadcast((keys, cls.astype(np.int16 if size < 1 << 15 else np.int32), affinity(m, classes)))
+def exchange_round(train: DataFrame, ending: np.ndarray, cls: np.ndarray, classes: int, m: np.ndarray) -> np.ndarray:
+    """The class that the neighbours of each key speak for most, its own on a tie; ``m`` counts the bigrams of classes ``cls`` in train(codes).
+
+    A task counts its neighbours in a row a word, of 16-bit pairs; a count beyond that is several pairs.
+    """
+    size, n_keys = classes + ENDINGS + 2, len(cls)
+    kind = np.uint16 if 2 * size <= 1 << 16 else np.uint32
+    bc = train.sparkSession.sparkContext.broadcast((_symbol_table(cls, ending, classes), affinity(m, classes)))
 
     def neighbours(batches):
-        keys, cls, _ = bc.value
-        hasher, sieve = tk.Hasher(tk.class_space_delimited()), _sieve(keys)
+        symbol = bc.value[0]
 
         def flush(parts):
             code, n = np.unique(np.concatenate(parts), return_counts=True)
-            for i in range(0, len(code), 1 << 17):
-                c = code[i : i + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array((c // (2 * size)).astype(np.int32)), pa.array((c % (2 * size)).astype(np.int32)), pa.array(n[i : i + (1 << 17)].astype(np.int32))], ["w", "code", "n"])
+            more = -(-n // 65535)
+            if (more > 1).any():
+                code, last = np.repeat(code, more), np.cumsum(more) - 1
+                rest = n - 65535 * (more - 1)
+                n = np.full(len(code), 65535)
+                n[last] = rest
+            w = code // (2 * size)
+            word, first = np.unique(w, return_index=True)
+            pairs = np.empty((len(code), 2), kind)
+            pairs[:, 0], pairs[:, 1] = code % (2 * size), n
+            flat, off = pairs.reshape(-1).view(np.uint8), np.append(first, len(code)) * 2 * pairs.itemsize
+            for i in range(0, len(word), 1 << 14):
+                o = off[i : i + (1 << 14) + 1]
+                data = pa.Array.from_buffers(pa.binary(), len(o) - 1, [None, pa.py_buffer((o - o[0]).astype(np.int32)), pa.py_buffer(flat[o[0] : o[-1]])])
+                yield pa.RecordBatch.from_arrays([pa.array(word[i : i + (1 << 14)].astype(np.int32)), data], ["w", "pairs"])
 
         parts, held = [], 0
         for batch in batches:
-            for t in tk.texts(batch.column("text")):
-                s, at, k = symbols(*_tokens(t, hasher), keys, cls, sieve, classes)
-                parts += [k * (2 * size) + s[at + 2], k * (2 * size) + size + s[at]]
-                held += 2 * len(k)
-                if held > 1 << 22:
-                    yield from flush(parts)
-                    parts, held = [], 0
-        if parts:
+            codes = _flat(batch.column("codes"))[0]
+            s, at = symbol[codes].astype(np.int64), np.flatnonzero(codes < n_keys)
+            k = codes[at].astype(np.int64) * (2 * size)
+            parts += [k + s[at + 1], k + size + s[at - 1]]
+            held += 2 * len(k)
+            if held > 1 << 23:
+                yield from flush(parts)
+                parts, held = [], 0
+        if held:
             yield from flush(parts)
 
     def move(batches):
-        _, cls, says = bc.value
-        rows = [tuple(np.asarray(b.column(i)) for i in range(3)) for b in batches]
-        if not rows:
+        symbol, says = bc.value
+        got = [(np.asarray(b.column("w")), *_flat_pairs(b.column("pairs"), kind)) for b in batches]
+        if not got:
             return
-        w, code, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+        w = np.concatenate([np.repeat(word, count) for word, count, _ in got])
+        pairs = np.concatenate([p for *_, p in got])
         order = np.argsort(w, kind="stable")
-        w, code, n = w[order], code[order], n[order]
+        w, pairs = w[order], pairs[order]
         word, first = np.unique(w, return_index=True)
         first = np.append(first, len(w))
         for i in range(0, len(word), 1024):
             a, b = first[i], first[min(i + 1024, len(word))]
             mine = word[i : i + 1024]
             local = np.searchsorted(mine, w[a:b])
-            table = np.bincount(local * (2 * size) + code[a:b], weights=n[a:b], minlength=len(mine) * 2 * size).reshape(len(mine), 2 * size)
+            table = np.bincount(local * (2 * size) + pairs[a:b, 0], weights=pairs[a:b, 1], minlength=len(mine) * 2 * size).reshape(len(mine), 2 * size)
             score = table @ says
-            best, old = score.argmax(1), cls[mine].astype(np.int64)
+            best, old = score.argmax(1), symbol[mine].astype(np.int64)
             row = np.arange(len(mine))
             stay = (old < classes) & (score[row, np.minimum(old, classes - 1)] >= score[row, best] - 1e-9)
             yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(np.where(stay, old, best).astype(np.int32))], ["w", "c"])
 
-    rows = train.select("text").mapInArrow(neighbours, "w int, code int, n int").repartition("w").mapInArrow(move, "w int, c int").toArrow()
+    rows = train.select("codes").mapInArrow(neighbours, "w int, pairs binary").repartition("w").mapInArrow(move, "w int, c int").toArrow()
     out = cls.copy()
     out[np.asarray(rows.column("w"))] = np.asarray(rows.column("c"))
     return out
 
 
-def cluster(train: DataFrame, keys: np.ndarray, ending: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, int, np.ndarray]:
-    """(class of each word of the sorted ``keys``, number of classes, counts of neighbouring symbols); ``n`` are the words' counts."""
-    order = np.lexsort((keys, -n))
+def _flat_pairs(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of each row, all pairs) of a binary column."""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]].view(kind).reshape(-1, 2)
+    return np.diff(off) // (2 * np.dtype(kind).itemsize), data
+
+
+def cluster(train: DataFrame, ending: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, int, np.ndarray]:
+    """(class of each key, negative for the class of its ending; number of classes; counts of neighbouring symbols) from train(codes); ``n`` are the keys' counts."""
+    order = np.lexsort((np.arange(len(n)), -n))
     top = np.sort(order[:CLUSTERED])
-    cls = np.zeros(len(keys), np.int64)
+    cls = np.full(len(n), -1, np.int64)
     found = 0
     if len(top):
-        cls[top] = exchange(bigrams(train, keys[top], np.arange(len(top)), len(top)), len(top), CLASSES)[: len(top)]
+        rank = cls.copy()
+        rank[top] = np.arange(len(top))
+        cls[top] = exchange(bigrams(train, _symbol_table(rank, ending, len(top)), len(top) + ENDINGS + 2), len(top), CLASSES)[: len(top)]
         found = int(cls[top].max()) + 1
-    classes = max(found, int(len(keys) ** 0.5) // 2)
     rest = order[CLUSTERED:]
-    founders = rest[: classes - found]
-    classes = found + len(founders)
     # the other words begin among the rare ones, by their endings
-    cls[rest] = classes + ending[rest]
+    founders = rest[: max(found, int(len(n) ** 0.5) // 2) - found]
+    classes = found + len(founders)
     cls[founders] = found + np.arange(len(founders))
-    m = bigrams(train, keys, cls, classes)
-    best = None
+    count = lambda: bigrams(train, _symbol_table(cls, ending, classes), classes + ENDINGS + 2)
+    m, best = count(), None
     for _ in range(rounds if len(rest) else 0):
-        cls = exchange_round(train, keys, cls, classes, m)
-        m = bigrams(train, keys, cls, classes)
+        cls = exchange_round(train, ending, cls, classes, m)
+        m = count()
         if best is None or likelihood(m) > likelihood(best[1]):
             best = (cls, m)
-    return (best or (cls, m))[0], classes, (best or (cls, m))[1]
+    cls, m = best or (cls, m)
+    return cls, classes, m
 
 
 def exchange(counts: np.ndarray, words: int, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
@@ -270,64 +328,49 @@ def score_texts(docs: DataFrame, modulus: int = 5, rest: int = 1) -> DataFrame:
     total, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_all, v_all = total + n_docs, distinct + (n_docs > 0)
 
-    step = F.floor(F.log2("c") * 16)
-    levels = vocab.groupBy(step.alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("k")).collect()
-    sum_, least = 0, None
-    for r in levels:
-        if sum_ + r.n > HEAD:
-            break
-        sum_, least = sum_ + r.n, r.least
-    head = vocab.where(F.col("c") >= least).select("h", "ending", "c").toArrow() if least is not None else pa.table({"h": pa.array([], pa.int64()), "ending": pa.array([], pa.int32()), "c": pa.array([], pa.int64())})
-    hh, he, hc = np.asarray(head.column("h")).view(_U), np.asarray(head.column("ending")).astype(np.int64), np.asarray(head.column("c"))
-    common = vocab.where(F.col("c") >= COMMON).select("h", "ending", "c").toArrow()
-    most = np.lexsort((hh, -hc))[:CLUSTERED]
-    keys, first = np.unique(np.concatenate([hh[most], np.asarray(common.column("h")).view(_U)]), return_index=True)
-    key_e = np.concatenate([he[most], np.asarray(common.column("ending")).astype(np.int64)])[first]
-    key_c = np.concatenate([hc[most], np.asarray(common.column("c"))])[first]
-    cls, classes, m = cluster(train, keys, key_e, key_c)
+    common = vocab.where(F.col("c") >= COMMON)
+    if common.count() < CLUSTERED:
+        common = vocab.orderBy(F.desc("c"), "h").limit(CLUSTERED)
+    common = common.select("h", "ending", "c").toArrow()
+    keys = np.asarray(common.column("h")).view(_U)
+    order = np.argsort(keys)
+    keys, key_e, key_c = keys[order], np.asarray(common.column("ending")).astype(np.int64)[order], np.asarray(common.column("c"))[order]
+    rows = cut(encode(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text"), keys, key_c))
+    cls, classes, m = cluster(rows.where("not held_out"), key_e, key_c)
     size = len(m)
     move = np.log10(m + ALPHA) - np.log10(m.sum(1, keepdims=True) + ALPHA * size)
-    n_class = np.bincount(cls, weights=key_c, minlength=size)
-    v_class = np.bincount(cls, minlength=size).astype(np.float64)
-    ends = vocab.groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    for r in ends:
+    symbol = _symbol_table(cls, key_e, classes)
+    n_class = np.bincount(symbol[: len(keys)], weights=key_c, minlength=size)
+    v_class = np.bincount(symbol[: len(keys)], minlength=size).astype(np.float64)
+    for r in vocab.groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         mine = key_e == r.ending
         n_class[classes + r.ending] += r.c - key_c[mine].sum()
         v_class[classes + r.ending] += r.v - mine.sum()
     room = np.log10(n_class + 0.5 * (v_class + 1))
-    sort = np.argsort(hh)
-    bc = spark.sparkContext.broadcast((hh[sort], np.log10(hc[sort] + 0.5), keys, cls.astype(np.int16 if size < 1 << 15 else np.int32), move, room))
-
-    def scan(batches):
-        head_h, head_log, keys, cls, move, room = bc.value
-        hasher, sieve, wide = tk.Hasher(tk.class_space_delimited()), _sieve(keys), _sieve(head_h)
-        for batch in tk.pieces(batches):
-            stats, hs, ns = [], [], []
-            for t in tk.texts(batch.column("text")):
-                h, e = _tokens(t, hasher)
-                c = symbols(h, e, keys, cls, sieve, classes)[0]
-                at, k = _lookup(head_h, h, wide)
-                rare = np.ones(len(h), bool)
-                rare[at] = False
-                u, n = np.unique(h[rare], return_counts=True)
-                hs.append(u.view(np.int64))
-                ns.append(n.astype(np.int32))
-                stats.append((len(h) + 1, len(at), float(head_log[k].sum()), float(move[c[:-1], c[1:]].sum() - room[c[1:-1]].sum())))
-            cols = list(zip(*stats, strict=True)) or [()] * 4
-            off = np.concatenate([[0], np.cumsum([len(x) for x in hs])]).astype(np.int32)
-            rare_cols = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x) if x else np.zeros(0, d), t)) for x, d, t in ((hs, np.int64, pa.int64()), (ns, np.int32, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], *rare_cols], ["rid", "doc_id", "held_out", "n_tokens", "known", "logs", "model", "h", "n"])
+    room[-2:] = 0.0
+    bc = spark.sparkContext.broadcast((symbol, move - room[None, :]))
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
-    rows = cut(rows.mapInArrow(scan, "rid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, model double, h array<long>, n array<int>"))
+    def model(batches):
+        symbol, gain = bc.value
+        for batch in batches:
+            codes, begin = _flat(batch.column("codes"))
+            s = symbol[codes]
+            # from each symbol to the next; what leads from a text's end to the next text is no part of it
+            step = np.append(gain[s[:-1], s[1:]], 0.0)
+            step[begin[1:] - 1] = 0.0
+            total = np.add.reduceat(step, begin[:-1]) if len(codes) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(6)] + [pa.array(total)], ["rid", "doc_id", "held_out", "n_tokens", "known", "logs", "model"])
+
+    scored = rows.drop("h", "n").select("rid", "doc_id", "held_out", "n_tokens", "known", "logs", "codes").mapInArrow(model, "rid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, model double")
     rare = rows.select("rid", F.explode(F.arrays_zip("h", "n")).alias("x")).select("rid", "x.h", "x.n")
-    tail = vocab.where(F.col("c") < least) if least is not None else vocab
-    found = rare.join(tail.select("h", "c"), "h", "left")
+    # words seen before but not clustered
+    tail = vocab.where(F.col("c") < F.lit(int(key_c.min()) if len(key_c) else 1) + 1).select("h", "c")
+    found = rare.join(tail, "h", "left")
     sums = found.groupBy("rid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("r_logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("r_known"))
     logs = F.col("logs") + F.coalesce("r_logs", F.lit(0.0))
     ended = float(np.log10(n_docs + 0.5))
     base = float(np.log10(n_all + 0.5 * (v_all + 1)))
-    return rows.drop("h", "n").join(sums, "rid", "left").select(
+    return scored.join(sums, "rid", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("r_known", F.lit(0)) + F.lit(int(n_docs > 0))).cast("long").alias("n_known"),
         F.lit(int(n_all)).cast("long").alias("train_tokens"),

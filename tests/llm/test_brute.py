@@ -384,11 +384,12 @@ def test_words_beyond_the_most_frequent_are_clustered_by_their_neighbours(spark,
     noun, verb = ([f"{c}{i}x" for i in range(150)] for c in "nv")
     texts = [" ".join(rng.choice((noun, verb)[i % 2]) for i in range(200)) for _ in range(200)]
     hasher = tk.Hasher(tk.class_space_delimited())
-    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    train = spark.createDataFrame([(i, i, False, t) for i, t in enumerate(texts)], "rid long, doc_id long, held_out boolean, text string")
     vocab = lm.vocabulary(train).toArrow()
-    keys = np.asarray(vocab.column("h")).view(np.uint64)
+    keys, counts = np.asarray(vocab.column("h")).view(np.uint64), np.asarray(vocab.column("c"))
     order = np.argsort(keys)
-    cls, classes, m = lm.cluster(train, keys[order], np.asarray(vocab.column("ending"))[order], np.asarray(vocab.column("c"))[order])
+    codes = lm.encode(train, keys[order], counts[order])
+    cls, classes, m = lm.cluster(codes, np.asarray(vocab.column("ending"))[order].astype(np.int64), counts[order])
     of = dict(zip(keys[order].tolist(), cls.tolist(), strict=True))
     kinds = [{of[int(hasher.words(np.frombuffer(w.encode(), np.uint8))[2][0])] for w in words} for words in (noun, verb)]
     assert max(kinds[0] | kinds[1]) < classes and not kinds[0] & kinds[1]
