@@ -1,6 +1,6 @@
 """Media columns: signature sniffing, validation, type correction and carving.
 
-An Aho-Corasick automaton finds all magic bytes of a blob in one pass; a validator of each format then
+A blob of any length is searched whole.  An Aho-Corasick automaton finds all magic bytes of a blob in one pass; a validator of each format then
 walks its structure and confirms the length, so a chance match of a few bytes is no file.  The file at
 offset 0 gives the true type, which corrects the declared one; confirmed files further on are carved.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import math
+import re
 import struct
 import sys
 import zlib
@@ -29,7 +30,7 @@ MAGIC = {
     b"\x1f\x8b\x08": "application/gzip", b"OggS": "audio/ogg", b"fLaC": "audio/flac", b"ftyp": "video/mp4",
 }
 #: Ends that validators look up instead of searching again for each start.
-ENDS = (b"%%EOF", b"PK\x05\x06", b"\xff\xd9")
+ENDS = (b"%%EOF", b"PK\x05\x06")
 UNIT, RATE = 64, 8000
 
 
@@ -72,13 +73,23 @@ def _next(ends: dict, mark: bytes, at: int) -> int:
 
 
 def _jpeg(d: bytes, at: int, ends: dict) -> int:
-    i = at + 2
-    while i + 4 <= len(d) and d[i] == 0xFF:
-        if d[i + 1] == 0xDA:
-            end = _next(ends, b"\xff\xd9", i)
-            return end + 2 - at if end >= 0 else 0
-        i += 2 + struct.unpack_from(">H", d, i + 2)[0]
-    return 0
+    i, scan = at + 2, False
+    while i + 4 <= len(d):
+        if scan:
+            # in a scan a mark is 0xff but before a stuffed 0, a restart or another 0xff
+            i = d.find(b"\xff", i)
+            if i < 0 or i + 2 > len(d):
+                return 0
+            if d[i + 1] in (0, 0xFF) or 0xD0 <= d[i + 1] <= 0xD7:
+                i += 1 + (d[i + 1] != 0xFF)
+                continue
+        if d[i] != 0xFF:
+            return 0
+        if d[i + 1] == 0xD9:
+            break
+        scan = d[i + 1] == 0xDA
+        i += 2 + struct.unpack_from(">H", d, i + 2)[0] if i + 4 <= len(d) else 2
+    return i + 2 - at if d[i : i + 2] == b"\xff\xd9" else 0
 
 
 def _bmp(d: bytes, at: int, ends: dict) -> int:
@@ -104,34 +115,47 @@ def _riff(d: bytes, at: int, ends: dict) -> int:
     return 8 + n if i in (at + 8 + n, at + 9 + n) else 0
 
 
+_UPDATE = re.compile(rb"\s*(?:%(?!PDF-)|\d+\s+\d+\s+obj\b|xref\b|startxref\b)")
+
+
 def _pdf(d: bytes, at: int, ends: dict) -> int:
     end = _next(ends, b"%%EOF", at)
-    return end + 5 - at if end >= 0 and d[at + 5 : at + 8].replace(b".", b"").isdigit() else 0
+    if end < 0 or not d[at + 5 : at + 8].replace(b".", b"").isdigit():
+        return 0
+    # an update follows an end at once and brings an end of its own
+    while (more := _next(ends, b"%%EOF", end + 5)) >= 0 and _UPDATE.match(d, end + 5) and d.find(b"%PDF-", end + 5, more) < 0:
+        end = more
+    return end + 5 - at
 
 
 def _zip(d: bytes, at: int, ends: dict) -> int:
     if at + 30 > len(d) or struct.unpack_from("<H", d, at + 8)[0] not in (0, 8, 9, 12, 14, 93, 95):
         return 0
-    end = _next(ends, b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(d):
-        return 0
-    size, offset, note = struct.unpack_from("<IIH", d, end + 12)
-    return end + 22 + note - at if at + offset + size == end and end + 22 + note <= len(d) else 0
+    if "zip" not in ends:
+        # each end record says where its archive begins, so one that is stored inside another is told apart
+        ends["zip"] = {}
+        for end in ends.get(b"PK\x05\x06", []):
+            if end + 22 <= len(d):
+                size, offset, note = struct.unpack_from("<IIH", d, end + 12)
+                if end + 22 + note <= len(d) and end - size - offset >= 0 and (not size or d[end - size : end - size + 4] == b"PK\x01\x02"):
+                    ends["zip"].setdefault(end - size - offset, end + 22 + note)
+    return ends["zip"].get(at, at) - at
 
 
 def _gzip(d: bytes, at: int, ends: dict) -> int:
     if at + 18 > len(d) or d[at + 3] & 0xE0:
         return 0
-    z, used = zlib.decompressobj(31), 0
+    z, i = zlib.decompressobj(31), at
     try:
-        data = d[at:]
-        while data and not z.eof:
-            z.decompress(data, 1 << 20)
-            data = z.unconsumed_tail or (z.unused_data if z.eof else b"")
+        while not z.eof and i < len(d):
+            data = d[i : i + (1 << 16)]
+            i += len(data)
+            while data and not z.eof:
+                z.decompress(data, 1 << 20)
+                data = z.unconsumed_tail
     except zlib.error:
         return 0
-    used = len(d) - at - len(z.unused_data)
-    return used if z.eof else 0
+    return i - len(z.unused_data) - at if z.eof else 0
 
 
 def _ogg(d: bytes, at: int, ends: dict) -> int:
@@ -142,15 +166,75 @@ def _ogg(d: bytes, at: int, ends: dict) -> int:
     return i - at if at < i <= len(d) else 0
 
 
+def _crc_table(poly: int, bits: int) -> list[int]:
+    out, top, full = [], 1 << (bits - 1), (1 << bits) - 1
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ poly if x & top else x << 1) & full
+        out.append(x)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_head(d: bytes, at: int) -> tuple[int, int] | None:
+    """(bytes of a frame's header, its samples), None if there is none."""
+    if at + 6 > len(d) or d[at] != 0xFF or d[at + 1] & 0xFE != 0xF8 or d[at + 3] & 1:
+        return None
+    block, rate = d[at + 2] >> 4, d[at + 2] & 15
+    lead = d[at + 4]
+    wide = 1 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() if lead != 0xFF else 8
+    i = at + 4 + wide
+    extra = {6: 1, 7: 2}.get(block, 0)
+    end = i + extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if block == 0 or rate == 15 or 0x80 <= lead < 0xC0 or end >= len(d):
+        return None
+    crc = 0
+    for x in d[at:end]:
+        crc = _CRC8[crc ^ x]
+    samples = 192 if block == 1 else 576 << (block - 2) if block < 6 else int.from_bytes(d[i : i + extra]) + 1 if block < 8 else 256 << (block - 8)
+    return (end + 1 - at, samples) if crc == d[end] else None
+
+
 def _flac(d: bytes, at: int, ends: dict) -> int:
-    return len(d) - at if at + 42 <= len(d) and d[at + 4] & 0x7F == 0 and d[at + 5 : at + 8] == b"\x00\x00\x22" else 0
+    i, last, info = at + 4, 0, b""
+    while not last:
+        if i + 4 > len(d) or d[i] & 0x7F == 127:
+            return 0
+        last, kind, n = d[i] & 0x80, d[i] & 0x7F, int.from_bytes(d[i + 1 : i + 4])
+        if (kind == 0) != (not info) or kind == 0 and n != 34 or i + 4 + n > len(d):
+            return 0
+        info = info or d[i + 4 : i + 4 + n]
+        i += 4 + n
+    total, done = int.from_bytes(info[10:18]) & (1 << 36) - 1, 0
+    while (head := _flac_head(d, i)) and not (total and done >= total):
+        # a frame ends where its checksum is 0 and another begins, or the samples or the bytes are at their end
+        done += head[1]
+        crc, end = 0, 0
+        for j in range(i, len(d)):
+            crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ d[j]]
+            if crc == 0 and j >= i + head[0] + 2 and (total and done >= total or j + 1 == len(d) or _flac_head(d, j + 1)):
+                end = j + 1
+                break
+        if not end:
+            return 0
+        i = end
+    return i - at if done >= total else 0
 
 
 def _mp4(d: bytes, at: int, ends: dict) -> int:
     i = start = at - 4
-    while start >= 0 and i + 8 <= len(d):
+    while start >= 0 and i + 8 <= len(d) and d[i + 4 : i + 8].isalnum():
         (n,) = struct.unpack_from(">I", d, i)
-        if n < 8 or i + n > len(d) or not d[i + 4 : i + 8].isalnum():
+        if n == 1 and i + 16 <= len(d):
+            (n,) = struct.unpack_from(">Q", d, i + 8)
+            least = 16
+        else:
+            # a box of size 0 is the last and takes what is left
+            n, least = n or len(d) - i, 8
+        if n < least or i + n > len(d):
             break
         i += n
     return i - start if start >= 0 and i > start else 0

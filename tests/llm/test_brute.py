@@ -296,6 +296,87 @@ def test_media_round_trip_and_carving():
     assert [(k, tail[a : a + n]) for k, a, n in media.sniff(tail, auto)] == [("image/png", png), ("image/gif", gif), ("application/gzip", zipped), ("application/pdf", b"%PDF-1.7 x %%EOF")]
 
 
+def _crc(data, poly, bits):
+    crc = 0
+    for byte in data:
+        for bit in range(7, -1, -1):
+            top = crc >> (bits - 1) & 1 ^ byte >> bit & 1
+            crc = (crc << 1 & (1 << bits) - 1) ^ (poly if top else 0)
+    return crc
+
+
+def _flac(frames, values=(7, 9, 11, 13)):
+    out = b"fLaC\x80\x00\x00\x22" + struct.pack(">HH", 192, 192) + b"\x00" * 6 + ((44100 << 44 | 0 << 41 | 15 << 36 | 192 * frames).to_bytes(8)) + b"\x00" * 16
+    for i in range(frames):
+        frame = b"\xff\xf8\x19\x08" + bytes([i])
+        frame += bytes([_crc(frame, 0x07, 8)]) + b"\x00" + struct.pack(">h", values[i % 4])
+        out += frame + struct.pack(">H", _crc(frame, 0x8005, 16))
+    return out
+
+
+def _files():
+    import io
+    import zipfile
+
+    def archive(method, **files):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", method) as z:
+            for name, data in files.items():
+                z.writestr(name, data)
+        return buffer.getvalue()
+
+    inner = archive(zipfile.ZIP_STORED, a=b"inner")
+    box = lambda kind, body, wide=False: (struct.pack(">I4sQ", 1, kind, 16 + len(body)) if wide else struct.pack(">I4s", 8 + len(body), kind)) + body
+    riff = lambda kind, body: b"RIFF" + struct.pack("<I", 4 + len(body)) + kind + body
+    segment = lambda mark, body: bytes([0xFF, mark]) + struct.pack(">H", 2 + len(body)) + body
+    page = lambda flag, body: b"OggS\x00" + bytes([flag]) + b"\x00" * 20 + bytes([1, len(body)]) + body
+    return {
+        "image/jpeg": b"\xff\xd8" + segment(0xE0, b"JFIF\x00") + segment(0xDA, b"\x01") + b"data\xff\x00\xff\xd0more" + segment(0xC4, b"\xff\xd9table") + segment(0xDA, b"\x02") + b"rest\xff\xd9",
+        "image/bmp": b"BM" + struct.pack("<IIIIiiHHIIiiII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + b"\x01\x02\x03\x00",
+        "application/zip": archive(zipfile.ZIP_STORED, first=b"x" * 50, second=inner, third=b"y"),
+        "audio/ogg": page(2, b"head") + page(4, b"tail"),
+        "audio/flac": _flac(5),
+        "video/mp4": box(b"ftyp", b"isom\x00\x00\x00\x00") + box(b"mdat", b"z" * 8, wide=True) + box(b"moov", b"m"),
+        "video/x-msvideo": riff(b"AVI ", b"LIST\x04\x00\x00\x00abcd"),
+        "image/webp": riff(b"WEBP", b"VP8 \x03\x00\x00\x00abc\x00"),
+        "application/pdf": b"%PDF-1.4 a %%EOF\n1 0 obj x startxref 3 %%EOF",
+        "audio/wav": media.wav(b"abc"),
+    }
+
+
+@pytest.mark.parametrize("kind", sorted(_files()))
+def test_each_format_is_confirmed_with_its_length(kind):
+    data, auto = _files()[kind], media.automaton()
+    assert media.sniff(data, auto)[0] == (kind, 0, len(data))
+    assert all(n < len(data) - 1 for k, at, n in media.sniff(data[:-1], auto) if (k, at) == (kind, 0))
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 0) + b"IHDR" + struct.pack(">I", zlib.crc32(b"IHDR")) + struct.pack(">I", 0) + b"IEND" + struct.pack(">I", zlib.crc32(b"IEND"))
+    blob = b"?" + data + png
+    assert [(k, blob[a : a + n]) for k, a, n in media.sniff(blob, auto)] == [(kind, data), ("image/png", png)]
+
+
+def test_declared_types_are_corrected_and_embedded_files_carved(spark):
+    files = _files()
+    rows = [(i, len(d), k if i % 2 else "text/plain", d + files["image/bmp"]) for i, (k, d) in enumerate(sorted(files.items()))] + [(99, 3, "text/plain", b"abc"), (100, 0, None, None)]
+    got = {r.doc_id: r for r in media.inspect(spark.createDataFrame(rows, "doc_id long, n_bytes long, declared string, media binary")).collect()}
+    for i, (kind, data) in enumerate(sorted(files.items())):
+        assert got[i].true_type == kind and got[i].corrected == (i % 2 == 0)
+        assert [(c["type"], c["at"], c["length"]) for c in got[i].carved if c["at"] >= len(data)] == [("image/bmp", len(data), 58)]
+    assert got[99].true_type == "application/octet-stream" and got[99].corrected and not got[99].carved
+
+
+def test_media_digests_equal_plain_python(spark):
+    import hashlib
+
+    docs = load(spark, SF01, "documents")
+    got = {r.doc_id: r for r in media.inspect(media.encode(docs)).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        raw = (r.text or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        x = got[r.doc_id]
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])), r.doc_id
+        assert x.media_sha256 == hashlib.sha256(media.wav(payload)).hexdigest() and x.media_bytes == 44 + len(payload) and x.feature.startswith("audio/wav;")
+
+
 def test_every_license_rule_matches_and_passes_its_gates(spark):
     def sample(p):
         p = re.sub(r"\(\?![^)]*\)", "", p)
