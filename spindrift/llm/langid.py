@@ -20,8 +20,8 @@ from spindrift.llm import textkit as tk
 from spindrift.llm.cluster import columns_only, cut
 from spindrift.llm.labelled import held_out
 
-#: Sampled texts of a language and characters of each; bytes of a dictionary, bytes of a piece, zstandard level; languages whose dictionaries are broadcast and compiled together.
-SAMPLE, SLICE, DICTIONARY, PIECE, LEVEL, LANGUAGES = 300, 1_000, 96_000, 1_500, 9, 64
+#: Sampled texts of a language and characters of each, all of which make its dictionary; bytes of a piece, zstandard level; languages whose dictionaries are broadcast and compiled together.
+SAMPLE, SLICE, PIECE, LEVEL, LANGUAGES = 320, 320, 1_500, 9, 64
 #: Share of the size by which the best must beat the next to be accepted.
 MARGIN = 0.02
 _LETTER, _OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
@@ -35,25 +35,25 @@ def letters(text: str) -> str:
 def dictionaries(docs: DataFrame, modulus: int, rest: int, sample: int = SAMPLE) -> list[tuple[str, bytes]]:
     """[(lang, dictionary)] from about ``sample`` texts a language of the training fold, a window of SLICE characters of each.
 
-    The windows lie where a hash of doc_id puts them.  Every language of the training fold is learned.
+    The windows lie where a hash of doc_id and text puts them; equal windows of a language count once, however
+    many rows hold them.  Every language of the training fold is learned.
     """
     rows = columns_only(docs, "doc_id", "text", "lang").where("lang is not null and text is not null and length(text) > 0").where(~held_out(modulus, rest))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return []
     rate = cut(docs.sparkSession.createDataFrame([(r.lang, min(1.0, sample / r.n)) for r in counts], "lang string, rate double"))
-    u = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(11)), F.lit(1 << 24)) / float(1 << 24)
-    at = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(12)), F.greatest(F.lit(1), F.length("text") - SLICE + 1)) + 1
+    # rows without an id are told apart by their texts
+    u = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit(11)), F.lit(1 << 24)) / float(1 << 24)
+    at = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit(12)), F.greatest(F.lit(1), F.length("text") - SLICE + 1)) + 1
     picked = rows.join(F.broadcast(rate), "lang").where(u < F.col("rate"))
+    parts = picked.select("lang", u.alias("u"), F.substring("text", at.cast("int"), F.lit(SLICE)).alias("part")).groupBy("lang", "part").agg(F.min("u").alias("u")).toArrow().to_pylist()
     got: dict[str, list[tuple]] = {r.lang: [] for r in counts}
-    for r in picked.select("lang", "doc_id", u.alias("u"), F.substring("text", at.cast("int"), F.lit(SLICE)).alias("part")).toArrow().to_pylist():
-        got[r["lang"]].append((r["u"], r["doc_id"] or 0, r["part"]))
+    for r in parts:
+        got[r["lang"]].append((r["u"], r["part"]))
     out = []
     for lang in sorted(got):
-        seen: dict[str, None] = {}
-        for _, _, part in sorted(got[lang]):
-            seen.setdefault(part)
-        raw = letters(" ".join(seen)).encode()[:DICTIONARY]
+        raw = letters(" ".join(part for _, part in sorted(got[lang]))).encode()
         if len(raw) >= 8:
             out.append((lang, raw))
     return out
