@@ -20,8 +20,9 @@ def held_out(modulus: int, rest: int):
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int, modulus: int = 4, rest: int = 2) -> DataFrame:
     """(doc_id, text, y) of at most ``limit`` labelled documents outside the held-out fold, the first by a hash of doc_id.
 
-    Rows with a null doc_id or label are passed over; of repeated label rows the largest label counts.
+    Rows with a null doc_id or label are passed over; of repeated label rows the largest label counts, of repeated
+    documents the smallest text, so what is learned from is bounded by ``limit`` texts.
     """
     y = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(remainder(modulus) != rest)
     picked = cut(y.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    return columns_only(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return columns_only(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))

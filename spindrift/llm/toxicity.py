@@ -24,8 +24,8 @@ from spindrift.llm import textkit as tk
 from spindrift.llm.cluster import columns_only, cut
 from spindrift.llm.labelled import held_out, training_texts
 
-#: Labelled texts learned from, entries of the lexicon, expected chance entries, lengths of stems.
-SAMPLE, TERMS, CHANCE, STEMS = 12_000, 2_000, 0.05, range(4, 11)
+#: Labelled texts learned from, expected chance entries of the lexicon, lengths of stems.
+SAMPLE, CHANCE, STEMS = 12_000, 0.05, range(4, 11)
 #: Words of context on either side of a hit, and what a quotation leaves of its evidence.
 WINDOW, QUOTED = 4, 0.25
 _TOKEN = re.compile(r"\w+|[\"“”„«»‘’]")
@@ -135,8 +135,8 @@ class Automaton:
         return (stem, 0) if stem >= 0 else None
 
 
-def learn(train: DataFrame, limit: int = TERMS) -> tuple[list[str], float]:
-    """(terms, base rate); stems end in '*'.  Counts are made by the executors, once a document."""
+def learn(train: DataFrame) -> tuple[list[str], float]:
+    """(terms, base rate); stems end in '*'.  Counts are made by the executors, once a document.  All terms that pass the test are kept: the sample bounds them."""
 
     def count(batches):
         for batch in tk.pieces(batches):
@@ -161,7 +161,7 @@ def learn(train: DataFrame, limit: int = TERMS) -> tuple[list[str], float]:
     n = F.col("pos") + F.col("neg")
     gain = F.col("pos") * F.log(F.col("pos") / (n * base)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (n * (1 - base)))).otherwise(0.0)
     tried = max(1, counts.count()) * 20
-    rows = counts.where(f"term <> '' and pos > {3 * base} * (pos + neg)").where(gain >= math.log(tried / CHANCE)).orderBy(gain.desc(), "term").limit(4 * limit).collect() if q else []
+    rows = counts.where(f"term <> '' and pos > {3 * base} * (pos + neg)").where(gain >= math.log(tried / CHANCE)).orderBy(gain.desc(), "term").collect() if q else []
     found = {r.term: (r.pos, r.neg) for r in rows}
     pure = {t: (a + base) / (a + b + 1) for t, (a, b) in found.items()}
     # of nested stems with nearly the same hits the longest term stands for all; a longer stem with fewer stays only if it is surely purer;
@@ -176,7 +176,7 @@ def learn(train: DataFrame, limit: int = TERMS) -> tuple[list[str], float]:
         shorter = [pure[s] for s in keep if s.endswith("*") and s != t and body.startswith(s[:-1])]
         if t == body or not shorter or a * math.log(pure[t] / max(shorter)) + b * math.log((1 - pure[t]) / (1 - max(shorter))) >= math.log(tried / CHANCE) and pure[t] > max(shorter):
             keep.append(t)
-    return sorted(sorted(keep, key=lambda t: -found[t][0])[:limit]), base
+    return sorted(keep), base
 
 
 def find(text: str, auto: Automaton, memo: dict) -> tuple[int, dict[tuple[int, bool], float]]:
