@@ -122,22 +122,15 @@ def keyword(pattern: str) -> str:
     return max((p.strip() for p in plain.split("\n")), key=len)
 
 
-def _spaces(x: Column) -> Column:
-    return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-
-
 def _starts(words: Column, pattern: Column) -> Column:
-    """array<struct<start, n>> of the places of ``pattern`` in ``words``, in words."""
+    """array<struct<start, n>> of the places of ``pattern`` in ``words``, in words; linear in the text.
+
+    A mark is put before each match, that is behind the word before it, whose number is then the start.
+    """
     found = F.regexp_extract_all(words, pattern, F.lit(0))
-    before = F.slice(F.split(words, pattern, -1), F.lit(1), F.size(found))
-    lengths = F.zip_with(before, found, lambda b, m: F.struct(_spaces(b).alias("skip"), _spaces(m).alias("n")))
-    empty = F.array().cast("array<struct<start:int,n:int>>")
-    return F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["skip"] + x["n"]).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["skip"]).alias("start"), x["n"].alias("n"))).alias("out")),
-        lambda acc: acc["out"],
-    )
+    marked = F.split(F.regexp_replace(words, pattern, F.lit("\u0001$0")), " ", -1)
+    starts = F.filter(F.transform(marked, lambda w, i: F.when(F.endswith(w, F.lit("\u0001")), i)), lambda i: i.isNotNull())
+    return F.zip_with(starts, found, lambda i, m: F.struct(i.alias("start"), (F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit("")))).alias("n")))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
