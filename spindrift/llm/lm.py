@@ -198,7 +198,7 @@ def exchange_round(train: DataFrame, ending: np.ndarray, cls: np.ndarray, classe
             k = codes[at].astype(np.int64) * (2 * size)
             parts += [k + s[at + 1], k + size + s[at - 1]]
             held += 2 * len(k)
-            if held > 1 << 23:
+            if held > 1 << 22:
                 yield from flush(parts)
                 parts, held = [], 0
         if held:
