@@ -12,11 +12,13 @@ BROADCAST_ROWS = 1_000_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` in the shared folder named by spark.checkpoint.dir; a temporary folder only where it is unset."""
+    """``checkpoint()`` in the shared folder named by spark.checkpoint.dir; where it is unset, a temporary folder on a local master and an error on a cluster."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-"))
     return df.checkpoint(eager=True)
 
