@@ -1,14 +1,50 @@
-"""Folders that every executor sees."""
+"""Folders that every executor sees, reliable cuts of lineage, and broadcasts behind a count."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few short columns that a broadcast may hold.
+BROADCAST_ROWS = 1_000_000
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one on a local master and an error on a cluster."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spindrift-")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir; under a temporary folder only where that is unset, as in tests."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spindrift-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder name under ``shared_root``."""
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, written to the checkpoint folder and read from there."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_root(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcast when a count proves it small; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def ranked(rows: DataFrame, order: Column, name: str = "rank") -> DataFrame:
+    """Adds the number of each row from 0 in ``order``: rows are sorted by range, numbers are places in a range and what lies before it."""
+    placed = cut(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    before, total = [], 0
+    for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        before.append((r.part, total))
+        total += r.n
+    offset = rows.sparkSession.createDataFrame(before, "_part long, _before long")
+    return placed.withColumn("_part", part).join(F.broadcast(offset), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_at")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions import identity
+from spindrift.functions.shared import small
 from spindrift.operators.policy import DIGEST, matches
 from spindrift.operators.results import METHODS
 
@@ -19,7 +20,7 @@ def _first_reason(*pairs: tuple[Column, str]) -> Column:
 
 def resolve_skills(skills: DataFrame, tools: DataFrame) -> DataFrame:
     """(site_key, eligible, reasons) of skills(site_key, tool_id, version, category, capabilities): the registered tool of that id must have the exact version and be usable."""
-    t = F.broadcast(tools.select("tool_id", F.col("version").alias("_v"), F.col("category").alias("_c"), F.col("capabilities").alias("_caps"), "health", "qualification"))
+    t = small(tools.select("tool_id", F.col("version").alias("_v"), F.col("category").alias("_c"), F.col("capabilities").alias("_caps"), "health", "qualification"))
     j = skills.join(t, "tool_id", "left")
     missing = F.transform(F.array_sort(F.array_except("capabilities", "_caps")), lambda c: F.concat(F.lit("eligibility.capability_missing:"), c))
     own = F.filter(F.array(F.when(F.col("category") != F.col("_c"), "eligibility.category_mismatch"), F.when(F.col("health") != "healthy", "eligibility.unhealthy"), F.when(F.col("qualification") != "qualified", "eligibility.unqualified")), lambda x: x.isNotNull())
@@ -29,7 +30,7 @@ def resolve_skills(skills: DataFrame, tools: DataFrame) -> DataFrame:
 
 def exact_recipe(recipes: DataFrame, tools: DataFrame) -> DataFrame:
     """Adds ``usable`` to recipes(tool_id, version, capabilities, input_bytes): the discovery tool of that id, version and all capabilities exists and takes the input."""
-    t = F.broadcast(tools.where("category = 'discovery' and health = 'healthy' and qualification = 'qualified'").select("tool_id", F.col("version").alias("_v"), F.col("capabilities").alias("_caps"), "max_input_bytes"))
+    t = small(tools.where("category = 'discovery' and health = 'healthy' and qualification = 'qualified'").select("tool_id", F.col("version").alias("_v"), F.col("capabilities").alias("_caps"), "max_input_bytes"))
     j = recipes.join(t, "tool_id", "left")
     ok = (F.col("_v") == F.col("version")) & (F.size(F.array_except("capabilities", "_caps")) == 0) & (F.col("input_bytes") <= F.col("max_input_bytes"))
     return j.withColumn("usable", F.coalesce(ok, F.lit(False))).drop("_v", "_caps", "max_input_bytes")
@@ -41,7 +42,7 @@ def browser_exclusions(states: DataFrame, wanted: DataFrame) -> DataFrame:
     Of a tool's installed versions the active one speaks, else the wanted one, else the last.
     """
     w = wanted.withColumnRenamed("version", "_want")
-    s = states.join(F.broadcast(w), "tool_id")
+    s = states.join(small(w), "tool_id")
     rank = F.struct(F.col("active").cast("int").alias("a"), (F.col("version") == F.col("_want")).cast("int").alias("w"), "ord")
     pick = s.groupBy("tool_id").agg(F.max_by(F.struct("version", "active", "disabled", "broken", "qualified", "identity_ok"), rank).alias("s"))
     j = w.join(pick, "tool_id", "left")

@@ -148,9 +148,11 @@ def unmatched_changes(changes: DataFrame, pages: DataFrame) -> DataFrame:
 
 def evidence_matches(evidence: DataFrame, attempts: DataFrame) -> DataFrame:
     """Evidence(evidence_id, tool_id, url, outcome, code) with the number of attempts that say exactly the same; one is right."""
-    e, a = evidence.alias("e"), attempts.alias("a")
+    facts = ["tool_id", "url", "outcome", "code"]
+    said = attempts.groupBy(*facts).agg(F.count("*").alias("n")).alias("a")
+    e = evidence.alias("e")
     same = (F.col("e.tool_id") == F.col("a.tool_id")) & (F.col("e.url") == F.col("a.url")) & (F.col("e.outcome") == F.col("a.outcome")) & F.col("e.code").eqNullSafe(F.col("a.code"))
-    return e.join(a, same, "left").groupBy("e.evidence_id").agg(F.count("a.attempt_id").alias("n"))
+    return e.join(said, same, "left").select("e.evidence_id", F.coalesce("a.n", F.lit(0)).alias("n"))
 
 
 def transform_pairs(successes: DataFrame, derived: DataFrame, prefix: str = "urn:spindrift:transform:") -> DataFrame:

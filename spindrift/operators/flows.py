@@ -8,28 +8,26 @@ from pyspark.sql import functions as F
 from spindrift.functions import identity, urls
 from spindrift.operators import discovery, quality, state
 
-NAVIGATION = """
-WITH RECURSIVE walk(start, at, hops, seen, stop) AS (
-  SELECT url, url, 0, array(url), CAST(NULL AS STRING) FROM {starts}
-  UNION ALL
-  SELECT w.start, coalesce(e.target, w.at), w.hops + 1, array_append(w.seen, coalesce(e.target, w.at)),
-    CASE WHEN e.n IS NULL THEN 'terminal_html' WHEN e.n > 1 THEN 'multiple_navigation_targets'
-         WHEN array_contains(w.seen, e.target) THEN 'navigation_loop' WHEN w.hops >= {most} THEN 'navigation_hop_limit' END
-  FROM walk w LEFT JOIN {edges} e ON e.url = w.at WHERE w.stop IS NULL
-)
-SELECT start, seen[hops - 1] AS final_url, CAST(hops - 1 AS BIGINT) AS hops, stop AS stop_reason FROM walk WHERE stop IS NOT NULL
-"""
-
-
 def navigate(starts: DataFrame, edges: DataFrame, most: int = 16) -> DataFrame:
     """(start, final_url, hops, stop_reason): each start followed along edges(url, n, target), n targets of a page and one of them.
 
     A page with no target ends the walk, with several or with one seen before it stops, and so it does
-    after ``most`` hops.  One recursive query, a join a hop for all starts together.
+    after ``most`` hops.  A join a hop for all starts together; walks that have stopped are spread over the
+    tasks and match nothing.
     """
-    starts.select("url").distinct().createOrReplaceTempView("spindrift_starts")
-    edges.select("url", "n", "target").createOrReplaceTempView("spindrift_edges")
-    return starts.sparkSession.sql(NAVIGATION.format(starts="spindrift_starts", edges="spindrift_edges", most=most))
+    c, stopped = F.col, F.col("stop").isNotNull()
+    walk = starts.select(c("url").alias("start")).distinct().withColumns({"at": c("start"), "seen": F.array("start"), "stop": F.lit(None).cast("string")})
+    step = edges.select(c("url").alias("_key"), "n", "target")
+    for hop in range(most + 1):
+        stop = (
+            F.when(c("n").isNull(), "terminal_html").when(c("n") > 1, "multiple_navigation_targets").when(F.array_contains("seen", c("target")), "navigation_loop")
+            .when(F.lit(hop >= most), "navigation_hop_limit")
+        )
+        key = F.when(stopped, F.concat(F.lit("\u0000"), "start")).otherwise(c("at"))
+        walk = walk.withColumn("_key", key).join(step, "_key", "left").withColumn("_stop", F.when(stopped, c("stop")).otherwise(stop))
+        on = c("_stop").isNull()
+        walk = walk.select("start", F.when(on, c("target")).otherwise(c("at")).alias("at"), F.when(on, F.array_append("seen", c("target"))).otherwise(c("seen")).alias("seen"), c("_stop").alias("stop"))
+    return walk.select("start", c("at").alias("final_url"), (F.size("seen") - 1).cast("bigint").alias("hops"), c("stop").alias("stop_reason"))
 
 
 def explore(responses: DataFrame, seeds: DataFrame, limit: int = discovery.LIMIT) -> DataFrame:

@@ -11,14 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.functions.shared import cut, small
+
 # The order in which acquisition tools are tried.
 ORDER = ("acquisition.web_http", "acquisition.playwright", "acquisition.cloakbrowser")
 
 
 def eligibility(tools: DataFrame, requirements: DataFrame) -> DataFrame:
-    """Every requirement with every tool (a broadcast of the tool dimension): (req_id, tool_id, version, eligible, reasons, checks)."""
-    t, r = tools.alias("t"), requirements.alias("r")
-    both = r.join(F.broadcast(t))
+    """Every requirement with every tool (the tool dimension is broadcast behind a count): (req_id, tool_id, version, eligible, reasons, checks)."""
+    r = requirements.alias("r")
+    both = r.join(small(tools).alias("t"))
     c = F.col
     why = lambda bad, code: F.when(bad, F.lit(code))
     installed = c("r.installed").isNull() | F.array_contains(c("r.installed"), c("t.tool_id"))
@@ -72,7 +74,7 @@ def ranking(decisions: DataFrame, preferred: DataFrame) -> DataFrame:
 def followups(failures: DataFrame, tools: DataFrame) -> DataFrame:
     """Tools that may follow failures(run_id, code, tool_id): after a block of plain HTTP only the ordinary browser, else all."""
     narrowed = (F.col("f.code") == "acquisition.cloudflare_blocked") & (F.col("f.tool_id") == "acquisition.web_http")
-    both = failures.alias("f").join(F.broadcast(tools.alias("t")))
+    both = failures.alias("f").join(small(tools).alias("t"))
     return both.where(~narrowed | (F.col("t.tool_id") == "acquisition.playwright")).select("f.run_id", F.col("t.tool_id").alias("next_tool_id"))
 
 
@@ -88,21 +90,26 @@ def lineage_breaks(skills: DataFrame) -> DataFrame:
     return skills.join(prev, ["site_key", "version"], "left").where(~first & ~F.coalesce(F.col("previous_digest") == F.col("_before"), F.lit(False))).select("site_key", "version")
 
 
-ANCESTORS = """
-WITH RECURSIVE line(site_key, digest, ancestor, depth) AS (
-  SELECT site_key, digest, digest, CAST(0 AS BIGINT) FROM {skills}
-  UNION ALL
-  SELECT l.site_key, l.digest, s.previous_digest, l.depth + 1
-  FROM line l JOIN {skills} s ON s.site_key = l.site_key AND s.digest = l.ancestor WHERE s.previous_digest IS NOT NULL
-)
-SELECT site_key, digest, ancestor, depth FROM line
-"""
-
+def ancestors(skills: DataFrame) -> DataFrame:
+    """(site_key, digest, ancestor, depth): each skill version with itself and all before it, by doubling.
 
-def ancestors(skills: DataFrame, view: str = "spindrift_skills") -> DataFrame:
-    """(site_key, digest, ancestor, depth): each skill version with itself and all before it, by a recursive query."""
-    skills.createOrReplaceTempView(view)
-    return skills.sparkSession.sql(ANCESTORS.format(skills=view))
+    After k rounds all ancestors nearer than 2**k are known, and the one that many versions back, from which
+    the next round goes on; the rounds grow with the logarithm of the longest line.  Lines that come back
+    on themselves end after as many versions as their site has.
+    """
+    c = F.col
+    own = skills.select("site_key", "digest")
+    jump = cut(skills.where("previous_digest is not null").select("site_key", "digest", c("previous_digest").alias("far")).distinct())
+    known = cut(own.unionByName(jump.select("site_key", c("far").alias("digest"))).distinct().select("site_key", "digest", c("digest").alias("ancestor"), F.lit(0).cast("bigint").alias("depth")))
+    most = known.groupBy("site_key").count().agg(F.max("count")).first()[0] or 0
+    reach = 1
+    while reach < 2 * most and jump.limit(1).count():
+        hop = jump.withColumnRenamed("digest", "start").withColumnRenamed("far", "digest")
+        further = hop.join(known, ["site_key", "digest"]).select("site_key", c("start").alias("digest"), "ancestor", (c("depth") + reach).alias("depth"))
+        on = jump.select("site_key", c("digest").alias("far"), c("far").alias("next"))
+        known, jump = cut(known.unionByName(further).where(c("depth") < most)), cut(jump.join(on, ["site_key", "far"]).select("site_key", "digest", c("next").alias("far")))
+        reach *= 2
+    return known.join(own.distinct(), ["site_key", "digest"], "left_semi").select("site_key", "digest", "ancestor", "depth")
 
 
 def tool_states(events: DataFrame) -> DataFrame:

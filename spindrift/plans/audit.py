@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.functions import identity, urls
+from spindrift.functions.shared import ranked, small
 from spindrift.operators import constraints, flows, policy
 from spindrift.plans.inputs import ATTEMPTS, attempts, choose_sql, table, values
 from spindrift.plans.web import CANON, accepted
@@ -125,11 +126,8 @@ def identifier_forms(spark, sf_dir):
 @query("SELECT doc_id, 'v' || (doc_id % 3) || '.' || (doc_id % 11) || '.0' AS version, dense_rank() OVER (ORDER BY doc_id % 3, doc_id % 11) AS rank FROM documents")
 def version_order(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("v", F.concat((F.col("doc_id") % 3).cast("string"), F.lit("."), (F.col("doc_id") % 11).cast("string"), F.lit(".0")))
-    distinct = d.select("v").distinct().withColumn("k", identity.version_key(F.col("v")))
-    from pyspark.sql import Window
-
-    ranked = distinct.select("v", F.row_number().over(Window.orderBy("k")).cast("bigint").alias("rank"))
-    return d.join(F.broadcast(ranked), "v").select("doc_id", F.concat(F.lit("v"), "v").alias("version"), "rank")
+    numbered = ranked(d.select("v").distinct().withColumn("k", identity.version_key(F.col("v"))), F.col("k"), "r")
+    return d.join(small(numbered), "v").select("doc_id", F.concat(F.lit("v"), "v").alias("version"), (F.col("r") + 1).alias("rank"))
 
 
 # ---- constraints
