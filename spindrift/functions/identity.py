@@ -65,10 +65,6 @@ def content_kind(mime: Column) -> Column:
     return F.when(mime.isNull(), None).when(mime.isin(*HTML_TYPES), "html").otherwise("file")
 
 
-def utc_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-
-
 def utc_valid(text: Column) -> Column:
     """Whether a text is a whole UTC second that reads back to itself."""
     back = F.date_format(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ssX")), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import identity, urls
-from spindrift.operators import discovery, quality, state
+from spindrift.operators import catalog, discovery, quality, robots, state
 
 def navigate(starts: DataFrame, edges: DataFrame, most: int = 16) -> DataFrame:
     """(start, final_url, hops, stop_reason): each start followed along edges(url, n, target), n targets of a page and one of them.
@@ -30,27 +30,96 @@ def navigate(starts: DataFrame, edges: DataFrame, most: int = 16) -> DataFrame:
     return walk.select("start", c("at").alias("final_url"), (F.size("seen") - 1).cast("bigint").alias("hops"), c("stop").alias("stop_reason"))
 
 
+def _targets(responses: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
+    """(site_key, canonical_url, role): the seed pages, and the links of each that are on its own site or, as role 'other', on another."""
+    seed = responses.join(seeds.select("url").distinct(), "url", "left_semi").withColumn("site_key", urls.site_key(F.col("url")))
+    links = discovery.html_links(seed, limit).select("site_key", F.explode("found.candidates").alias("canonical_url"))
+    own = urls.site_key(F.col("canonical_url")) == F.col("site_key")
+    found = links.select("site_key", "canonical_url", F.when(own, "candidate").otherwise("other").alias("role"))
+    mine = seed.select("site_key", F.col("url").alias("canonical_url"), F.lit("seed").alias("role"))
+    rank = F.when(F.col("role") == "seed", 0).otherwise(1)
+    return mine.unionByName(found).groupBy("site_key", "canonical_url").agg(F.min_by("role", rank).alias("role"))
+
+
+def judged(responses: DataFrame) -> DataFrame:
+    """(canonical_url, code, content_digest, artifact_id, n_bytes) of responses(url, html, mime): each body is read once for its quality and its hash; only facts go on."""
+    got = quality.quality(responses.withColumn("mime", F.coalesce("mime", F.lit("application/octet-stream"))))
+    sha = F.sha2("html", 256)
+    ok = F.col("code").isNull()
+    return got.select(
+        F.col("url").alias("canonical_url"), "code", F.when(ok, F.concat(F.lit("sha256:"), sha)).alias("content_digest"),
+        F.when(ok, identity.artifact_id(sha, F.col("mime"), F.lit("source"))).alias("artifact_id"), F.octet_length("html").cast("bigint").alias("n_bytes"),
+    )
+
+
 def explore(responses: DataFrame, seeds: DataFrame, limit: int = discovery.LIMIT) -> DataFrame:
     """One-hop exploration of sites over logged responses(url, html, mime): (site_key, canonical_url, role, code, artifact_id, content_digest).
 
-    Links of each seed page that are on the seed's site are looked up in the log; what is there is judged
-    for quality and becomes a page of the site's state, what is not is 'gateway.not_logged'.
+    Links of each seed page are looked up in the log; what is there is judged for quality and becomes a page
+    of the site's state, what is not is 'gateway.not_logged'; a link to another host is 'runtime.site_identity_mismatch'.
     """
-    seed = responses.join(seeds.select("url").distinct(), "url", "left_semi")
-    links = discovery.html_links(seed, limit).select(urls.site_key(F.col("url")).alias("site_key"), F.explode("found.candidates").alias("canonical_url"))
-    wanted = links.where(urls.site_key(F.col("canonical_url")) == F.col("site_key")).select("site_key", "canonical_url", F.lit("candidate").alias("role"))
-    mine = seed.select(urls.site_key(F.col("url")).alias("site_key"), F.col("url").alias("canonical_url"), F.lit("seed").alias("role"))
-    targets = mine.unionByName(wanted).groupBy("site_key", "canonical_url").agg(F.max("role").alias("role"))
-    got = targets.join(responses.withColumnRenamed("url", "canonical_url"), "canonical_url", "left").withColumn("mime", F.coalesce("mime", F.lit("application/octet-stream")))
-    judged = quality.quality(got)
-    sha = F.sha2("html", 256)
-    code = F.when(F.col("html").isNull(), "gateway.not_logged").otherwise(F.col("code"))
+    got = _targets(responses, seeds, limit).join(judged(responses).withColumn("_held", F.lit(True)), "canonical_url", "left")
+    code = F.when(F.col("role") == "other", "runtime.site_identity_mismatch").when(F.col("_held").isNull(), "gateway.not_logged").otherwise(F.col("code"))
     ok = code.isNull()
-    return judged.select("site_key", "canonical_url", "role", code.alias("code"), F.when(ok, identity.artifact_id(sha, F.col("mime"), F.lit("source"))).alias("artifact_id"), F.when(ok, F.concat(F.lit("sha256:"), sha)).alias("content_digest"))
+    return got.select("site_key", "canonical_url", "role", code.alias("code"), F.when(ok, F.col("artifact_id")).alias("artifact_id"), F.when(ok, F.col("content_digest")).alias("content_digest"))
+
+
+def govern(explored: DataFrame, policies: DataFrame, use: DataFrame, agent: str, most_requests: int, most_bytes: int, most_targets: int = discovery.LIMIT) -> DataFrame:
+    """explored(site_key, canonical_url, role, code, ...) under robots policies and the budgets of a site: adds (position, code, dispatched).
+
+    A site's targets are taken in order, seeds first.  One of another host or that robots files deny uses
+    nothing; each of the others uses one request and its bytes by use(canonical_url, n_bytes); when nothing is
+    left of a budget, or ``most_targets`` candidates were taken, the rest is not dispatched, with the code
+    'budget.exhausted' or 'explore.candidate_limit'.
+    """
+    c = F.col
+    targets = explored.withColumnRenamed("code", "_own").withColumns({"origin": urls.origin(c("canonical_url")), "url": c("canonical_url")})
+    asked = robots.decide(targets, policies, agent).withColumnRenamed("code", "_robots")
+    asked = asked.join(use.select("canonical_url", c("n_bytes").alias("_bytes")), "canonical_url", "left")
+    barred = F.when(c("_own") == "runtime.site_identity_mismatch", c("_own")).when(c("decision") == "denied", c("_robots"))
+    taken = barred.isNull().cast("bigint")
+    order = Window.partitionBy("site_key").orderBy((c("role") != "seed").cast("int"), "canonical_url")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    spent = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0))
+    bytes_ = taken * F.coalesce(c("_bytes"), F.lit(0))
+    got = asked.withColumns({
+        "position": (F.row_number().over(order) - 1).cast("bigint"), "_full": (spent(taken) >= most_requests) | (spent(bytes_) >= most_bytes),
+        "_enough": spent(taken * (c("role") == "candidate").cast("bigint")) >= most_targets,
+    })
+    code = F.when(barred.isNotNull(), barred).when(c("_full"), "budget.exhausted").when(c("_enough") & (c("role") == "candidate"), "explore.candidate_limit").otherwise(c("_own"))
+    return got.withColumns({"code": code, "dispatched": barred.isNull() & ~c("_full") & ~(c("_enough") & (c("role") == "candidate"))}).drop("_own", "_robots", "_bytes", "_full", "_enough", "origin", "url", "status", "decision")
+
+
+def explored_sites(governed: DataFrame) -> DataFrame:
+    """(site_key, status, stop_reason, complete, n_pages, n_requests, codes) of each site of ``govern``."""
+    has = lambda code: F.bool_or(F.coalesce(F.col("code") == code, F.lit(False)))
+    g = governed.groupBy("site_key").agg(
+        F.count_if(F.col("code").isNull()).alias("n_pages"), F.count_if(F.col("dispatched")).alias("n_requests"), F.array_sort(F.collect_set("code")).alias("codes"),
+        F.bool_or((F.col("role") == "seed") & F.col("code").isNull()).alias("_seed"), F.bool_or((F.col("role") == "seed") & F.coalesce(F.col("code").startswith("robots."), F.lit(False))).alias("rejected"),
+        has("budget.exhausted").alias("budget_exhausted"), F.count_if(F.col("role") == "candidate").alias("n_selected"), F.count_if((F.col("role") == "candidate") & F.col("code").isNull()).alias("_got"),
+    )
+    facts = g.withColumns({"has_skill": F.col("_seed") & (F.col("_got") == F.col("n_selected")) & (F.col("n_selected") > 0), "cancelled": F.lit(False), "discovery_failed": F.lit(False)})
+    said = facts.withColumn("o", catalog.explore_outcome())
+    return said.select("site_key", "o.status", "o.stop_reason", (F.col("o.stop_reason") == "source_exhausted").alias("complete"), "n_pages", "n_requests", "codes")
+
+
+def recovered(previous: DataFrame, replayed: DataFrame, explored: DataFrame) -> DataFrame:
+    """(site_key, canonical_url, content_digest, way): pages of a refresh, from the replay of the last state where it succeeded, else from a recovery exploration, else as they were.
+
+    A site recovers as a whole: only where a replayed target failed is the exploration taken in.
+    """
+    failed = replayed.where("code is not null").select("site_key").distinct()
+    again = replayed.where("code is null").select("site_key", "canonical_url", "content_digest", F.lit(0).alias("_rank"))
+    fresh = explored.where("code is null").join(failed, "site_key", "left_semi").select("site_key", "canonical_url", "content_digest", F.lit(1).alias("_rank"))
+    old = previous.join(failed, "site_key", "left_semi").select("site_key", "canonical_url", "content_digest", F.lit(2).alias("_rank"))
+    best = F.min_by(F.struct("content_digest", "_rank"), "_rank").alias("b")
+    way = F.element_at(F.array(F.lit("replayed"), F.lit("recovered"), F.lit("kept")), F.col("b._rank") + 1)
+    return again.unionByName(fresh).unionByName(old).groupBy("site_key", "canonical_url").agg(best).select("site_key", "canonical_url", "b.content_digest", way.alias("way"))
 
 
 def refresh(previous: DataFrame, explored: DataFrame) -> DataFrame:
     """Six-way change of each URL of a site between its last state(site_key, canonical_url, content_digest) and a new exploration; sites with a failed target are incomplete."""
+    explored = explored.where("role <> 'other'")
     current = explored.where("code is null").select("canonical_url", "content_digest")
     failed = explored.where("code is not null").select(F.col("canonical_url").alias("url"))
     incomplete = explored.where("code is not null").select("site_key").distinct().withColumn("_part", F.lit(True))

@@ -35,6 +35,8 @@ def rules(text: str | None, mime: str | None) -> tuple:
     """
     if text is None:
         return [], None
+    if isinstance(text, bytes):
+        text = text.decode("utf-16" if text[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8", errors="replace")
     if mime in ("text/html", "application/xhtml+xml") or _HTML.search(text):
         return [], "robots.parse_error"
     lines = [(raw, *(p.strip() for p in raw.partition("#")[0].partition(":"))) for raw in text.removeprefix("\ufeff").splitlines()]
@@ -60,7 +62,7 @@ def rules_udf(text: pd.Series, mime: pd.Series) -> list:
 
 
 def policies(files: DataFrame) -> DataFrame:
-    """(origin, status, code, rules) of files(origin, status, error, mime, body): one policy an origin."""
+    """(origin, status, code, rules) of files(origin, status, error, mime, body): one policy an origin.  Bodies are texts, or bytes in UTF-8 or, by their mark, UTF-16."""
     mapped = F.lit(None).cast("string")
     for code, out in NETWORK_CODES.items():
         mapped = F.when(F.col("error") == code, out).otherwise(mapped)
@@ -70,7 +72,7 @@ def policies(files: DataFrame) -> DataFrame:
         .when(status == 401, "robots.auth_required").when(status == 403, "robots.forbidden")
         .when(status.isin(404, 410), "robots.absent").when(status.isNull() | (status != 200), "robots.http_status")
     )
-    got = files.withColumn("_r", rules_udf(F.when(early.isNull(), F.coalesce("body", F.lit(""))), F.col("mime")))
+    got = files.withColumn("_r", rules_udf(F.when(early.isNull(), F.coalesce("body", F.lit("").cast(files.schema["body"].dataType))), F.col("mime")))
     return got.select("origin", "status", F.coalesce(early, F.col("_r.code"), F.lit("robots.allowed")).alias("code"), F.coalesce("_r.rules", F.array().cast("array<struct<grp:int,agents:array<string>,ord:int,allow:boolean,path:string>>")).alias("rules"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.plans import audit, catalogs, runs, web
+from spindrift.plans import audit, catalogs, evidence, runs, web
 
-QUERIES: dict = web.QUERIES | runs.QUERIES | audit.QUERIES | catalogs.QUERIES
-ORACLES: dict = web.ORACLES | runs.ORACLES | audit.ORACLES | catalogs.ORACLES
+QUERIES: dict = web.QUERIES | runs.QUERIES | audit.QUERIES | catalogs.QUERIES | evidence.QUERIES
+ORACLES: dict = web.ORACLES | runs.ORACLES | audit.ORACLES | catalogs.ORACLES | evidence.ORACLES
