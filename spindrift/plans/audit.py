@@ -231,11 +231,11 @@ def state_without_success(spark, sf_dir):
     return constraints.without_success(pages, attempts(spark, sf_dir))
 
 
-@query(f"{A}, g AS (SELECT tool_id, url, outcome, code, count(*) AS n FROM attempts WHERE ord < 3 GROUP BY ALL) SELECT attempt_id AS evidence_id, n FROM attempts JOIN g ON attempts.tool_id = g.tool_id AND attempts.url = g.url AND attempts.outcome = g.outcome AND attempts.code IS NOT DISTINCT FROM g.code WHERE ord < 3")
+@query(f"{A}, g AS (SELECT tool_id, url, outcome, code, count(*) AS n FROM attempts WHERE ord % 2 = 0 GROUP BY ALL) SELECT attempt_id AS evidence_id, coalesce(n, 0) AS n FROM attempts LEFT JOIN g ON attempts.tool_id = g.tool_id AND attempts.url = g.url AND attempts.outcome = g.outcome AND attempts.code IS NOT DISTINCT FROM g.code")
 def discovery_evidence(spark, sf_dir):
-    """First attempts of all runs as evidence, against themselves: how many attempts say the same."""
-    a = attempts(spark, sf_dir).where("ord < 3")
-    return constraints.evidence_matches(a.withColumnRenamed("attempt_id", "evidence_id").select("evidence_id", "tool_id", "url", "outcome", "code"), a)
+    """All attempts as evidence: how many of the attempts of even order say the same."""
+    a = attempts(spark, sf_dir)
+    return constraints.evidence_matches(a.withColumnRenamed("attempt_id", "evidence_id").select("evidence_id", "tool_id", "url", "outcome", "code"), a.where("ord % 2 = 0"))
 
 
 @query("SELECT user_id AS run_id, 'urn:spindrift:transform:t:' || (user_id % 3) AS source_url FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 4 < 2")

@@ -69,12 +69,12 @@ def lineage_edges(spark, sf_dir):
     return _edges(spark, sf_dir).select("observation_id", "artifact_id", "source_observation_id", "source_artifact_id", "lineage_id")
 
 
-@query(f"WITH {OBSERVED} SELECT artifact_id, count(*) AS n FROM observed WHERE doc_id % 2 = 0 GROUP BY artifact_id")
+@query(f"WITH {OBSERVED} SELECT artifact_id, count(*) AS n FROM observed GROUP BY artifact_id HAVING bool_or(doc_id % 2 = 0)")
 def caller_visibility(spark, sf_dir):
-    """Artifacts the caller was granted: those of even documents."""
+    """Observations of the artifacts that the caller was granted: those that an even document holds."""
     o = _observed(spark, sf_dir)
     grants = o.select("artifact_id", choose(F.col("doc_id"), "caller-0", "caller-1").alias("caller_id"))
-    return store.visible(o.where("doc_id % 2 = 0"), grants, "caller-0").groupBy("artifact_id").agg(F.count("*").alias("n"))
+    return store.visible(o, grants, "caller-0").groupBy("artifact_id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {OBSERVED} SELECT sha256, 'blob.conflict' AS code FROM observed GROUP BY sha256 HAVING min(doc_id) % 10 = 0")
@@ -224,11 +224,11 @@ def last_called_attempt(spark, sf_dir):
     return ledger.last_called(attempts(spark, sf_dir))
 
 
-@query(f"""{A}, t AS (SELECT run_id || '/' || url AS target, * FROM attempts) SELECT target AS url, string_agg(DISTINCT attempt_id, ',' ORDER BY attempt_id) AS attempt_ids, string_agg(DISTINCT code, ',' ORDER BY code) AS codes
-FROM t WHERE outcome = 'failed' AND code IS NOT NULL AND ord < 8 AND target NOT IN (SELECT target FROM t WHERE outcome = 'succeeded' AND ord < 8) GROUP BY target""")
+@query(f"""{A}, t AS (SELECT run_id || '/' || (ord // 8) || '/' || url AS target, * FROM attempts) SELECT target AS url, string_agg(DISTINCT attempt_id, ',' ORDER BY attempt_id) AS attempt_ids, string_agg(DISTINCT code, ',' ORDER BY code) AS codes
+FROM t WHERE outcome = 'failed' AND code IS NOT NULL AND target NOT IN (SELECT target FROM t WHERE outcome = 'succeeded') GROUP BY target""")
 def failed_urls(spark, sf_dir):
-    """Targets of the first eight attempts of a run that failed and never succeeded in them."""
-    a = attempts(spark, sf_dir).where("ord < 8").withColumn("url", F.concat(F.col("run_id").cast("string"), F.lit("/"), "url"))
+    """Targets of each eight attempts of a run that failed and never succeeded in them."""
+    a = attempts(spark, sf_dir).withColumn("url", F.concat_ws("/", "run_id", F.floor(F.col("ord") / 8), "url"))
     return state.failed_urls(a).select("url", F.array_join("attempt_ids", ",").alias("attempt_ids"), F.array_join("codes", ",").alias("codes"))
 
 
@@ -249,12 +249,12 @@ def stop_reason(spark, sf_dir):
     return g.select("url", "outcome", ledger.stop_reason(F.col("codes"), F.lit(False)).alias("stop_reason"))
 
 
-@query(f"""{A}, g AS (SELECT run_id, count(*) FILTER (WHERE outcome = 'succeeded') AS s, count(*) FILTER (WHERE outcome <> 'succeeded') AS o, bool_or(starts_with(coalesce(code, ''), 'scope.')) AS r FROM attempts WHERE ord < 3 GROUP BY run_id)
-SELECT run_id, CASE WHEN s > 0 AND o = 0 THEN 'completed' WHEN s > 0 THEN 'partial' WHEN r THEN 'rejected' ELSE 'failed' END AS status FROM g""")
+@query(f"""{A}, g AS (SELECT run_id || '/' || (ord // 3) AS result, count(*) FILTER (WHERE outcome = 'succeeded') AS s, count(*) FILTER (WHERE outcome <> 'succeeded') AS o, bool_or(starts_with(coalesce(code, ''), 'scope.')) AS r FROM attempts GROUP BY result)
+SELECT result, CASE WHEN s > 0 AND o = 0 THEN 'completed' WHEN s > 0 THEN 'partial' WHEN r THEN 'rejected' ELSE 'failed' END AS status FROM g""")
 def result_status(spark, sf_dir):
-    """Status of each run's first three attempts, every success leaving an artifact."""
-    g = attempts(spark, sf_dir).where("ord < 3").groupBy("run_id").agg(F.count_if(F.col("outcome") == "succeeded").alias("s"), F.count_if(F.col("outcome") != "succeeded").alias("o"), F.bool_or(ledger.rejection(F.col("code"))).alias("r"))
-    return g.select("run_id", ledger.result_status(F.col("s"), F.col("s"), F.col("o"), F.lit(0), F.col("r")).alias("status"))
+    """Status of each three attempts of a run, every success leaving an artifact."""
+    g = attempts(spark, sf_dir).groupBy(F.concat_ws("/", "run_id", F.floor(F.col("ord") / 3)).alias("result")).agg(F.count_if(F.col("outcome") == "succeeded").alias("s"), F.count_if(F.col("outcome") != "succeeded").alias("o"), F.bool_or(ledger.rejection(F.col("code"))).alias("r"))
+    return g.select("result", ledger.result_status(F.col("s"), F.col("s"), F.col("o"), F.lit(0), F.col("r")).alias("status"))
 
 
 # ---- tools and skills
@@ -471,26 +471,28 @@ def url_resolution(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", results.resolution_kind(kind, n % 3, n % 2).alias("kind"))
 
 
-LAST = f"""{ATTEMPTS}, called AS (SELECT * FROM attempts WHERE outcome <> 'skipped'), l AS (SELECT run_id, count(*) AS n, arg_max(tool_id, ord) AS tool_id, CASE WHEN arg_max(outcome, ord) = 'failed' THEN arg_max(coalesce(code, ''), ord) ELSE '' END AS code FROM called WHERE ord < 6 GROUP BY run_id),
-p AS (SELECT *, run_id % 2 = 0 AND code = '' AS fetched, CASE tool_id WHEN 'acquisition.web_http' THEN 'HTTP' WHEN 'acquisition.playwright' THEN 'BROWSER' ELSE 'CLOAK' END AS method FROM l),
+LAST = f"""{ATTEMPTS}, called AS (SELECT run_id || '/' || (ord // 6) AS run_id, run_id AS run, ord, tool_id, outcome, code FROM attempts WHERE outcome <> 'skipped'), l AS (SELECT run_id, any_value(run) AS run, count(*) AS n, arg_max(tool_id, ord) AS tool_id, CASE WHEN arg_max(outcome, ord) = 'failed' THEN arg_max(coalesce(code, ''), ord) ELSE '' END AS code FROM called GROUP BY run_id),
+p AS (SELECT *, run % 2 = 0 AND code = '' AS fetched, CASE tool_id WHEN 'acquisition.web_http' THEN 'HTTP' WHEN 'acquisition.playwright' THEN 'BROWSER' ELSE 'CLOAK' END AS method FROM l),
 q AS (SELECT *, CASE WHEN fetched THEN 'HTTP_OK' WHEN code = 'acquisition.cloudflare_blocked' THEN 'CLOUDFLARE_BLOCKED' WHEN code = 'acquisition.auth_required' THEN 'AUTH_REQUIRED' ELSE 'METHODS_EXHAUSTED' END AS reason FROM p)"""
 
 
 @query(f"""WITH {LAST} SELECT run_id, CASE WHEN fetched THEN 'FETCHED' ELSE 'UNRESOLVED' END AS outcome, reason, method, n > 1 AS switched,
 concat_ws(',', CASE WHEN NOT fetched AND method = 'HTTP' AND reason = 'CLOUDFLARE_BLOCKED' THEN 'retrieve-browser' END, CASE WHEN NOT fetched AND reason <> 'AUTH_REQUIRED' THEN 'discover_official_alternates,retrieve-alternate' END) AS actions FROM q""")
 def retrieval_projection(spark, sf_dir):
-    l = ledger.last_called(attempts(spark, sf_dir).where("ord < 6"))
-    ok = (F.col("run_id") % 2 == 0) & F.col("code").isNull()
+    """Each six attempts of a run as a retrieval; even runs keep what they fetch."""
+    l = ledger.last_called(attempts(spark, sf_dir).withColumn("run_id", F.concat_ws("/", "run_id", F.floor(F.col("ord") / 6))))
+    ok = (F.split("run_id", "/")[0].cast("bigint") % 2 == 0) & F.col("code").isNull()
     got = l.select("run_id", "tool_id", "code", "n_called", F.when(ok, 1).otherwise(0).alias("n_artifacts"), F.lit(1).alias("n_jobs"), F.lit(False).alias("file_source"), F.lit(True).alias("browser_eligible"))
     return results.retrieval(got).withColumn("actions", F.array_join("actions", ","))
 
 
-@query(f"""{A}, c AS (SELECT run_id, min(ord) FILTER (WHERE code = 'runner.crash') AS b, min(ord) FILTER (WHERE code = 'scope.origin_not_allowed') AS s FROM attempts WHERE ord < 12 AND code IS NOT NULL GROUP BY run_id)
-SELECT run_id, CASE WHEN b IS NOT NULL THEN 'runner.crash' WHEN s IS NOT NULL AND run_id % 2 = 1 THEN 'scope.origin_not_allowed' END AS code FROM c""")
+@query(f"""{A}, c AS (SELECT run_id || '/' || (ord // 12) AS retrieval, any_value(run_id) AS run, min(ord) FILTER (WHERE code = 'runner.crash') AS b, min(ord) FILTER (WHERE code = 'scope.origin_not_allowed') AS s FROM attempts WHERE code IS NOT NULL GROUP BY retrieval)
+SELECT retrieval, CASE WHEN b IS NOT NULL THEN 'runner.crash' WHEN s IS NOT NULL AND run % 2 = 1 THEN 'scope.origin_not_allowed' END AS code FROM c""")
 def retrieval_error(spark, sf_dir):
-    a = attempts(spark, sf_dir).where("ord < 12 and code is not null")
+    """Each twelve attempts of a run as a retrieval; even runs fetched something."""
+    a = attempts(spark, sf_dir).where("code is not null").withColumn("retrieval", F.concat_ws("/", "run_id", F.floor(F.col("ord") / 12)))
     codes = F.transform(F.array_sort(F.collect_list(F.struct("ord", "code"))), lambda x: x["code"])
-    return a.groupBy("run_id").agg(codes.alias("codes")).select("run_id", results.retrieval_error(F.col("codes"), F.col("run_id") % 2 == 0).alias("code"))
+    return a.groupBy("retrieval").agg(codes.alias("codes"), F.first("run_id").alias("run")).select("retrieval", results.retrieval_error(F.col("codes"), F.col("run") % 2 == 0).alias("code"))
 
 
 @query(f"""WITH {BODIES} SELECT doc_id, 'handoff-' || sha256('{{"mime":"' || mime || '","observed_at":"' || observed_at || '","role":"source","run_id":"' || run_id || '","source_url":"' || source_url || '"}}') AS handoff_id FROM bodies""")
@@ -498,18 +500,23 @@ def handoff_ids(spark, sf_dir):
     return results.handoff(bodies(spark, sf_dir), "run_id", "source_url", "observed_at", "mime", "role").select("doc_id", "handoff_id")
 
 
-@query("SELECT * FROM (VALUES ('attempts_contiguous', CAST(0 AS BIGINT)), ('lineage_dangling', 0), ('urls_changed_twice', 0), ('blob_paths_portable', 0), ('times_valid', 0)) AS t(\"constraint\", violations)")
+@query(f"""WITH {DERIVED}, a AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ord) - 1 AS k FROM (SELECT run_id, ord, outcome FROM {{attempts}} WHERE outcome <> 'skipped'))
+SELECT 'attempts_contiguous' AS "constraint", (SELECT count(DISTINCT run_id) FROM a WHERE k <> ord) AS violations UNION ALL SELECT 'lineage_dangling', (SELECT count(*) FROM edges WHERE source_observation_id NOT IN (SELECT observation_id FROM observed WHERE size_bytes <= 1000))
+UNION ALL SELECT 'urls_observed_once', (SELECT count(*) FROM (SELECT source_url FROM observed GROUP BY source_url HAVING count(*) > 1)) UNION ALL SELECT 'blob_paths_portable', (SELECT count(DISTINCT sha256) FROM observed WHERE size_bytes > 500)
+UNION ALL SELECT 'times_valid', (SELECT count(*) FROM observed WHERE mime <> 'text/html')""".replace("{attempts}", f"(WITH {ATTEMPTS} SELECT * FROM attempts)"))
 def invariants(spark, sf_dir):
-    """Integrity constraints of the derived tables; each counts what breaks it."""
+    """Integrity constraints over tables that lost rows or hold other spellings; each counts what breaks it."""
     from spindrift.functions import identity
 
     o = _observed(spark, sf_dir)
+    path = F.when(F.col("size_bytes") > 500, F.replace("relative_path", F.lit("/"), F.lit("\\"))).otherwise(F.col("relative_path"))
+    time = F.when(F.col("mime") != "text/html", F.replace("observed_at", F.lit("Z"), F.lit("+00:00"))).otherwise(F.col("observed_at"))
     return results.violations(
-        attempts_contiguous=ledger.not_contiguous(attempts(spark, sf_dir)),
-        lineage_dangling=store.dangling(_edges(spark, sf_dir), o.select("observation_id", "artifact_id")),
-        urls_changed_twice=_diff(spark, sf_dir, True).groupBy("url").agg(F.count("*").alias("n")).where("n > 1"),
-        blob_paths_portable=store.blobs(o).where(~identity.portable_path(F.col("relative_path"))),
-        times_valid=o.where(~identity.utc_valid(F.col("observed_at"))),
+        attempts_contiguous=ledger.not_contiguous(attempts(spark, sf_dir).where("outcome <> 'skipped'")),
+        lineage_dangling=store.dangling(_edges(spark, sf_dir), o.where("size_bytes <= 1000").select("observation_id", "artifact_id")),
+        urls_observed_once=o.groupBy("source_url").agg(F.count("*").alias("n")).where("n > 1"),
+        blob_paths_portable=store.blobs(o).where(~identity.portable_path(path)),
+        times_valid=o.where(~identity.utc_valid(time)),
     )
 
 

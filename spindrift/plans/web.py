@@ -133,9 +133,16 @@ def secret_scan(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", safety.secret_text(F.col("text")).alias("secret"))
 
 
-@query("SELECT page_id, CAST(NULL AS VARCHAR) AS code FROM pages")
+@query("""WITH q AS (SELECT page_id, regexp_extract(url, '\\?(.*)$', 1) AS q, length(html) % 6 AS k, url FROM pages) SELECT page_id, CASE k WHEN 1 THEN 'result.sensitive_data' WHEN 2 THEN 'result.absolute_path' WHEN 3 THEN 'url.invalid' WHEN 4 THEN 'result.sensitive_data' WHEN 5 THEN 'url.invalid' END AS code FROM q""")
 def url_safety(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", safety.unsafe(F.col("url")).alias("code"))
+    """URLs of pages, by the length of their bodies as they are, with an encoded secret, beside a local path, with a bad port, with credentials, with a broken escape."""
+    k = F.length("html") % 6
+    host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
+    text = (
+        F.when(k == 1, F.concat("url", F.lit(" api%5Fkey=1"))).when(k == 2, F.concat(F.lit("see /home/"), host)).when(k == 3, F.concat(F.lit("https://"), host, F.lit(":99999/")))
+        .when(k == 4, F.concat(F.lit("https://me%40"), host, F.lit("/"))).when(k == 5, F.concat(F.lit("https://"), host, F.lit("/a%zz"))).otherwise(F.col("url"))
+    )
+    return table(spark, sf_dir, "pages").select("page_id", safety.unsafe(text).alias("code"))
 
 
 KEYS = "(VALUES ('X-Api-Key'), ('user'), ('Set-Cookie'), ('refresh_token_v2'), ('monkey'), ('client.secret'), ('Auth'), ('author'), ('passwd')) AS t(name)"
@@ -265,9 +272,11 @@ def quality_code(spark, sf_dir):
     return quality.quality(p).select("page_id", "code")
 
 
-@query("SELECT page_id, CAST(NULL AS VARCHAR) AS code FROM pages")
+@query(r"""WITH p AS (SELECT page_id, len(regexp_extract_all(regexp_replace(html, '(?s)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<!--.*?-->|<[^>]*>', ' ', 'g'), '[^\s]+')) AS words FROM pages)
+SELECT page_id, CASE WHEN words < 100 THEN 'runtime.quality_minimum_words' END AS code FROM p""")
 def quality_pages(spark, sf_dir):
-    return quality.quality(table(spark, sf_dir, "pages").withColumn("mime", F.lit("text/html")), minimum_words=5).select("page_id", "code")
+    """Which pages show fewer than a hundred words."""
+    return quality.quality(table(spark, sf_dir, "pages").withColumn("mime", F.lit("text/html")), minimum_words=100).select("page_id", "code")
 
 
 RESPONSES = "(VALUES (1, 401, '', ''), (2, 403, 'challenge', ''), (3, 403, '', 'cloudflare'), (4, 500, 'challenge', ''), (5, 403, '', '')) AS t(id, status, mitigated, server)"
@@ -279,17 +288,26 @@ def response_code(spark, sf_dir):
     return v.select("id", quality.response_code(F.col("status"), F.create_map(F.lit("CF-Mitigated"), F.col("mitigated"), F.lit("Server"), F.col("server"))).alias("code"))
 
 
-@query("SELECT page_id, 'transform.html_invalid' AS code FROM pages")
+@query("SELECT page_id, CASE WHEN length(html) % 3 = 0 THEN 'transform.html_invalid' WHEN length(html) % 3 = 1 THEN 'transform.ineligible_complex' END AS code FROM pages")
 def markdown_status(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").withColumns({"mime": F.lit("text/html"), "role": F.lit("source")})
+    """Pages as they are, each with an element that never closes; by the length of their bodies without it, and those nested deep or not."""
+    k = F.length("html") % 3
+    whole = F.replace("html", F.lit("<p><b>"), F.lit("<p>"))
+    html = F.when(k == 0, F.col("html")).when(k == 1, F.concat(F.repeat(F.lit("<div>"), F.lit(65)), whole)).otherwise(whole)
+    p = table(spark, sf_dir, "pages").withColumns({"mime": F.lit("text/html"), "role": F.lit("source"), "html": html})
     return markdown.markdown(p).select("page_id", "code")
 
 
-@query("""WITH m AS (SELECT doc_id, '## Doc ' || doc_id || chr(10) || chr(10) || 'alpha **beta**[gamma](https://e.test/g/' || doc_id || ') delta epsilon' || chr(10) || chr(10) || '- one' || chr(10) || '- two' || chr(10) AS markdown FROM documents)
-SELECT doc_id, markdown, sha256(markdown) AS sha256 FROM m""")
+@query(r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, len(regexp_extract_all(source || ' x ' || t, '[\p{L}\p{N}\p{M}_''-]*[\p{L}\p{N}_][\p{L}\p{N}\p{M}_''-]*')) AS words, regexp_replace(regexp_replace('**x**' || t, '[ \t\f\v\x{A0}]+', ' ', 'g'), '(?m)^[ ]+|[ ]+$', '', 'g') AS body FROM d),
+m AS (SELECT doc_id, words, '# ' || source || chr(10) || chr(10) || rtrim(regexp_replace(body, '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) || chr(10) || chr(10) || '- [end](https://e.test/d/' || doc_id || ')' || chr(10) AS md FROM w)
+SELECT doc_id, CASE WHEN words + 1 >= 5 THEN md END AS markdown, CASE WHEN words + 1 >= 5 THEN sha256(md) END AS sha256, CASE WHEN words + 1 < 5 THEN 'transform.ineligible_quality' END AS code FROM m""")
 def markdown_simple(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("https://e.test/d/").alias("url"), F.lit("text/html").alias("mime"), F.lit("source").alias("role"), F.concat(F.lit("<head><title>no</title></head><h2>Doc "), "doc_id", F.lit('</h2><div hidden>no</div><p>alpha <strong>beta</strong> <a href="../g/'), "doc_id", F.lit('">gamma</a> delta&nbsp;epsilon</p><ul><li>one</li><li>two</li></ul>')).alias("html"))
-    return markdown.markdown(d).select("doc_id", "markdown", "sha256")
+    """Every document's text as a page: a heading, a bold mark before the text, a list with a link, hidden parts."""
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    html = F.concat(F.lit("<head><title>no</title></head><h1>"), "source", F.lit("</h1><div hidden>no<b></div><p><strong>x</strong>"), text, F.lit("</p><aside>no</aside><ul><li><a href='../d/"), "doc_id", F.lit("'>end</a></li></ul>"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("https://e.test/d/").alias("url"), F.lit("text/html").alias("mime"), F.lit("source").alias("role"), html.alias("html"))
+    return markdown.markdown(d).select("doc_id", "markdown", "sha256", "code")
 
 
 HOPS = "(VALUES ('a', 0, 'https://x.test/', 'https://x.test/1', 301), ('a', 1, 'https://x.test/1', 'https://x.test/2', 302), ('b', 0, 'https://x.test/', 'http://x.test/', 301), ('c', 0, 'https://x.test/a', 'https://x.test/b', 307), ('c', 1, 'https://x.test/b', 'https://x.test/a', 308), ('d', 0, 'https://x.test/', 'https://x.test/1', 301), ('d', 1, 'https://x.test/9', 'https://x.test/2', 301), ('e', 0, 'https://x.test/', 'https://x.test/2', 200)) AS t(run_id, ord, from_url, to_url, status)"
