@@ -34,6 +34,32 @@ def idempotency(submissions: DataFrame) -> DataFrame:
     return got.select("caller_id", "idempotency_key", "job_id", "n", F.when(F.col("_a") != F.col("_b"), "idempotency.conflict").alias("code"))
 
 
+def submit(held: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(submission_id, job_id, created, code) of incoming(submission_id, caller_id, idempotency_key, fingerprint, job_id, at) beside held(caller_id, idempotency_key, fingerprint, job_id).
+
+    A key that is held answers with its job, of new submissions under one key the first makes it; one that
+    asks for something else under a key is a conflict and gets no job.  The rows to append are those created.
+    """
+    key = ["caller_id", "idempotency_key"]
+    first = incoming.groupBy(*key).agg(F.min_by(F.struct("job_id", "fingerprint", "submission_id"), F.struct("at", "submission_id")).alias("f"))
+    own = first.join(held.select(*key, F.struct(F.col("job_id").alias("job_id"), F.col("fingerprint").alias("fingerprint")).alias("h")), key, "left")
+    j = incoming.select(*key, "submission_id", "fingerprint").join(own, key)
+    answer = F.coalesce(F.col("h.fingerprint"), F.col("f.fingerprint"))
+    code = F.when(~F.col("fingerprint").eqNullSafe(answer), "idempotency.conflict")
+    created = F.col("h").isNull() & (F.col("submission_id") == F.col("f.submission_id"))
+    return j.select("submission_id", F.when(code.isNull(), F.coalesce("h.job_id", "f.job_id")).alias("job_id"), (created & code.isNull()).alias("created"), code.alias("code"))
+
+
+def resume(slots: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """(batch_id, pos, site_key) of slots(batch_id, pos, site_key) that are still to run: those behind the unbroken beginning of checkpoints(batch_id, ordinal).
+
+    A checkpoint behind a gap counts for nothing.
+    """
+    w = Window.partitionBy("batch_id").orderBy("ordinal")
+    done = checkpoints.select("batch_id", "ordinal").distinct().withColumn("_n", F.row_number().over(w) - 1).where("ordinal = _n").groupBy("batch_id").agg(F.max("ordinal").alias("_last"))
+    return slots.join(done, "batch_id", "left").where(F.col("pos") > F.coalesce("_last", F.lit(-1))).select("batch_id", "pos", "site_key")
+
+
 def next_job(jobs: DataFrame) -> DataFrame:
     """The submitted job that is next: oldest first, ties by id."""
     return jobs.where("status = 'submitted'").orderBy("at", "job_id").limit(1)

@@ -210,6 +210,29 @@ def job_snapshots(spark, sf_dir):
     return constraints.snapshot_mismatch(e.where("sequence = 2").select("job_id", "status"), jobs.final_states(e))
 
 
+@query("""WITH k AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY ALL), h AS (SELECT user_id, event_type, event_id AS job, value > 20 AS print FROM events WHERE event_id IN (SELECT first FROM k WHERE user_id % 2 = 0)),
+f AS (SELECT e.user_id, e.event_type, arg_min(value > 20, event_id) AS print, min(event_id) AS job FROM events e WHERE event_id NOT IN (SELECT job FROM h) GROUP BY ALL)
+SELECT e.event_id AS submission_id, CASE WHEN (value > 20) = coalesce(h.print, f.print) THEN coalesce(h.job, f.job) END AS job_id, h.job IS NULL AND e.event_id = f.job AS created, CASE WHEN (value > 20) <> coalesce(h.print, f.print) THEN 'idempotency.conflict' END AS code
+FROM events e JOIN f USING (user_id, event_type) LEFT JOIN h USING (user_id, event_type) WHERE e.event_id NOT IN (SELECT job FROM h)""")
+def job_submit(spark, sf_dir):
+    """Events as submissions under a key of their user and kind; the first of even users is held already."""
+    c = F.col
+    e = events(spark, sf_dir).select(c("user_id").alias("caller_id"), c("event_type").alias("idempotency_key"), (c("value") > 20).alias("fingerprint"), c("event_id").alias("job_id"), c("event_id").alias("at"), c("event_id").alias("submission_id"))
+    first = e.groupBy("caller_id", "idempotency_key").agg(F.min("job_id").alias("job_id")).where("caller_id % 2 = 0").select("job_id")
+    return jobs.submit(e.join(first, "job_id", "left_semi"), e.join(first, "job_id", "left_anti"))
+
+
+@query("""WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations), held AS (SELECT conv_id, turn FROM conversations GROUP BY ALL HAVING sum(length(text)) % 4 <> 0),
+done AS (SELECT conv_id, count(*) AS n FROM held a WHERE a.turn = (SELECT count(*) FROM held b WHERE b.conv_id = a.conv_id AND b.turn < a.turn) GROUP BY conv_id)
+SELECT conv_id AS batch_id, turn AS pos, 's' || turn AS site_key FROM t LEFT JOIN done USING (conv_id) WHERE turn >= coalesce(n, 0)""")
+def batch_resume(spark, sf_dir):
+    """Conversations as batches, turns as sites; turns whose text has a length divisible by four have no checkpoint."""
+    c = table(spark, sf_dir, "conversations")
+    slots = c.select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("pos"), F.concat(F.lit("s"), "turn").alias("site_key")).distinct()
+    held = c.groupBy(F.col("conv_id").alias("batch_id"), F.col("turn").alias("ordinal")).agg(F.sum(F.length("text")).alias("n")).where("n % 4 <> 0")
+    return jobs.resume(slots, held)
+
+
 # ---- decisions and redirects
 
 _DECIDED = """CASE length(origin) % 6 WHEN 0 THEN CASE WHEN starts_with(path, '/en/') AND NOT starts_with(path, '/en/7') THEN 'denied' ELSE 'allowed' END WHEN 2 THEN 'denied' WHEN 3 THEN 'absent' ELSE 'unknown_allow' END"""

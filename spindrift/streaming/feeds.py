@@ -1,30 +1,47 @@
 """Observation, job and change feeds as structured streams that drain what is there and stop.
 
-Sinks are parquet folders, replaced or appended by batch id, so a batch that is run again after a failure
-leaves the same files.
+Job feeds keep a few values a job as state, not its events.  Sinks are parquet folders, one a batch, which
+is replaced when a batch is run again after a failure, so reruns leave the same files.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import identity
 from spindrift.functions.shared import shared_folder
-from spindrift.operators.jobs import TERMINAL, claims
+from spindrift.operators.jobs import TERMINAL
+from spindrift.operators.store import new_rows
 
 
-def _drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over all that is available and returns its result table."""
+def _drain(stream: DataFrame, name: str, mode: str, each: Callable[[DataFrame, str, int], DataFrame] = lambda rows, out, batch: rows) -> DataFrame:
+    """Runs a stream over all that is available; the rows of all its batches, with the number of each as ``batch``, after ``each`` was applied to them."""
     spark = stream.sparkSession
     out = shared_folder(spark, name)
-    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/state").outputMode(mode)
-    if mode == "append":
-        query = writer.format("parquet").option("path", f"{out}/rows").start()
-    else:
-        query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{out}/rows")).start()
+    kinds = {}
+
+    def write(rows: DataFrame, batch: int) -> None:
+        kept = each(rows, out, batch)
+        kinds["schema"] = kept.schema
+        kept.write.mode("overwrite").parquet(f"{out}/rows/batch={batch}")
+
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/state").outputMode(mode).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    if not kinds:
+        return spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0).cast("bigint"))
+    return spark.read.schema(kinds["schema"].add("batch", "long")).parquet(f"{out}/rows")
+
+
+def _last(rows: DataFrame, key: str) -> DataFrame:
+    """The row of each key that its last batch wrote."""
+    rest = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
@@ -43,36 +60,69 @@ def dedup_artifacts(spark: SparkSession, path: str) -> DataFrame:
     mime = F.when(F.col("doc_id") % 5 < 4, "text/html").otherwise("application/pdf")
     url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.test/p/"), (F.col("doc_id") % 500).cast("string"))
     rows = d.select(identity.artifact_id(F.sha2("text", 256), mime, F.lit("source")).alias("artifact_id"), url.alias("source_url"))
-    return _drain(rows.dropDuplicates(["artifact_id", "source_url"]), "artifacts", "append")
+
+    def unseen(batch_rows: DataFrame, out: str, batch: int) -> DataFrame:
+        # what earlier batches wrote is the store of keys, so nothing is held in memory
+        spark_ = batch_rows.sparkSession
+        held = spark_.createDataFrame([], batch_rows.schema) if not batch else spark_.read.schema(batch_rows.schema.add("batch", "long")).parquet(f"{out}/rows").where(F.col("batch") < batch)
+        pair = F.struct("artifact_id", "source_url")
+        return new_rows(batch_rows.withColumn("_k", pair), held.withColumn("_k", pair), "_k").drop("_k")
+
+    return _drain(rows, "artifacts", "append", unseen).drop("batch")
 
 
 def run_jobs(spark: SparkSession, events: DataFrame) -> DataFrame:
     """(job_id, status, n_events) after folding each job's events, in order, through the state machine; illegal events are passed over."""
     log = shared_folder(spark, "job-events")
     events.write.parquet(log)
-    per_job = _read(spark, log).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "status"))).alias("e"))
 
-    def step(acc, x):
-        ok = (
-            (acc["status"].isNull() & (x["status"] == "submitted"))
-            | ((acc["status"] == "submitted") & (x["status"] == "running"))
-            | ((acc["status"] == "running") & x["status"].isin(*TERMINAL))
-        )
-        ok = F.coalesce(ok, F.lit(False))
-        return F.struct(F.when(ok, x["status"]).otherwise(acc["status"]).alias("status"), (acc["n"] + ok.cast("bigint")).alias("n"))
+    def fold(key, batches, state):
+        status, n = state.get if state.exists else (None, 0)
+        follows = {None: ("submitted",), "submitted": ("running",), "running": TERMINAL}
+        for s in pd.concat(list(batches)).sort_values("sequence")["status"]:
+            if s in follows.get(status, ()):
+                status, n = s, n + 1
+        state.update((status, n))
+        yield pd.DataFrame({"job_id": [key[0]], "status": pd.Series([status], dtype=object), "n_events": [n]})
 
-    end = F.aggregate("e", F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).cast("bigint").alias("n")), step)
-    return _drain(per_job.select("job_id", end["status"].alias("status"), end["n"].alias("n_events")), "job-states", "complete")
+    per_job = _read(spark, log).groupBy("job_id").applyInPandasWithState(fold, "job_id string, status string, n_events long", "status string, n long", "update", "NoTimeout")
+    return _last(_drain(per_job, "job-states", "update"), "job_id")
 
 
-def run_claims(spark: SparkSession, commands: DataFrame) -> DataFrame:
-    """``jobs.claims`` over a stream of commands."""
+def run_claims(spark: SparkSession, commands: DataFrame, lease_seconds: int = 3600) -> DataFrame:
+    """``jobs.claims`` over a stream of commands: a job's status, fencing token, lease and counts are its state."""
     log = shared_folder(spark, "commands")
     commands.write.parquet(log)
-    return _drain(claims(_read(spark, log)), "claims", "complete")
+
+    def fold(key, batches, state):
+        status, token, lease, cancelled, applied, stale = state.get if state.exists else (None, 0, 0, False, 0, 0)
+        for op, at, named in pd.concat(list(batches)).sort_values("ord")[["op", "at", "token"]].itertuples(index=False):
+            if op == "submit" and status is None:
+                status = "submitted"
+            elif op == "claim" and (status == "submitted" or status == "running" and lease < at):
+                status, token, lease = "running", token + 1, int(at) + lease_seconds
+            elif op == "finish" and status == "running" and named == token:
+                status = "failed" if cancelled else "completed"
+            elif op == "cancel" and status in ("submitted", "running") and not cancelled:
+                cancelled = True
+            else:
+                stale += op == "finish" and status == "running"
+                continue
+            applied += 1
+        state.update((status, int(token), int(lease), bool(cancelled), int(applied), int(stale)))
+        yield pd.DataFrame({"job_id": [key[0]], "status": pd.Series([status], dtype=object), "token": [token], "cancelled": [cancelled], "n_applied": [applied], "n_stale": [stale]})
+
+    schema = "job_id long, status string, token long, cancelled boolean, n_applied long, n_stale long"
+    kept = "status string, token long, lease long, cancelled boolean, applied long, stale long"
+    per_job = _read(spark, log).groupBy("job_id").applyInPandasWithState(fold, schema, kept, "update", "NoTimeout")
+    return _last(_drain(per_job, "claims", "update"), "job_id")
 
 
 def daily(spark: SparkSession, path: str) -> DataFrame:
     """(day, event_type, n): events a day and type, late ones taken in for a day."""
     days = _read(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
-    return _drain(days.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n"), "daily", "complete")
+    rows = _drain(days.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n"), "daily", "update")
+    return rows.groupBy("day", "event_type").agg(F.max_by("n", "batch").alias("n"))
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
