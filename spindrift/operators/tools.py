@@ -101,13 +101,14 @@ def ancestors(skills: DataFrame) -> DataFrame:
     own = skills.select("site_key", "digest")
     jump = cut(skills.where("previous_digest is not null").select("site_key", "digest", c("previous_digest").alias("far")).distinct())
     known = cut(own.unionByName(jump.select("site_key", c("far").alias("digest"))).distinct().select("site_key", "digest", c("digest").alias("ancestor"), F.lit(0).cast("bigint").alias("depth")))
-    most = known.groupBy("site_key").count().agg(F.max("count")).first()[0] or 0
+    sizes = cut(known.groupBy("site_key").agg(F.count("*").alias("_size")))
+    most = sizes.agg(F.max("_size")).first()[0] or 0
     reach = 1
     while reach < 2 * most and jump.limit(1).count():
         hop = jump.withColumnRenamed("digest", "start").withColumnRenamed("far", "digest")
-        further = hop.join(known, ["site_key", "digest"]).select("site_key", c("start").alias("digest"), "ancestor", (c("depth") + reach).alias("depth"))
+        further = hop.join(known, ["site_key", "digest"]).join(sizes, "site_key").where(c("depth") + reach < c("_size")).select("site_key", c("start").alias("digest"), "ancestor", (c("depth") + reach).alias("depth"))
         on = jump.select("site_key", c("digest").alias("far"), c("far").alias("next"))
-        known, jump = cut(known.unionByName(further).where(c("depth") < most)), cut(jump.join(on, ["site_key", "far"]).select("site_key", "digest", c("next").alias("far")))
+        known, jump = cut(known.unionByName(further)), cut(jump.join(on, ["site_key", "far"]).select("site_key", "digest", c("next").alias("far")))
         reach *= 2
     return known.join(own.distinct(), ["site_key", "digest"], "left_semi").select("site_key", "digest", "ancestor", "depth")
 

@@ -90,6 +90,25 @@ def test_rollback_and_lineage(spark):
     assert rows(tools.ancestors(sk), "digest", "ancestor", "depth") == [("a", "a", 0), ("b", "a", 1), ("b", "b", 0), ("c", "c", 0), ("c", "x", 1)]
 
 
+def test_ancestors_of_long_and_circular_lines(spark):
+    line = [("s", f"v{i}", f"v{i - 1}" if i else None) for i in range(100)]
+    ring = [("r", f"v{i}", f"v{(i + 1) % 3}") for i in range(3)]
+    got = tools.ancestors(spark.createDataFrame(line + ring, "site_key string, digest string, previous_digest string")).collect()
+    assert sorted((r.digest, r.ancestor, r.depth) for r in got if r.site_key == "s") == sorted((f"v{i}", f"v{j}", i - j) for i in range(100) for j in range(i + 1))
+    assert sorted((r.digest, r.ancestor, r.depth) for r in got if r.site_key == "r") == sorted((f"v{i}", f"v{(i + d) % 3}", d) for i in range(3) for d in range(3))
+
+
+def test_a_stream_of_several_batches_keeps_its_states(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from spindrift.streaming import feeds
+
+    rows = [(i % 3, i, ["submit", "claim", "finish"][i // 3 % 3], i * 10, 1) for i in range(9)]
+    got = feeds.run_claims(spark, spark.createDataFrame(rows, "job_id long, ord long, op string, at long, token long")).orderBy("job_id").collect()
+    assert [(r.job_id, r.status, r.token, r.n_applied, r.n_stale) for r in got] == [(j, "completed", 1, 3, 0) for j in range(3)]
+    assert feeds._last(spark.createDataFrame([(1, "a", 0), (1, "b", 1), (2, "c", 0)], "k int, v string, batch long"), "k").orderBy("k").select("v").collect() == [("b",), ("c",)]
+
+
 def test_transitions(spark):
     ev = spark.createDataFrame([("a", 1, "submitted", "1"), ("a", 2, "running", "2"), ("a", 3, "completed", "3"), ("b", 1, "running", "1"), ("c", 1, "submitted", "2"), ("c", 3, "running", "3"), ("d", 1, "submitted", "2"), ("d", 2, "running", "1")], "job_id string, sequence int, status string, at string")
     assert rows(jobs.illegal_transitions(ev), "job_id", "sequence") == [("b", 1), ("c", 3), ("d", 2)]

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spindrift.functions import identity, safety, urls
-from spindrift.operators import discovery, markdown, quality, robots
+from spindrift.operators import discovery, evidence, flows, markdown, quality, robots
 
 URLS = [
     ("HTTPS://EXAMPLE.TEST:443/a/%7e", "https://example.test/a/~", None),
@@ -183,3 +183,55 @@ def test_markdown(spark):
 @pytest.mark.parametrize("text, code", [("password = x", "result.sensitive_data"), ("%70assword%3Dx", "result.sensitive_data"), ("see /home/me", "result.absolute_path"), ("C:\\x", "result.absolute_path"), ("a​b", "result.sensitive_data"), ("fine", None), ("", None), (None, None)])
 def test_safety(text, code):
     assert safety.safety_code(text) == code
+
+
+@pytest.mark.parametrize("text, code", [("https://e.test/a", None), ("https://e.test:99999/", "url.invalid"), ("https://u%40e.test/", "result.sensitive_data"), ("https://e.test/%zz", "url.invalid"), ("http://-e.test/", "url.invalid"), ("https://1.2.3.999/", "url.invalid"), ("https://[::1]:8/", None), ("https://e.test/\\\\x", "url.invalid")])
+def test_urls_in_texts(text, code):
+    assert safety.safety_code(text) == code
+
+
+@pytest.mark.parametrize("name, secret", [("pass%77ord", True), ("%74oken", True), ("%2574oken", True), ("%252574oken", True), ("ｐａｓｓｗｏｒｄ", True), ("pa%ﬀ", False), ("%zz%61pi-key", True), ("monkey", False), ("mon%6bey", False), (None, False), ("𝐭oken", True)])
+def test_secret_keys_in_other_spellings(spark, name, secret):
+    df = spark.createDataFrame([(name,)], "name string")
+    assert df.select(safety.secret_key(F.col("name")).alias("s")).first().s == secret
+    assert name is None or safety._secret_name(name) == secret
+
+
+def test_payloads_are_searched_at_any_depth():
+    assert safety.payload_code('{"a": [{"b": {"api-key": 1}}]}') == "result.sensitive_data"
+    assert safety.payload_code('{"a": [[["/home/me"]]]}') == "result.absolute_path"
+    assert safety.payload_code('{"a": 1.5}') == safety.payload_code("{") == "schema.invalid"
+    assert safety.payload_code('{"a": [null, true, 3, "x"]}') is None and safety.payload_code(None) is None
+
+
+def test_paths_are_decoded_until_nothing_changes(spark):
+    deep = "/a/" + "%" + "25" * 9 + "62"
+    rows = [(deep, True), ("/a%2Fb", True), ("/a/c", False), ("/a+b", False)]
+    got = spark.createDataFrame(rows, "p string, ok boolean").select("ok", urls.included(F.col("p"), F.array(F.lit("/a/b"))).alias("x")).collect()
+    assert [r.x for r in got] == [r.ok for r in got]
+
+
+def test_references_are_resolved_like_the_parser_does(spark):
+    base = "https://e.test/d/p?x=1"
+    refs = ["https://f.test/x", "/a/b", "//g.test/", "c", "../c", "?q", "#f", "", "/a/../b", "http:/x", "https://[", None]
+    got = spark.createDataFrame([(r,) for r in refs], "r string").select(urls.resolved(F.lit(base), F.col("r")).alias("u")).collect()
+    assert [r.u for r in got] == [None if r is None else urls.join(base, r) for r in refs]
+
+
+@pytest.mark.parametrize("ip, public", [("2606:4700::1111", True), ("::1", False), ("fe80::1", False), ("ff02::1", False), ("2001:db8::1", False), ("8.8.8.8", True), ("::ffff:10.0.0.1", False), ("x:y", False), (None, False)])
+def test_addresses_of_both_versions(spark, ip, public):
+    assert bool(spark.createDataFrame([(ip,)], "ip string").select(evidence.public_ip(F.col("ip")).alias("p")).first().p) == public
+
+
+def test_robots_bytes_are_decoded_by_their_mark(spark):
+    text = "User-agent: *\nDisallow: /é\n"
+    files = spark.createDataFrame([(f"https://h{i}.test", 200, None, "text/plain", b) for i, b in enumerate([text.encode(), b"\xef\xbb\xbf" + text.encode(), text.encode("utf-16")])], "origin string, status int, error string, mime string, body binary")
+    assert [[r["path"] for r in p.rules] for p in robots.policies(files).orderBy("origin").collect()] == [["/%C3%A9"]] * 3
+
+
+def test_navigation_of_many_starts_and_endings(spark):
+    starts = spark.range(40_000).select(F.concat(F.lit("s"), "id").alias("url"))
+    edges = starts.select("url", F.lit(1).alias("n"), F.lit("hub").alias("target")).unionByName(spark.createDataFrame([("hub", 1, "end"), ("l0", 1, "l1"), ("l1", 1, "l0"), ("m", 2, "x")], "url string, n int, target string"))
+    more = spark.createDataFrame([("l0",), ("m",), ("end",)], "url string")
+    got = flows.navigate(starts.unionByName(more), edges)
+    assert {(r.stop_reason, r.final_url, r.hops): r.n for r in got.groupBy("stop_reason", "final_url", "hops").agg(F.count("*").alias("n")).collect()} == {("terminal_html", "end", 2): 40_000, ("terminal_html", "end", 0): 1, ("navigation_loop", "l1", 1): 1, ("multiple_navigation_targets", "m", 0): 1}
