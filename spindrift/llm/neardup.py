@@ -131,20 +131,22 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
 
 
 def _stray_rows(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct (x, comp): member x may have a link to a member of component comp, by rows(bucket, i, j, part, rep, n, comp, sig).
+    """Distinct (x, comp): member x may have a link to a member of component comp, by rows(bucket, i, j, part, rep, n, comp, main, sig).
 
-    Looks at every pair of members of a block whose components differ, and keeps one row for a member and
-    a component, however many pairs of them pass the signature estimate.
+    Part 0 are the members outside of the bucket's main component, part 1 all.  Looks at every pair of members
+    of a block whose components differ, and keeps one row for a member and a component, however many pairs of
+    them pass the signature estimate.
     """
 
     def run(key, table):
         del key
-        rep, n, comp, part = (np.asarray(table.column(c)) for c in ("rep", "n", "comp", "part"))
+        rep, n, comp, part, main = (np.asarray(table.column(c)) for c in ("rep", "n", "comp", "part", "main"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint8).reshape(len(rep), -1)
         left, right = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
         xs, cs = [], []
         for x in left:
-            y = right[comp[right] < comp[x]]
+            # of two members outside the main component the one of the later component asks
+            y = right[(comp[right] == main[right]) | (comp[right] < comp[x])]
             y = y[np.minimum(n[x], n[y]) * 100 >= percent * np.maximum(n[x], n[y])]
             if len(y):
                 c = np.unique(comp[y[(sig[y] == sig[x]).mean(axis=1) >= FLOOR]])
@@ -214,13 +216,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     blocks = lambda n, size=BLOCK: F.ceil(F.col(n) / size).cast("int")
     labelled = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    # what is dealt over the grid are the members outside of the bucket's largest component, against all
     mixed = (
-        labelled.groupBy("bucket").agg(F.min("comp").alias("main"), F.max("comp").alias("top"), F.count("*").alias("size"))
-        .where("main <> top").select("bucket", "main", blocks("size").alias("rows"), blocks("size").alias("columns"))
+        labelled.groupBy("bucket", "comp").agg(F.count("*").alias("m")).groupBy("bucket")
+        .agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("size")).where("most < size")
+        .withColumn("others", F.col("size") - F.col("most")).select("bucket", "main", blocks("others").alias("rows"), blocks("size").alias("columns"))
     )
     rest = labelled.join(mixed, "bucket").join(classes.select("rep", "sig"), "rep")
     left, right = _grid(rest.where("comp <> main"), 0, "rows", "columns", "rep"), _grid(rest, 1, "rows", "columns", "rep")
-    stray = cut(_stray_rows(left.unionByName(right).drop("main"), percent))
+    stray = cut(_stray_rows(left.unionByName(right), percent))
     members = classes.select("rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("rep").alias("id"), F.coalesce("component", "rep").alias("comp"))
     members = cut(members.join(stray.select("comp").distinct(), "comp"))
     shape = stray.groupBy("comp").agg(F.count("*").alias("x")).join(members.groupBy("comp").agg(F.count("*").alias("y")), "comp").select("comp", blocks("x", GRID).alias("rows"), blocks("y", GRID).alias("columns"))
