@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.functions import identity, safety, urls
-from spindrift.operators import constraints, evidence, flows, jobs, policy, robots, store, tools
+from spindrift.operators import constraints, evidence, flows, jobs, policy, records, robots, store, tools
 from spindrift.plans.audit import EXPLORED
 from spindrift.plans.inputs import ATTEMPTS, OBSERVED, attempts, table
 from spindrift.plans.runs import ELIGIBLE, JOB, SNAPSHOTS, TOOLS, _diff, _edges, _job_events, _observed, _requirements, _snapshots, _tools
@@ -375,6 +375,119 @@ def skill_proofs(spark, sf_dir):
     return got.select("site_key", "tool_id", "discovery_source", "code", F.array_join("mime_types", ",").alias("kinds"))
 
 
+# ---- whole records
+
+
+@query("""SELECT page_id, CASE WHEN contains(url, '#') OR k = 1 THEN 'site_state.page_invalid' WHEN k = 2 THEN 'site_state.sensitive_data' END AS code FROM (SELECT page_id, url, length(html) % 4 AS k FROM pages)""")
+def state_urls(spark, sf_dir):
+    """Page URLs as a state might hold them: by the length of the body with a default port, with a secret in the query, or as they are."""
+    k = F.length("html") % 4
+    base = F.regexp_extract("url", "^([^#]*)", 1)
+    plain = F.when(k == 1, F.regexp_replace(F.regexp_replace(base, "^(https://[^/?]*)", "$1:443"), "^(http://[^/?]*)", "$1:80")).when(k == 2, F.concat(F.regexp_extract("url", "^([^?#]*)", 1), F.lit("?api_key=1")))
+    return table(spark, sf_dir, "pages").select("page_id", records.state_url_code(F.when(F.col("url").contains("#"), F.col("url")).otherwise(F.coalesce(plain, "url"))).alias("code"))
+
+
+@query(f"""WITH {ATTEMPTS}, g AS (SELECT run_id || '/' || (ord // 4) AS id, sum(bytes_received) AS b, count(*) FILTER (WHERE outcome = 'failed') AS f, count(*) FILTER (WHERE outcome = 'skipped') AS s, min(ord) AS o FROM attempts GROUP BY id)
+SELECT id, CASE WHEN f = 2 THEN 'attempt.order_invalid' WHEN f = 1 THEN 'result.attempts_mismatch' WHEN b > 100000 THEN 'result.usage_mismatch' WHEN s > 1 THEN 'result.site_skill_mismatch' END AS code FROM g WHERE f < 3""")
+def result_manifests(spark, sf_dir):
+    """Four attempts a result; the manifest of one with a failure lacks it, one with two is numbered from elsewhere, large ones have another usage, much skipped ones another skill."""
+    c = F.col
+    a = attempts(spark, sf_dir).withColumn("id", F.concat_ws("/", "run_id", F.floor(c("ord") / 4)))
+    listed = F.array_sort(F.collect_list(F.struct("ord", "attempt_id", "outcome")))
+    g = a.groupBy("id").agg(listed.alias("x"), F.sum("bytes_received").alias("b"), F.count_if(c("outcome") == "failed").alias("f"), F.count_if(c("outcome") == "skipped").alias("s")).where("f < 3")
+    shift = F.when(c("f") == 2, 1).otherwise(0)
+    rows = F.transform("x", lambda r, i: F.struct((i + shift).alias("ord"), r["attempt_id"].alias("attempt_id"), r["outcome"].alias("outcome")))
+    g = g.withColumn("attempts", rows).withColumn("manifest_attempts", F.when(c("f") == 1, F.filter("attempts", lambda r: r["outcome"] != "failed")).otherwise(c("attempts")))
+    g = g.withColumns({"usage": F.struct(c("b").alias("bytes")), "manifest_usage": F.struct(F.when(c("b") > 100_000, 0).otherwise(c("b")).cast("bigint").alias("bytes")), "skill": F.lit("s"), "manifest_skill": F.when(c("s") > 1, "t").otherwise("s")})
+    return g.select("id", records.result_manifest_code().alias("code"))
+
+
+@query(f"WITH {OBSERVED} SELECT doc_id, CASE WHEN size_bytes = 0 THEN 'manifest.http_status_invalid' WHEN mime = 'text/html' AND (size_bytes <> length(body) OR substr(sha256, 1, 1) IN ('0', '1')) THEN 'manifest.success_facts_invalid' WHEN mime <> 'text/html' AND substr(sha256, 1, 1) NOT IN ('0', '1') THEN 'manifest.artifact_required' END AS code FROM observed")
+def manifest_facts(spark, sf_dir):
+    """Manifests with lengths in characters, an empty body's status as 0, no final URL for some digests; only HTML has a source."""
+    c = F.col
+    o = _observed(spark, sf_dir)
+    some = F.substring("sha256", 1, 1).isin("0", "1")
+    html = c("mime") == "text/html"
+    status = F.when(c("size_bytes") == 0, 0).when(html | ~some, 200)
+    facts = F.struct(c("source_url").alias("requested_url"), F.when(~some, c("source_url")).alias("final_url"), status.alias("http_status"), F.lit("t").alias("tool_id"), F.lit("1").alias("tool_version"), F.when(html, c("mime")).alias("mime_type"), F.when(html, F.length("body")).cast("bigint").alias("size_bytes"), F.when(html, c("sha256")).alias("sha256"))
+    source = F.when(html, F.struct(c("source_url"), c("mime").alias("mime_type"), c("size_bytes"), c("sha256")))
+    success = F.struct(c("source_url").alias("requested_url"), c("source_url").alias("final_url"), status.alias("http_status"), F.lit("t").alias("tool_id"), F.lit("1").alias("tool_version"))
+    return o.select("doc_id", facts.alias("facts"), source.alias("source"), success.alias("success")).select("doc_id", records.manifest_facts_code().alias("code"))
+
+
+@query(f"""WITH {ATTEMPTS}, p AS (SELECT run_id || '/' || (ord // 3) AS fetch_id, *, max(ord) OVER (PARTITION BY run_id, ord // 3) = ord AS terminal FROM attempts),
+g AS (SELECT fetch_id, sum(bytes_received) > 30000 AS much, count(code) > 1 AS many, bool_or(code = 'gateway.timeout') AS cancelled, arg_max(outcome, ord) AS last, arg_max(url, ord) AS url FROM p GROUP BY fetch_id)
+SELECT fetch_id, CASE WHEN much THEN 'url_fetch.usage_mismatch' WHEN many THEN 'url_fetch.errors_mismatch' WHEN last = 'skipped' THEN 'url_fetch.terminal_artifact_invalid' WHEN last = 'succeeded' AND url LIKE '%h3.%' THEN 'url_fetch.content_type_mismatch' END AS code FROM g""")
+def url_fetch_records(spark, sf_dir):
+    """Three attempts a fetch: much traffic is left out of the usage, second errors are left out, skipped ends claim an artifact, one host's pages are claimed as files."""
+    c = F.col
+    a = attempts(spark, sf_dir).withColumn("fetch_id", F.concat_ws("/", "run_id", F.floor(c("ord") / 3)))
+    errors = F.array_compact(F.array("code"))
+    ends = a.groupBy("fetch_id").agg(F.max("ord").alias("_end"))
+    use = [c("requests"), c("bytes_received"), c("runtime_ms"), F.when(c("outcome") != "skipped", 1).otherwise(0).alias("tool_attempts")]
+    parts = a.join(ends, "fetch_id").select("fetch_id", c("ord").alias("pos"), (c("ord") == c("_end")).alias("terminal"), *use, errors.alias("errors"), F.when(c("outcome") == "succeeded", F.array("attempt_id")).otherwise(F.array().cast("array<string>")).alias("artifacts"))
+    codes = F.transform(F.array_sort(F.collect_list(F.when(c("code").isNotNull(), F.struct("ord", "code")))), lambda x: x["code"])
+    last = lambda x: F.max_by(x, "ord")
+    g = a.groupBy("fetch_id").agg(
+        *[F.sum(u).alias(n) for u, n in zip(use, records.USAGE, strict=True)], codes.alias("codes"), F.bool_or(F.coalesce(c("code") == "gateway.timeout", F.lit(False))).alias("timeout"), last("outcome").alias("last"), last("attempt_id").alias("attempt_id"), last("url").alias("url")
+    )
+    held = c("last") != "failed"
+    cancel = F.when(c("timeout"), F.array(F.lit("runtime.cancelled"))).otherwise(F.array().cast("array<string>"))
+    f = g.select(
+        "fetch_id", "requests", F.when(c("bytes_received") > 30_000, 0).otherwise(c("bytes_received")).alias("bytes_received"), "runtime_ms", "tool_attempts", F.concat(F.slice("codes", 1, 1), cancel).alias("errors"), F.when(c("timeout"), "cancelled").otherwise("terminal").alias("stop_reason"),
+        F.when(held, c("attempt_id")).alias("terminal_artifact"), F.lit("source").alias("terminal_role"), F.lit("text/html").alias("terminal_mime"), F.when(held, F.when(c("url").contains("h3."), "file").otherwise("html")).alias("content"),
+    )
+    return records.fetch_code(f, parts)
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, 'b' || user_id AS b FROM events), r AS (SELECT *, b || '-site-' || (pos + 1) AS root, value > 5 AS pages, event_type = 'purchase' AS updated FROM e),
+c AS (SELECT b AS batch_id, pos, CASE WHEN event_type = 'signup' THEN 'site_batch.site_order_invalid' WHEN event_type = 'error' THEN 'site_batch.run_identity_mismatch' WHEN NOT pages AND value > 4 THEN 'site_batch.mode_mismatch' WHEN value > 90 THEN 'site_batch.file_discovery_status_mismatch' WHEN pages AND value < 10 THEN 'site_batch.usable_sites_mismatch' WHEN pages AND value > 60 THEN 'site_batch.next_context_mismatch' END AS code FROM r)
+SELECT batch_id, pos, code FROM c WHERE code IS NOT NULL""")
+def batch_records(spark, sf_dir):
+    """Users as batches, events as their sites; the kind and value of an event decide what its record says wrongly."""
+    from pyspark.sql import Window
+
+    c = F.col
+    v, kind = c("value"), c("event_type")
+    e = events(spark, sf_dir).withColumns({"batch_id": F.concat(F.lit("b"), "user_id"), "pos": (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("bigint")})
+    root = policy.child_run_id(c("batch_id"), c("pos") + 1)
+    pages, updated = v > 5, kind == "purchase"
+    mode = F.when(~pages, F.when(v > 4, "replayed").otherwise("failed")).when(updated, "recovered").otherwise("replayed")
+    sites = e.select(
+        "batch_id", "pos", F.when(kind == "signup", "other").otherwise(F.concat(F.lit("s"), "pos")).alias("site_key"), F.lit(False).alias("first_phase"), F.array(F.concat(root, F.when(kind == "error", "-seed").otherwise("-source"))).alias("run_ids"), F.array(F.concat(root, F.lit("-attempt-1"))).alias("attempt_ids"),
+        pages.alias("has_pages"), updated.alias("updated"), F.lit(False).alias("has_candidate"), F.lit("source_exhausted").alias("stop_reason"), mode.alias("mode"), (v >= 10).alias("usable"), (pages & (v <= 60)).alias("continued"), F.when(v > 90, "satisfied").otherwise("not_requested").alias("file_status"), F.lit(False).alias("file_found"),
+    )
+    return records.batch_code(e.select("batch_id", "pos", F.concat(F.lit("s"), "pos").alias("site_key")), sites)
+
+
+@query(f"""WITH {CANON}, k AS (SELECT page_id, url, site_key, origin, path, length(html) % 9 AS k, sha256(html) AS h FROM ok) SELECT page_id, CASE k WHEN 1 THEN 'site_skill.site_key_invalid' WHEN 2 THEN 'site_skill.previous_required' WHEN 3 THEN 'site_skill.discovery_invalid' WHEN 4 THEN 'scope.origin_not_allowed' WHEN 5 THEN 'site_skill.tool_capabilities_invalid'
+WHEN 6 THEN 'site_skill.checks_invalid' WHEN 7 THEN 'site_skill.time_invalid' WHEN 8 THEN 'site_skill.digest_mismatch' END AS code FROM k""")
+def skill_records(spark, sf_dir):
+    """A skill a page; the length of its body decides which rule it breaks."""
+    c = F.col
+    k = F.length("html") % 9
+    digest = F.concat(F.lit("sha256:"), F.sha2("html", 256))
+    s = accepted(spark, sf_dir).select(
+        "page_id", F.when(k == 1, "Bad Key").otherwise(urls.site_key(c("url"))).alias("site_key"), F.when(k == 2, 2).otherwise(1).alias("version"), F.lit(None).cast("string").alias("previous_digest"), F.lit("acquisition.web_http").alias("tool_id"), F.lit("1.0.0").alias("tool_version"),
+        F.when(k == 5, F.array(F.lit("html"), F.lit("html"))).otherwise(F.array(F.lit("html"))).alias("capabilities"), F.when(k == 6, F.array(F.lit("Text/HTML"))).otherwise(F.array(F.lit("text/html"))).alias("mime_types"), F.lit(1).alias("minimum_words"), F.when(k == 3, "acquisition").otherwise("discovery").alias("discovery_category"),
+        F.when(k == 4, "https://far.example.test/").otherwise(c("url")).alias("discovery_source"), F.array(urls.origin(c("url"))).alias("origins"), F.array(F.lit("/**")).alias("paths"), digest.alias("digest"), F.when(k == 8, "sha256:0").otherwise(digest).alias("body_digest"), F.when(k == 7, "2024-02-30T00:00:00Z").otherwise("2024-02-29T00:00:00Z").alias("verified_at"),
+    )
+    return records.skill_record_codes(s).select("page_id", "code")
+
+
+@query(f"""WITH {CANON} SELECT page_id, CASE length(html) % 7 WHEN 1 THEN 'schema.duplicate_key' WHEN 2 THEN 'scope.unknown_field' WHEN 3 THEN 'scope.missing' WHEN 4 THEN 'scope.invalid' WHEN 5 THEN 'scope.content_type_invalid' WHEN 6 THEN 'scope.origin_not_allowed' END AS code FROM ok""")
+def scope_texts(spark, sf_dir):
+    """Scopes of pages as JSON texts, by the length of the body with a key twice, one too many, one too few, as a list, with an unknown kind, with another origin."""
+    c = F.col
+    k = F.length("html") % 7
+    q = lambda x: F.concat(F.lit('["'), x, F.lit('"]'))
+    seeds, origin = q(c("url")), q(F.when(k == 6, "https://far.example.test").otherwise(urls.origin(c("url"))))
+    body = F.concat(F.lit('{"seeds":'), seeds, F.when(k == 1, F.concat(F.lit(',"seeds":'), seeds)).otherwise(""), F.when(k != 3, F.concat(F.lit(',"allowed_origins":'), origin)).otherwise(""), F.lit(',"include_paths":["/**"],"content_types":["'), F.when(k == 5, "pdf").otherwise("html"), F.lit('"]'), F.when(k == 2, ',"more":1').otherwise(""), F.lit("}"))
+    t = accepted(spark, sf_dir).select(c("page_id").alias("scope_id"), F.when(k == 4, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body).alias("body"))
+    return records.parsed_scopes(t).select(c("scope_id").alias("page_id"), "code")
+
+
 # ---- governed flows
 
 GOVERNED = EXPLORED + """, own AS (SELECT t.site_key, t.u, ok.url IS NOT NULL AS held, ok.html, 'https://' || t.site_key AS o FROM t LEFT JOIN ok ON ok.url = t.u),

@@ -186,9 +186,9 @@ def link_degree(spark, sf_dir):
 def candidate_merge(spark, sf_dir):
     p = accepted(spark, sf_dir)
     rows = discovery.html_links(p).select(urls.site_key(F.col("url")).alias("site"), F.explode("found.candidates").alias("candidate"), F.col("url").alias("source"))
-    both = rows.select("site", "candidate", F.lit("discovery.html_links").alias("tool_id"), F.lit("1.0.0").alias("tool_version"), "source")
-    other = both.withColumn("tool_id", F.lit("discovery.sitemap"))
-    return discovery.merge_candidates(both.unionByName(other))
+    tools = F.explode(F.array(F.lit("discovery.html_links"), F.lit("discovery.sitemap")))
+    both = rows.select("site", "candidate", tools.alias("tool_id"), F.lit("1.0.0").alias("tool_version"), "source")
+    return discovery.merge_candidates(both)
 
 
 MIMES = "(VALUES ('text/html'), ('application/xhtml+xml'), ('application/rss+xml'), ('application/atom+xml'), ('text/xml'), ('application/xml'), ('application/pdf')) AS t(mime)"
