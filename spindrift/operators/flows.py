@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import identity, urls
-from spindrift.operators import catalog, discovery, quality, robots, state
+from spindrift.operators import catalog, discovery, evidence, policy, quality, results, robots, state
 
 def navigate(starts: DataFrame, edges: DataFrame, most: int = 16) -> DataFrame:
     """(start, final_url, hops, stop_reason): each start followed along edges(url, n, target), n targets of a page and one of them.
@@ -30,6 +30,37 @@ def navigate(starts: DataFrame, edges: DataFrame, most: int = 16) -> DataFrame:
     return walk.select("start", c("at").alias("final_url"), (F.size("seen") - 1).cast("bigint").alias("hops"), c("stop").alias("stop_reason"))
 
 
+def read(starts: DataFrame, responses: DataFrame, policies: DataFrame, paths: Column, kinds: Column, agent: str, most: int = 5) -> DataFrame:
+    """(start, final_url, hops, status, code) of reading each of starts(url, origins) from a log of responses(url, status, mime, location), as an agent may.
+
+    At each hop the URL must be in scope, then robots files must allow it, then the log must hold it; a
+    redirect is followed, up to ``most`` times and nowhere twice, if ``evidence.redirect_authority`` allows
+    it; the last response passes ``policy.response_gate``.  The code is 'policy.allowed' or the first that fails.
+    """
+    c = F.col
+    walk = starts.select(c("url").alias("start"), "origins", c("url").alias("at")).withColumns({"seen": F.array("at"), "final": F.lit(None).cast("string"), "http": F.lit(None).cast("int")})
+    logged = responses.select(c("url").alias("_key"), c("status").alias("_status"), c("mime").alias("_mime"), c("location").alias("_location"), F.lit(True).alias("_held"))
+    for hop in range(most + 1):
+        open_ = c("final").isNull()
+        step = walk.withColumns({"url": c("at"), "origin": F.when(open_, urls.origin(c("at"))).otherwise(F.concat(F.lit("\u0000"), "start")), "_key": F.when(open_, c("at")).otherwise(F.concat(F.lit("\u0000"), "start"))})
+        asked = robots.decide(step, policies, agent).withColumnsRenamed({"code": "_robots", "decision": "_decision", "status": "_fetched"}).join(logged, "_key", "left")
+        moved = asked.withColumns({"kind": F.lit("target"), "current_url": c("at"), "location": c("_location"), "status_code": c("_status")})
+        moved = evidence.redirect_authority(moved, c("origins"), paths).withColumnsRenamed({"code": "_redirect", "target_url": "_next"})
+        here = urls.decide(F.struct(c("at").alias("url"), F.lit(None).cast("string").alias("code")), c("origins"), paths)
+        turns = F.coalesce(c("_status").isin(*results.REDIRECTS), F.lit(False))
+        stop = (
+            F.when(~here["allowed"], here["code"]).when(c("_decision") == "denied", c("_robots")).when(c("_held").isNull(), "gateway.not_logged")
+            .when(turns & (c("_redirect") != "policy.allowed"), c("_redirect")).when(turns & F.array_contains("seen", c("_next")), "gateway.redirect_loop").when(turns & F.lit(hop >= most), "gateway.redirect_limit")
+            .when(~turns, policy.response_gate(c("_status"), c("_mime"), kinds))
+        )
+        onward = open_ & stop.isNull()
+        walk = moved.select(
+            "start", "origins", F.when(onward, c("_next")).otherwise(c("at")).alias("at"), F.when(onward, F.array_append("seen", c("_next"))).otherwise(c("seen")).alias("seen"),
+            F.when(open_, stop).otherwise(c("final")).alias("final"), F.when(open_, c("_status")).otherwise(c("http")).alias("http"),
+        )
+    return walk.select("start", c("at").alias("final_url"), (F.size("seen") - 1).cast("bigint").alias("hops"), c("http").alias("status"), c("final").alias("code"))
+
+
 def _targets(responses: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
     """(site_key, canonical_url, role): the seed pages, and the links of each that are on its own site or, as role 'other', on another."""
     seed = responses.join(seeds.select("url").distinct(), "url", "left_semi").withColumn("site_key", urls.site_key(F.col("url")))

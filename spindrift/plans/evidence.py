@@ -13,6 +13,7 @@ from spindrift.plans.audit import EXPLORED
 from spindrift.plans.inputs import ATTEMPTS, OBSERVED, attempts, table
 from spindrift.plans.runs import ELIGIBLE, JOB, SNAPSHOTS, TOOLS, _diff, _edges, _job_events, _observed, _requirements, _snapshots, _tools
 from spindrift.plans.web import CANON, accepted, robots_files
+from spindrift.streaming import feeds
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -529,3 +530,32 @@ def site_recovered(spark, sf_dir):
     replayed = p.select("site_key", "canonical_url", c("d").alias("content_digest"), F.when(c("k") == "0", "gateway.timeout").alias("code"))
     explored = p.where("k < '8'").select("site_key", "canonical_url", F.concat("d", F.lit("!")).alias("content_digest"), F.lit(None).cast("string").alias("code"))
     return flows.recovered(p.select("site_key", "canonical_url", F.concat("d", F.lit("?")).alias("content_digest")), replayed, explored)
+
+
+@query(f"""WITH {CANON}, l AS (SELECT url, origin, path, length(html) % 8 AS k, length(origin) % 6 AS o FROM ok),
+d AS (SELECT *, CASE WHEN o = 0 AND starts_with(path, '/en/') AND NOT starts_with(path, '/en/7') THEN 'robots.disallowed' WHEN o = 2 THEN 'robots.forbidden' END AS barred FROM l),
+e AS (SELECT *, CASE WHEN o = 2 THEN 'robots.forbidden' WHEN k = 1 THEN 'policy.allowed' WHEN k = 2 THEN 'gateway.redirect_loop' WHEN k = 3 THEN 'scope.origin_not_allowed' WHEN k = 4 THEN 'gateway.not_logged' END AS after FROM d)
+SELECT url AS start, coalesce(barred, CASE k WHEN 0 THEN 'policy.allowed' WHEN 5 THEN 'gateway.http_status' WHEN 6 THEN 'gateway.server_error' WHEN 7 THEN 'scope.content_type_not_allowed' WHEN 3 THEN 'scope.origin_not_allowed' ELSE after END) AS code,
+CAST(CASE WHEN barred IS NULL AND k IN (1, 2, 4) THEN 1 ELSE 0 END AS BIGINT) AS hops FROM e""")
+def governed_reads(spark, sf_dir):
+    """Every page read from a log: by the length of its body it is there, moved, moved in a circle, moved to another site, moved to nowhere, missing, broken, or a file."""
+    c = F.col
+    k = F.length("html") % 8
+    p = accepted(spark, sf_dir)
+    origin = urls.origin(c("url"))
+    moved = F.concat(origin, F.lit("/moved/"), c("page_id").cast("string"))
+    first = p.select("url", F.when(k.isin(1, 2, 3, 4), 301).when(k == 5, 404).when(k == 6, 503).otherwise(200).alias("status"), F.when(k == 7, "application/pdf").otherwise("text/html").alias("mime"), F.when(k == 3, "https://far.example.test/").when(k.isin(1, 2, 4), moved).alias("location"))
+    then = p.where(k.isin(1, 2)).select(moved.alias("url"), F.when(k == 2, 302).otherwise(200).alias("status"), F.lit("text/html").alias("mime"), F.when(k == 2, c("url")).alias("location"))
+    starts = p.select("url", F.array(origin).alias("origins"))
+    got = flows.read(starts, first.unionByName(then), robots.policies(robots_files(spark, sf_dir)), F.array(F.lit("/**")), F.array(F.lit("html")), "spindrift/1.0")
+    return got.select("start", "code", "hops")
+
+
+@query(f"WITH {OBSERVED} SELECT 'blobs' AS name, count(DISTINCT sha256) AS n FROM observed UNION ALL SELECT 'artifacts', count(DISTINCT artifact_id) FROM observed UNION ALL SELECT 'observations', count(DISTINCT observation_id) FROM observed")
+def stream_store_commit(spark, sf_dir):
+    """Rows of the store's tables after a stream of all documents was committed."""
+    out = None
+    for name, rows in feeds.commit_observations(spark, f"{sf_dir}/documents.parquet").items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import identity
-from spindrift.functions.shared import shared_folder
+from spindrift.functions.shared import cut, shared_folder
 from spindrift.operators.jobs import TERMINAL
-from spindrift.operators.store import new_rows
+from spindrift.operators.store import artifacts, blobs, new_rows, observations, observe
 
 
 def _drain(stream: DataFrame, name: str, mode: str, each: Callable[[DataFrame, str, int], DataFrame] = lambda rows, out, batch: rows) -> DataFrame:
@@ -71,6 +71,35 @@ def dedup_artifacts(spark: SparkSession, path: str) -> DataFrame:
     return _drain(rows, "artifacts", "append", unseen).drop("batch")
 
 
+def commit_observations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables blobs, artifacts and observations of a stream of documents, each batch committed to all three.
+
+    A batch writes one folder a table, under its number, with the keys that earlier batches do not hold; blobs
+    first and observations last, so what an observation names is there.  A batch that is run again after a
+    failure replaces its own folders and no others.
+    """
+    out = shared_folder(spark, "store")
+    parts = {"blobs": (blobs, "sha256"), "artifacts": (artifacts, "artifact_id"), "observations": (observations, "observation_id")}
+    kinds: dict = {}
+
+    def commit(rows: DataFrame, batch: int) -> None:
+        seen = cut(rows)
+        for name, (make, key) in parts.items():
+            made = make(seen)
+            kinds[name] = made.schema
+            held = seen.sparkSession.createDataFrame([], made.schema) if not batch else seen.sparkSession.read.schema(made.schema.add("batch", "long")).parquet(f"{out}/{name}").where(F.col("batch") < batch)
+            new_rows(made, held, key).write.mode("overwrite").parquet(f"{out}/{name}/batch={batch}")
+
+    d = _read(spark, path)
+    mime = F.when(F.col("doc_id") % 5 < 4, "text/html").otherwise("application/pdf")
+    url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.test/p/"), (F.col("doc_id") % 500).cast("string"))
+    at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    bodies = d.select(F.concat(F.lit("run-"), (F.col("doc_id") % 3).cast("string")).alias("run_id"), url.alias("source_url"), at.alias("observed_at"), mime.alias("mime"), F.lit("source").alias("role"), F.col("text").alias("body"))
+    query = observe(bodies).drop("body").writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/state").foreachBatch(commit).start()
+    query.awaitTermination()
+    return {name: spark.read.schema(kinds[name]).parquet(f"{out}/{name}") for name in parts if name in kinds}
+
+
 def run_jobs(spark: SparkSession, events: DataFrame) -> DataFrame:
     """(job_id, status, n_events) after folding each job's events, in order, through the state machine; illegal events are passed over."""
     log = shared_folder(spark, "job-events")
