@@ -134,6 +134,26 @@ def explored_sites(governed: DataFrame) -> DataFrame:
     return said.select("site_key", "o.status", "o.stop_reason", (F.col("o.stop_reason") == "source_exhausted").alias("complete"), "n_pages", "n_requests", "codes")
 
 
+def replay(recipes: DataFrame, responses: DataFrame, limit: int = discovery.LIMIT) -> DataFrame:
+    """(site_key, canonical_url, role, code, artifact_id, content_digest) of running recipes(site_key, source_url, origins, paths) of skills again over logged responses.
+
+    The discovery source is read first; without it a recipe yields one row with 'runtime.discovery_unavailable'.
+    Its links in scope on the recipe's site are looked up and judged.
+    """
+    c = F.col
+    src = recipes.join(responses.withColumnRenamed("url", "source_url"), "source_url", "left")
+    links = discovery.html_links(src.where("html is not null").withColumn("url", c("source_url")), limit)
+    links = links.select("site_key", "origins", "paths", F.explode("found.candidates").alias("canonical_url"))
+    inside = urls.decide(F.struct(c("canonical_url").alias("url"), F.lit(None).cast("string").alias("code")), c("origins"), c("paths"))["allowed"]
+    found = links.where(inside & (urls.site_key(c("canonical_url")) == c("site_key"))).select("site_key", "canonical_url", F.lit("candidate").alias("role"))
+    own = src.select("site_key", c("source_url").alias("canonical_url"), F.when(c("html").isNull(), "missing").otherwise("source").alias("role"))
+    rank = F.when(c("role") == "candidate", 1).otherwise(0)
+    targets = own.unionByName(found).groupBy("site_key", "canonical_url").agg(F.min_by("role", rank).alias("role"))
+    got = targets.join(judged(responses).withColumn("_held", F.lit(True)), "canonical_url", "left")
+    code = F.when(c("role") == "missing", "runtime.discovery_unavailable").when(c("_held").isNull(), "gateway.not_logged").otherwise(c("code"))
+    return got.select("site_key", "canonical_url", "role", code.alias("code"), F.when(code.isNull(), c("artifact_id")).alias("artifact_id"), F.when(code.isNull(), c("content_digest")).alias("content_digest"))
+
+
 def recovered(previous: DataFrame, replayed: DataFrame, explored: DataFrame) -> DataFrame:
     """(site_key, canonical_url, content_digest, way): pages of a refresh, from the replay of the last state where it succeeded, else from a recovery exploration, else as they were.
 

@@ -52,6 +52,20 @@ def dispatched(ledgered: DataFrame) -> DataFrame:
     return ledgered.withColumn("_ok", F.min("dispatch").over(w)).where("_ok").drop("_ok")
 
 
+def alternates(attempts: DataFrame, max_requests: int, max_bytes: int, max_runtime_seconds: int) -> DataFrame:
+    """(retrieval_id, job, left_requests, left_bytes, left_seconds, runs) of the jobs of attempts(retrieval_id, job, outcome, ...): the first source and its alternates share one budget.
+
+    A job runs if something is left of each budget and no job before it was refused or has fetched anything.
+    """
+    jobs = attempts.groupBy("retrieval_id", "job").agg(*[F.sum(m).alias(m) for m in MEASURES], F.bool_or(F.col("outcome") == "succeeded").alias("_got"))
+    left = ledger(jobs.withColumnsRenamed({"retrieval_id": "run_id", "job": "ord"}), max_requests, max_bytes, max_runtime_seconds)
+    w = Window.partitionBy("run_id").orderBy("ord")
+    done = F.coalesce(F.max("_got").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    refused = ~F.min("dispatch").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    number = lambda x: F.col(x).cast("bigint").alias(x)
+    return left.select(F.col("run_id").alias("retrieval_id"), F.col("ord").alias("job"), number("left_requests"), number("left_bytes"), number("left_seconds"), (~done & ~refused).alias("runs"))
+
+
 def exhausted(attempts: DataFrame, max_requests: int, max_bytes: int, max_runtime_seconds: int) -> DataFrame:
     """(run_id, explore_exhausted, refresh_exhausted): reaching a limit exhausts an exploration, only going beyond it a refresh."""
     u = usage(attempts, "run_id")

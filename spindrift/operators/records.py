@@ -12,6 +12,8 @@ from spindrift.operators.policy import DIGEST, TOOL_ID, VERSION, child_run_id, m
 # The fields of a scope, and those of the usage of a run.
 SCOPE_FIELDS = ("seeds", "allowed_origins", "include_paths", "content_types")
 USAGE = ("requests", "bytes_received", "runtime_ms", "tool_attempts")
+# Where a handed-off artifact's content is read.
+CONTENT_REF = "/v1/artifacts/"
 
 
 def _differs(a: str, b: str) -> Column:
@@ -108,6 +110,42 @@ def batch_code(slots: DataFrame, sites: DataFrame) -> DataFrame:
     return j.select("batch_id", "pos", code.alias("code")).where("code is not null")
 
 
+def handoff_record_code(prefix: str = "urn:spindrift:transform:") -> Column:
+    """Code of a handoff whose parts contradict each other.
+
+    Of (handoff_id, body_digest, job_id, run_id, status, generated_at, n_errors, source, artifacts, attempts):
+    source is a struct of source_id, requested_url, current_url, final_url and redirects(from_url, to_url,
+    decision); artifacts have artifact_id, observation_id, role, source_url, observed_at, tool_id,
+    tool_version, content_ref; attempts outcome, requested_url, final_url, tool_id, tool_version, finished_at.
+    """
+    c = F.col
+    kept, won = F.size("artifacts") > 0, F.filter("attempts", lambda a: a["outcome"] == "succeeded")
+    fetched, made = F.filter(won, lambda a: a["final_url"].isNotNull()), F.filter(won, lambda a: a["final_url"].isNull())
+    sources = F.filter("artifacts", lambda a: a["role"] == "source")
+    first, src = F.get(fetched, F.lit(0)), F.get(sources, F.lit(0))
+    failed = (c("n_errors") > 0) | F.exists("attempts", lambda a: a["outcome"] != "succeeded")
+    start = F.struct(c("source.requested_url").alias("at"), F.lit(True).alias("ok"), F.lit(False).alias("ended"))
+    walk = F.aggregate("source.redirects", start, lambda s, r: F.struct(
+        F.when(r["decision"] == "rejected", r["from_url"]).otherwise(r["to_url"]).alias("at"), (s["ok"] & ~s["ended"] & (r["from_url"] == s["at"])).alias("ok"), (r["decision"] == "rejected").alias("ended")))
+    ids = lambda name: F.transform("artifacts", lambda a: a[name])
+    twice = lambda name: F.size(F.array_distinct(ids(name))) != F.size("artifacts")
+    urn = lambda a: F.concat(F.lit(prefix), a["tool_id"], F.lit(":"), a["tool_version"])
+    derived = F.filter("artifacts", lambda a: (a["role"] == "derived") & a["source_url"].startswith(prefix))
+    paired = (F.size(derived) == F.size(made)) & F.forall(derived, lambda d: F.exists(made, lambda a: (urn(a) == d["source_url"]) & (a["tool_id"] == d["tool_id"]) & (a["requested_url"] == src["source_url"])))
+    return _first(
+        ("handoff.id_invalid", ~c("handoff_id").rlike("^[0-9a-f]{64}$")), ("handoff.run_id_mismatch", c("run_id") != c("job_id")), ("result.status_invalid", ~c("status").isin("completed", "partial", "rejected", "failed")), ("schema.time_invalid", ~identity.utc_valid(c("generated_at"))),
+        ("handoff.source_id_mismatch", c("source.source_id") != c("source.requested_url")), ("redirect.chain_invalid", ~walk["ok"] | (walk["at"] != c("source.current_url")) | F.coalesce(c("source.final_url") != walk["at"], F.lit(False))),
+        ("handoff.content_ref_invalid", F.exists("artifacts", lambda a: a["content_ref"] != F.concat(F.lit(CONTENT_REF), a["artifact_id"]))), ("artifact.duplicate", twice("artifact_id") | twice("observation_id")),
+        ("job.time_invalid", F.exists("attempts", lambda a: a["finished_at"] > c("generated_at")) | F.exists("artifacts", lambda a: a["observed_at"] > c("generated_at"))),
+        (F.concat(F.lit("result."), c("status"), F.lit("_requires_artifact")), c("status").isin("completed", "partial") & ~(kept & (F.size(won) > 0))), ("result.completed_has_failure", (c("status") == "completed") & failed), ("result.partial_requires_failure", (c("status") == "partial") & ~failed),
+        (F.concat(F.lit("result."), c("status"), F.lit("_has_artifact")), c("status").isin("rejected", "failed") & (kept | (F.size(won) > 0))), (F.concat(F.lit("result."), c("status"), F.lit("_requires_error")), c("status").isin("rejected", "failed") & (c("n_errors") == 0)),
+        ("manifest.artifact_required", ~kept & c("source.final_url").isNotNull()), ("redirect.chain_invalid", kept & walk["ended"]), ("handoff.source_invalid", kept & ((F.size(sources) != 1) | (F.size(fetched) != 1))),
+        ("handoff.source_mismatch", kept & ~(
+            src["source_url"].eqNullSafe(c("source.final_url")) & (src["tool_id"] == first["tool_id"]) & (src["tool_version"] == first["tool_version"]) & (first["requested_url"] == c("source.requested_url")) & first["final_url"].eqNullSafe(c("source.final_url")))),
+        ("manifest.success_cardinality_invalid", F.size(made) > 1), ("manifest.transform_lineage_invalid", kept & ~paired), ("handoff.id_mismatch", c("handoff_id") != c("body_digest")),
+    )
+
+
 def skill_record_codes(skills: DataFrame) -> DataFrame:
     """Adds ``code`` to skills(site_key, version, previous_digest, tool_id, tool_version, capabilities, mime_types, minimum_words, discovery_category, discovery_source, origins, paths, digest, body_digest, verified_at): the first rule of a valid one that fails."""
     c = F.col

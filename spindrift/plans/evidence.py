@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.functions import identity, safety, urls
-from spindrift.operators import constraints, evidence, flows, jobs, policy, records, robots, store, tools
+from spindrift.operators import constraints, evidence, flows, jobs, ledger, policy, records, robots, store, tools
 from spindrift.plans.audit import EXPLORED
 from spindrift.plans.inputs import ATTEMPTS, OBSERVED, attempts, table
 from spindrift.plans.runs import ELIGIBLE, JOB, SNAPSHOTS, TOOLS, _diff, _edges, _job_events, _observed, _requirements, _snapshots, _tools
@@ -559,3 +559,53 @@ def stream_store_commit(spark, sf_dir):
         one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(f"""WITH {ATTEMPTS}, j AS (SELECT run_id || '/' || (ord // 9) AS retrieval_id, (ord // 3) % 3 AS job, sum(requests) AS r, sum(bytes_received) AS b, sum(runtime_ms) AS m, bool_or(outcome = 'succeeded' AND bytes_received > 4000) AS got FROM attempts GROUP BY ALL),
+l AS (SELECT *, 6 - coalesce(sum(r) OVER p, 0) AS lr, 40000 - coalesce(sum(b) OVER p, 0) AS lb, floor((4000 - coalesce(sum(m) OVER p, 0)) / 1000.0) AS ls, coalesce(bool_or(got) OVER p, false) AS done FROM j WINDOW p AS (PARTITION BY retrieval_id ORDER BY job ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT retrieval_id, CAST(job AS BIGINT) AS job, CAST(lr AS BIGINT) AS left_requests, CAST(lb AS BIGINT) AS left_bytes, CAST(ls AS BIGINT) AS left_seconds, NOT done AND bool_and(lr > 0 AND lb > 0 AND ls > 0) OVER (PARTITION BY retrieval_id ORDER BY job) AS runs FROM l""")
+def retrieval_budgets(spark, sf_dir):
+    """Nine attempts a retrieval, three a job; only what is larger than 4,000 bytes counts as fetched."""
+    n = F.col("ord")
+    a = attempts(spark, sf_dir).select(F.concat_ws("/", "run_id", F.floor(n / 9)).alias("retrieval_id"), (F.floor(n / 3) % 3).cast("bigint").alias("job"), F.when(F.col("bytes_received") > 4000, F.col("outcome")).otherwise("failed").alias("outcome"), "requests", "bytes_received", "runtime_ms")
+    return ledger.alternates(a, 6, 40_000, 4)
+
+
+@query(f"""WITH {EXPLORED}, x AS (SELECT site_key, min(url) AS src, min(origin) AS o, length(min(url)) % 4 = 0 AS gone FROM ok GROUP BY site_key),
+c AS (SELECT DISTINCT x.site_key, x.o, h.origin || replace(replace(url_encode(h.h), '%2F', '/'), '%2C', ',') AS link FROM x JOIN hrefs h ON h.url = x.src WHERE NOT gone),
+kept AS (SELECT site_key, link, regexp_extract(link, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM c WHERE regexp_extract(link, '^(https?://[^/?#]*)', 1) = o),
+a AS (SELECT site_key, src AS url, 0 AS r, gone FROM x UNION ALL SELECT site_key, link, 1, false FROM kept WHERE path IN ('/the', '/en') OR path LIKE '/en/%'),
+b AS (SELECT site_key, url, min(r) AS r, arg_min(gone, r) AS gone FROM a GROUP BY ALL), log AS (SELECT url FROM ok WHERE url NOT IN (SELECT src FROM x WHERE gone))
+SELECT site_key, url AS canonical_url, CASE WHEN r = 1 THEN 'candidate' WHEN gone THEN 'missing' ELSE 'source' END AS role, CASE WHEN gone THEN 'runtime.discovery_unavailable' WHEN url NOT IN (SELECT url FROM log) THEN 'gateway.not_logged' END AS code FROM b""")
+def site_replay(spark, sf_dir):
+    """The first page of each site as its skill's discovery source, for pages in scope; some sources are not in the log any more."""
+    c = F.col
+    p = accepted(spark, sf_dir)
+    s = p.groupBy(urls.site_key(c("url")).alias("site_key")).agg(F.min("url").alias("source_url"), F.min(urls.origin(c("url"))).alias("o"))
+    recipes = s.select("site_key", "source_url", F.array("o").alias("origins"), F.array(F.lit("/the"), F.lit("/en/**")).alias("paths"))
+    log = p.select("url", "html", "mime").join(s.where(F.length("source_url") % 4 == 0).select(c("source_url").alias("url")), "url", "left_anti")
+    return flows.replay(recipes, log).select("site_key", "canonical_url", "role", "code")
+
+
+@query(f"""WITH {OBSERVED}, k AS (SELECT doc_id, size_bytes % 17 AS k FROM observed) SELECT doc_id, CASE k WHEN 1 THEN 'handoff.id_invalid' WHEN 2 THEN 'handoff.run_id_mismatch' WHEN 3 THEN 'schema.time_invalid' WHEN 4 THEN 'handoff.source_id_mismatch' WHEN 5 THEN 'redirect.chain_invalid' WHEN 6 THEN 'handoff.content_ref_invalid' WHEN 7 THEN 'artifact.duplicate' WHEN 8 THEN 'job.time_invalid'
+WHEN 9 THEN 'result.completed_requires_artifact' WHEN 10 THEN 'result.completed_has_failure' WHEN 11 THEN 'result.partial_requires_failure' WHEN 12 THEN 'result.failed_has_artifact' WHEN 13 THEN 'handoff.source_mismatch' WHEN 14 THEN 'manifest.transform_lineage_invalid' WHEN 15 THEN 'handoff.id_mismatch' WHEN 16 THEN 'handoff.source_invalid' END AS code FROM k""")
+def handoff_records(spark, sf_dir):
+    """A handoff a document with its source, a redirect and a derived text; the length of the body decides what contradicts it."""
+    c, lit = F.col, F.lit
+    k = c("size_bytes") % 17
+    o = _observed(spark, sf_dir)
+    moved = F.concat("source_url", lit("/m"))
+    art = lambda ident, role, url, tool, at=c("observed_at"): F.struct(
+        ident.alias("artifact_id"), F.concat(lit("o"), ident).alias("observation_id"), lit(role).alias("role"), url.alias("source_url"), at.alias("observed_at"), tool.alias("tool_id"), lit("1").alias("tool_version"), F.concat(F.when(k == 6, "/v2/").otherwise("/v1/artifacts/"), ident).alias("content_ref"))
+    source = art(c("artifact_id"), "source", moved, F.when(k == 13, "other").otherwise("web"))
+    text = art(F.when(k == 7, c("artifact_id")).otherwise("artifact-t"), "derived", F.when(k == 14, "urn:spindrift:transform:other:1").otherwise("urn:spindrift:transform:md:1"), lit("md"))
+    tried = lambda outcome, asked, end, tool: F.struct(outcome.alias("outcome"), asked.alias("requested_url"), end.alias("final_url"), lit(tool).alias("tool_id"), lit("1").alias("tool_version"), F.when(k == 8, "2030-01-01T00:00:00Z").otherwise(c("observed_at")).alias("finished_at"))
+    none = F.array().cast("array<struct<artifact_id:string,observation_id:string,role:string,source_url:string,observed_at:string,tool_id:string,tool_version:string,content_ref:string>>")
+    rows = o.select(
+        "doc_id", F.when(k == 1, "x").otherwise(c("sha256")).alias("handoff_id"), F.when(k == 15, F.sha2("sha256", 256)).otherwise(c("sha256")).alias("body_digest"), lit("j").alias("job_id"), F.when(k == 2, "r").otherwise("j").alias("run_id"),
+        F.when(k == 11, "partial").when(k == 12, "failed").otherwise("completed").alias("status"), F.when(k == 3, "2025").otherwise("2029-01-01T00:00:00Z").alias("generated_at"), F.when(k.isin(10, 12), 1).otherwise(0).alias("n_errors"),
+        F.struct(F.when(k == 4, "x").otherwise(c("source_url")).alias("source_id"), c("source_url").alias("requested_url"), F.when(k == 5, c("source_url")).otherwise(moved).alias("current_url"), moved.alias("final_url"), F.array(F.struct(c("source_url").alias("from_url"), moved.alias("to_url"), lit("allowed").alias("decision"))).alias("redirects")).alias("source"),
+        F.when(k == 9, none).when(k == 16, F.array(text)).otherwise(F.array(source, text)).alias("artifacts"),
+        F.array(tried(lit("succeeded"), c("source_url"), moved, "web"), tried(lit("succeeded"), moved, lit(None).cast("string"), "md")).alias("attempts"),
+    )
+    return rows.select("doc_id", records.handoff_record_code().alias("code"))
