@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import identity, urls
+from spindrift.functions.shared import cut
 from spindrift.operators import catalog, discovery, evidence, policy, quality, results, robots, state
 
 def navigate(starts: DataFrame, edges: DataFrame, most: int = 16) -> DataFrame:
@@ -38,27 +39,27 @@ def read(starts: DataFrame, responses: DataFrame, policies: DataFrame, paths: Co
     it; the last response passes ``policy.response_gate``.  The code is 'policy.allowed' or the first that fails.
     """
     c = F.col
-    walk = starts.select(c("url").alias("start"), "origins", c("url").alias("at")).withColumns({"seen": F.array("at"), "final": F.lit(None).cast("string"), "http": F.lit(None).cast("int")})
-    logged = responses.select(c("url").alias("_key"), c("status").alias("_status"), c("mime").alias("_mime"), c("location").alias("_location"), F.lit(True).alias("_held"))
+    walk = starts.select(c("url").alias("start"), "origins", c("url").alias("at")).withColumn("seen", F.array("at"))
+    logged = responses.select(c("url").alias("at"), c("status").alias("_status"), c("mime").alias("_mime"), c("location").alias("location"), F.lit(True).alias("_held"))
+    ended = None
     for hop in range(most + 1):
-        open_ = c("final").isNull()
-        step = walk.withColumns({"url": c("at"), "origin": F.when(open_, urls.origin(c("at"))).otherwise(F.concat(F.lit("\u0000"), "start")), "_key": F.when(open_, c("at")).otherwise(F.concat(F.lit("\u0000"), "start"))})
-        asked = robots.decide(step, policies, agent).withColumnsRenamed({"code": "_robots", "decision": "_decision", "status": "_fetched"}).join(logged, "_key", "left")
-        moved = asked.withColumns({"kind": F.lit("target"), "current_url": c("at"), "location": c("_location"), "status_code": c("_status")})
-        moved = evidence.redirect_authority(moved, c("origins"), paths).withColumnsRenamed({"code": "_redirect", "target_url": "_next"})
         here = urls.decide(F.struct(c("at").alias("url"), F.lit(None).cast("string").alias("code")), c("origins"), paths)
+        asked = robots.decide(walk.withColumns({"url": c("at"), "origin": urls.origin(c("at")), "_here": here}), policies, agent).withColumnsRenamed({"code": "_robots", "status": "_fetched"})
+        moved = asked.join(logged, "at", "left").withColumns({"kind": F.lit("target"), "current_url": c("at"), "status_code": c("_status")})
         turns = F.coalesce(c("_status").isin(*results.REDIRECTS), F.lit(False))
+        moved = evidence.redirect_authority(moved.withColumn("location", F.when(turns, c("location"))), c("origins"), paths).withColumnsRenamed({"code": "_redirect", "target_url": "_next"})
         stop = (
-            F.when(~here["allowed"], here["code"]).when(c("_decision") == "denied", c("_robots")).when(c("_held").isNull(), "gateway.not_logged")
+            F.when(~c("_here.allowed"), c("_here.code")).when(c("decision") == "denied", c("_robots")).when(c("_held").isNull(), "gateway.not_logged")
             .when(turns & (c("_redirect") != "policy.allowed"), c("_redirect")).when(turns & F.array_contains("seen", c("_next")), "gateway.redirect_loop").when(turns & F.lit(hop >= most), "gateway.redirect_limit")
             .when(~turns, policy.response_gate(c("_status"), c("_mime"), kinds))
         )
-        onward = open_ & stop.isNull()
-        walk = moved.select(
-            "start", "origins", F.when(onward, c("_next")).otherwise(c("at")).alias("at"), F.when(onward, F.array_append("seen", c("_next"))).otherwise(c("seen")).alias("seen"),
-            F.when(open_, stop).otherwise(c("final")).alias("final"), F.when(open_, c("_status")).otherwise(c("http")).alias("http"),
-        )
-    return walk.select("start", c("at").alias("final_url"), (F.size("seen") - 1).cast("bigint").alias("hops"), c("http").alias("status"), c("final").alias("code"))
+        step = cut(moved.select("start", "origins", "at", "seen", "_next", c("_status").alias("status"), stop.alias("code")))
+        done = step.where("code is not null").select("start", c("at").alias("final_url"), (F.size("seen") - 1).cast("bigint").alias("hops"), "status", "code")
+        ended = done if ended is None else ended.unionByName(done)
+        walk = step.where("code is null").select("start", "origins", c("_next").alias("at"), F.array_append("seen", c("_next")).alias("seen"))
+        if not walk.limit(1).count():
+            break
+    return ended
 
 
 def _targets(responses: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:

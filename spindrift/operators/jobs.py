@@ -101,16 +101,38 @@ def batch_completion(results: DataFrame, expected: DataFrame) -> DataFrame:
     return j.withColumn("k", kind).select("batch_id", F.col("k.s").alias("status"), F.col("k.r").alias("stop_reason"))
 
 
-def claims(commands: DataFrame, lease_seconds: int = 3600) -> DataFrame:
-    """(job_id, status, token, cancelled, n_applied, n_stale) of commands(job_id, ord, op, at, token), folded in order.
+def _folded(rows: DataFrame, held: DataFrame | None, values: list[str], empty: list, step) -> DataFrame:
+    """(job_id, the named values) after folding each job's rows(job_id, ord, ...), in order, from the values that ``held`` has of it, else from ``empty``."""
+    log = F.array_sort(F.collect_list(F.struct("ord", *[c for c in rows.columns if c not in ("job_id", "ord")]))).alias("log")
+    got = rows.groupBy("job_id").agg(log)
+    start = F.struct(*[x.alias(v) for v, x in zip(values, empty, strict=True)])
+    if held is not None:
+        got = got.join(held.select("job_id", F.struct(*values).alias("_held")), "job_id", "left")
+        start = F.coalesce("_held", start)
+    return got.withColumn("s", F.aggregate("log", start, step)).select("job_id", "s.*")
+
+
+def machine(events: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(job_id, status, n_events) after folding events(job_id, ord, status) through the states of a job; illegal events are passed over.
+
+    ``held`` are the states so far, of which those of jobs without an event are not returned.
+    """
+    def step(s, x):
+        legal = (s["status"].isNull() & (x["status"] == "submitted")) | ((s["status"] == "submitted") & (x["status"] == "running")) | ((s["status"] == "running") & x["status"].isin(*TERMINAL))
+        ok = F.coalesce(legal, F.lit(False))
+        return F.struct(F.when(ok, x["status"]).otherwise(s["status"]).alias("status"), (s["n_events"] + ok.cast("bigint")).alias("n_events"))
+
+    return _folded(events, held, ["status", "n_events"], [F.lit(None).cast("string"), F.lit(0).cast("bigint")], step)
+
+
+def claims(commands: DataFrame, lease_seconds: int = 3600, held: DataFrame | None = None) -> DataFrame:
+    """(job_id, status, token, lease, cancelled, n_applied, n_stale) of commands(job_id, ord, op, at, token), folded in order, from ``held`` states on.
 
     submit opens a job once; claim takes a submitted one, or a running one whose lease is over, under a new
     fencing token; finish ends it if its token is the last one handed out, as failed if a cancel came
     before, and is stale otherwise; the first cancel of an open job counts, ends win over later commands.
-    A job's commands are one array, so the fold is a built-in expression, in a stream as in a batch.
+    A job's commands, in a stream those of a batch, are one array, so the fold is a built-in expression.
     """
-    log = F.array_sort(F.collect_list(F.struct("ord", "op", "at", "token")))
-
     def step(s, x):
         is_open, running = s["status"].isin("submitted", "running"), s["status"] == "running"
         free = (s["status"] == "submitted") | (running & (s["lease"] < x["at"]))
@@ -124,12 +146,9 @@ def claims(commands: DataFrame, lease_seconds: int = 3600) -> DataFrame:
             F.when(claim, s["token"] + 1).otherwise(s["token"]).alias("token"),
             F.when(claim, x["at"] + lease_seconds).otherwise(s["lease"]).alias("lease"),
             (s["cancelled"] | cancel).alias("cancelled"),
-            (s["applied"] + (submit | claim | mine | cancel).cast("bigint")).alias("applied"),
-            (s["stale"] + stale.cast("bigint")).alias("stale"),
+            (s["n_applied"] + (submit | claim | mine | cancel).cast("bigint")).alias("n_applied"),
+            (s["n_stale"] + stale.cast("bigint")).alias("n_stale"),
         )
 
     zero = F.lit(0).cast("bigint")
-    start = F.struct(F.lit(None).cast("string").alias("status"), zero.alias("token"), zero.alias("lease"), F.lit(False).alias("cancelled"), zero.alias("applied"), zero.alias("stale"))
-    end = F.aggregate("log", start, step)
-    got = commands.groupBy("job_id").agg(log.alias("log")).withColumn("s", end)
-    return got.select("job_id", "s.status", "s.token", "s.cancelled", F.col("s.applied").alias("n_applied"), F.col("s.stale").alias("n_stale"))
+    return _folded(commands, held, ["status", "token", "lease", "cancelled", "n_applied", "n_stale"], [F.lit(None).cast("string"), zero, zero, F.lit(False), zero, zero], step)

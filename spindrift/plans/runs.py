@@ -453,7 +453,7 @@ CLAIMED = f"WITH RECURSIVE {COMMANDS} SELECT job_id, arg_max(coalesce(status, ''
 @query(CLAIMED)
 def job_claims(spark, sf_dir):
     """Users stand for jobs, their events for commands: claims under leases and fencing tokens, cancels, stale finishes."""
-    return jobs.claims(_commands(spark, sf_dir)).withColumn("status", F.coalesce("status", F.lit("")))
+    return jobs.claims(_commands(spark, sf_dir)).drop("lease").withColumn("status", F.coalesce("status", F.lit("")))
 
 
 @query(CLAIMED)

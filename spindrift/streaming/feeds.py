@@ -1,22 +1,19 @@
 """Observation, job and change feeds as structured streams that drain what is there and stop.
 
-Job feeds keep a few values a job as state, not its events.  Sinks are parquet folders, one a batch, which
+Job feeds keep a few values a job as state, not its events: a row for each job that a batch touched.  Sinks are parquet folders, one a batch, which
 is replaced when a batch is run again after a failure, so reruns leave the same files.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions import identity
 from spindrift.functions.shared import cut, shared_folder
-from spindrift.operators.jobs import TERMINAL
+from spindrift.operators.jobs import claims, machine
 from spindrift.operators.store import artifacts, blobs, new_rows, observations, observe
 
 
@@ -100,51 +97,30 @@ def commit_observations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.schema(kinds[name]).parquet(f"{out}/{name}") for name in parts if name in kinds}
 
 
+def _folded(spark: SparkSession, log: str, name: str, fold: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
+    """The last state of each job of a stream: ``fold`` gives, from a batch's rows and the states before it, the states of the jobs in it."""
+    def each(rows: DataFrame, out: str, batch: int) -> DataFrame:
+        held = None
+        if batch:
+            before = rows.sparkSession.read.parquet(f"{out}/rows").where(F.col("batch") < batch)
+            held = _last(before, "job_id").join(rows.select("job_id").distinct(), "job_id", "left_semi")
+        return fold(rows, held)
+
+    return _last(_drain(_read(spark, log), name, "append", each), "job_id")
+
+
 def run_jobs(spark: SparkSession, events: DataFrame) -> DataFrame:
     """(job_id, status, n_events) after folding each job's events, in order, through the state machine; illegal events are passed over."""
     log = shared_folder(spark, "job-events")
-    events.write.parquet(log)
-
-    def fold(key, batches, state):
-        status, n = state.get if state.exists else (None, 0)
-        follows = {None: ("submitted",), "submitted": ("running",), "running": TERMINAL}
-        for s in pd.concat(list(batches)).sort_values("sequence")["status"]:
-            if s in follows.get(status, ()):
-                status, n = s, n + 1
-        state.update((status, n))
-        yield pd.DataFrame({"job_id": [key[0]], "status": pd.Series([status], dtype=object), "n_events": [n]})
+    events.select("job_id", F.col("sequence").alias("ord"), "status").write.parquet(log)
+    return _folded(spark, log, "job-states", machine)
 
-    per_job = _read(spark, log).groupBy("job_id").applyInPandasWithState(fold, "job_id string, status string, n_events long", "status string, n long", "update", "NoTimeout")
-    return _last(_drain(per_job, "job-states", "update"), "job_id")
 
-
-def run_claims(spark: SparkSession, commands: DataFrame, lease_seconds: int = 3600) -> DataFrame:
+def run_claims(spark: SparkSession, commands: DataFrame) -> DataFrame:
     """``jobs.claims`` over a stream of commands: a job's status, fencing token, lease and counts are its state."""
     log = shared_folder(spark, "commands")
-    commands.write.parquet(log)
-
-    def fold(key, batches, state):
-        status, token, lease, cancelled, applied, stale = state.get if state.exists else (None, 0, 0, False, 0, 0)
-        for op, at, named in pd.concat(list(batches)).sort_values("ord")[["op", "at", "token"]].itertuples(index=False):
-            if op == "submit" and status is None:
-                status = "submitted"
-            elif op == "claim" and (status == "submitted" or status == "running" and lease < at):
-                status, token, lease = "running", token + 1, int(at) + lease_seconds
-            elif op == "finish" and status == "running" and named == token:
-                status = "failed" if cancelled else "completed"
-            elif op == "cancel" and status in ("submitted", "running") and not cancelled:
-                cancelled = True
-            else:
-                stale += op == "finish" and status == "running"
-                continue
-            applied += 1
-        state.update((status, int(token), int(lease), bool(cancelled), int(applied), int(stale)))
-        yield pd.DataFrame({"job_id": [key[0]], "status": pd.Series([status], dtype=object), "token": [token], "cancelled": [cancelled], "n_applied": [applied], "n_stale": [stale]})
-
-    schema = "job_id long, status string, token long, cancelled boolean, n_applied long, n_stale long"
-    kept = "status string, token long, lease long, cancelled boolean, applied long, stale long"
-    per_job = _read(spark, log).groupBy("job_id").applyInPandasWithState(fold, schema, kept, "update", "NoTimeout")
-    return _last(_drain(per_job, "claims", "update"), "job_id")
+    commands.select("job_id", "ord", "op", "at", "token").write.parquet(log)
+    return _folded(spark, log, "claims", lambda rows, held: claims(rows, held=held)).drop("lease")
 
 
 def daily(spark: SparkSession, path: str) -> DataFrame:
@@ -152,6 +128,3 @@ def daily(spark: SparkSession, path: str) -> DataFrame:
     days = _read(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
     rows = _drain(days.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n"), "daily", "update")
     return rows.groupBy("day", "event_type").agg(F.max_by("n", "batch").alias("n"))
-
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import jobs, ledger, results, state, store, tools
 from spindrift.sources import fetchlog
+from spindrift.streaming import feeds
 
 
 def rows(df, *cols):
@@ -98,15 +99,24 @@ def test_ancestors_of_long_and_circular_lines(spark):
     assert sorted((r.digest, r.ancestor, r.depth) for r in got if r.site_key == "r") == sorted((f"v{i}", f"v{(i + d) % 3}", d) for i in range(3) for d in range(3))
 
 
-def test_a_stream_of_several_batches_keeps_its_states(spark, tmp_path):
-    from pyspark.sql import functions as F
-
-    from spindrift.streaming import feeds
-
-    rows = [(i % 3, i, ["submit", "claim", "finish"][i // 3 % 3], i * 10, 1) for i in range(9)]
-    got = feeds.run_claims(spark, spark.createDataFrame(rows, "job_id long, ord long, op string, at long, token long")).orderBy("job_id").collect()
-    assert [(r.job_id, r.status, r.token, r.n_applied, r.n_stale) for r in got] == [(j, "completed", 1, 3, 0) for j in range(3)]
-    assert feeds._last(spark.createDataFrame([(1, "a", 0), (1, "b", 1), (2, "c", 0)], "k int, v string, batch long"), "k").orderBy("k").select("v").collect() == [("b",), ("c",)]
+def test_states_go_on_from_batch_to_batch(spark, tmp_path):
+    rows = [(i % 3, i, ["submit", "claim", "cancel", "finish"][i // 3 % 4], i * 10, 1) for i in range(12)]
+    cols = "job_id long, ord long, op string, at long, token long"
+    whole = jobs.claims(spark.createDataFrame(rows, cols)).orderBy("job_id").collect()
+    assert [(r.job_id, r.status, r.token, r.n_applied, r.n_stale) for r in whole] == [(j, "failed", 1, 4, 0) for j in range(3)]
+    first = jobs.claims(spark.createDataFrame(rows[:5], cols))
+    assert jobs.claims(spark.createDataFrame(rows[5:], cols), held=first).orderBy("job_id").collect() == whole
+
+    log = str(tmp_path / "log")
+    for part in (rows[:5], rows[5:8], rows[8:]):
+        spark.createDataFrame(part, cols).coalesce(1).write.mode("append").parquet(log)
+    read = feeds._read
+    feeds._read = lambda s, path: s.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(path)
+    try:
+        got = feeds._folded(spark, log, "claims", lambda r, held: jobs.claims(r, held=held))
+    finally:
+        feeds._read = read
+    assert got.select(whole[0].__fields__).orderBy("job_id").collect() == whole
 
 
 def test_transitions(spark):
