@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import sys
-from urllib.parse import urlsplit
 from xml.etree import ElementTree
 from xml.parsers import expat
 

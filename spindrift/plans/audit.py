@@ -132,16 +132,16 @@ def version_order(spark, sf_dir):
 
 # ---- constraints
 
-BROKEN = choose_sql("event_id", None, "attempt.success_invalid", None, "attempt.error_required", None, "attempt.skipped_invalid", "attempt.time_invalid", "attempt.outcome_invalid")
-
-
-@query(f"SELECT event_id, {BROKEN} AS code FROM events")
+@query("""WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'skipped' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'lost' ELSE 'succeeded' END AS outcome, (event_type = 'error' AND value > 10) OR (event_type = 'purchase' AND value > 80) OR event_type = 'view' AS coded, value > 20 AS url, value > 15 AS http, value > 95 AS odd, value > 18 AS sent, value < 1 AS back, value > 5 AS ran FROM events),
+x AS (SELECT *, url OR http OR sent AS effect, url AND http AND sent AS network FROM e)
+SELECT event_id, CASE WHEN outcome = 'lost' THEN 'attempt.outcome_invalid' WHEN back THEN 'attempt.time_invalid' WHEN odd THEN 'attempt.http_status_invalid' WHEN outcome = 'succeeded' AND (coded OR (effect AND NOT network)) THEN 'attempt.success_invalid' WHEN outcome <> 'succeeded' AND NOT coded THEN 'attempt.error_required' WHEN outcome = 'skipped' AND (effect OR ran) THEN 'attempt.skipped_invalid' END AS code FROM x""")
 def attempt_shape(spark, sf_dir):
-    n = F.col("event_id") % 8
+    """Events as attempts; the value of an event decides which facts it has."""
+    v, kind = F.col("value"), F.col("event_type")
     e = table(spark, sf_dir, "events").select(
-        "event_id", F.when(n == 7, "lost").when(n.isin(2, 3), "failed").when(n.isin(4, 5), "skipped").otherwise("succeeded").alias("outcome"), F.when(n.isin(2, 4, 5), "x.y").alias("code"),
-        F.when(n.isin(0, 2, 6, 7), "https://e.test/").alias("final_url"), F.when(n.isin(0, 1, 6, 7), 200).alias("http_status"), F.when(n.isin(4, 5), 0).otherwise(1).alias("requests"), F.when(n.isin(4, 5), 0).otherwise(9).alias("bytes_received"),
-        F.when(n == 5, 3).otherwise(0).alias("runtime_ms"), F.lit("2024-01-01T00:00:01Z").alias("started_at"), F.when(n == 6, "2024-01-01T00:00:00Z").otherwise("2024-01-01T00:00:02Z").alias("finished_at"),
+        "event_id", F.when(kind == "view", "skipped").when(kind == "error", "failed").when(kind == "signup", "lost").otherwise("succeeded").alias("outcome"), F.when(((kind == "error") & (v > 10)) | ((kind == "purchase") & (v > 80)) | (kind == "view"), "x.y").alias("code"),
+        F.when(v > 20, "https://e.test/").alias("final_url"), F.when(v > 95, 600).when(v > 15, 200).alias("http_status"), F.when(v > 18, 1).otherwise(0).alias("requests"), F.when(v > 18, 9).otherwise(0).alias("bytes_received"),
+        F.when(v > 5, 3).otherwise(0).alias("runtime_ms"), F.lit("2024-01-01T00:00:01Z").alias("started_at"), F.when(v < 1, "2024-01-01T00:00:00Z").otherwise("2024-01-01T00:00:02Z").alias("finished_at"),
     )
     return e.select("event_id", constraints.attempt_code().alias("code"))
 
@@ -167,24 +167,31 @@ def manifest_shape(spark, sf_dir):
     return constraints.manifest_code(att, art)
 
 
-@query(f"SELECT event_id, {choose_sql('event_id', None, 'result.completed_requires_artifact', 'result.completed_has_failure', 'result.partial_requires_failure', None, 'result.failed_requires_error', 'result.rejected_has_artifact')} AS code FROM events")
+@query(f"""{A}, g AS (SELECT run_id || '/' || (ord // 2) AS result, count(*) FILTER (WHERE outcome = 'succeeded') AS s, count(*) FILTER (WHERE outcome <> 'succeeded') AS o, count(code) AS e, count(*) FILTER (WHERE bytes_received > 3000) AS a, CASE arg_max(tool_id, ord) WHEN 'acquisition.web_http' THEN 'completed' WHEN 'acquisition.playwright' THEN 'partial' ELSE CASE WHEN max(ord) % 3 = 0 THEN 'rejected' ELSE 'failed' END END AS status FROM attempts GROUP BY result)
+SELECT result, CASE WHEN status = 'completed' AND (a = 0 OR s = 0) THEN 'result.completed_requires_artifact' WHEN status = 'completed' AND (o > 0 OR e > 0) THEN 'result.completed_has_failure' WHEN status = 'partial' AND (a = 0 OR s = 0) THEN 'result.partial_requires_artifact' WHEN status = 'partial' AND o = 0 AND e = 0 THEN 'result.partial_requires_failure'
+WHEN status IN ('failed', 'rejected') AND (a > 0 OR s > 0) THEN 'result.' || status || '_has_artifact' WHEN status IN ('failed', 'rejected') AND e = 0 THEN 'result.' || status || '_requires_error' END AS code FROM g""")
 def result_shape(spark, sf_dir):
-    n = F.col("event_id") % 7
-    e = table(spark, sf_dir, "events").select(
-        "event_id", F.when(n < 3, "completed").when(n < 5, "partial").when(n == 5, "failed").otherwise("rejected").alias("status"), F.when(n.isin(1, 5), 0).otherwise(1).alias("n_artifacts"), F.when(n.isin(1, 5), 0).otherwise(1).alias("n_succeeded"),
-        F.when(n.isin(2, 4), 1).otherwise(0).alias("n_other"), F.lit(0).alias("n_errors"),
-    )
-    return e.select("event_id", constraints.result_code().alias("code"))
+    """Each two attempts of a run as a result whose last tool names its status; attempts of more than 3,000 bytes left an artifact."""
+    a = attempts(spark, sf_dir)
+    tool, last = F.max_by("tool_id", "ord"), F.max("ord")
+    status = F.when(tool == "acquisition.web_http", "completed").when(tool == "acquisition.playwright", "partial").when(last % 3 == 0, "rejected").otherwise("failed")
+    g = a.groupBy(F.concat_ws("/", "run_id", F.floor(F.col("ord") / 2)).alias("result")).agg(
+        status.alias("status"), F.count_if(F.col("outcome") == "succeeded").alias("n_succeeded"), F.count_if(F.col("outcome") != "succeeded").alias("n_other"), F.count("code").alias("n_errors"), F.count_if(F.col("bytes_received") > 3000).alias("n_artifacts"))
+    return g.select("result", constraints.result_code().alias("code"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 9 = 8 THEN 'site_refresh.change_type_invalid' WHEN page_id % 9 IN (1, 3, 5, 7) THEN 'site_refresh.change_invalid' END AS code FROM pages")
+@query("""WITH d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'added' WHEN 'de' THEN 'changed' WHEN 'fr' THEN 'unchanged' WHEN 'es' THEN 'failed' ELSE 'missing' END AS t, CASE WHEN n_chars % 4 < 2 THEN source END AS p, CASE WHEN n_chars % 3 < 2 THEN source || CASE WHEN n_chars % 5 = 0 THEN '!' ELSE '' END END AS q, n_chars % 7 = 0 AS a FROM documents),
+f AS (SELECT *, CASE t WHEN 'added' THEN p IS NULL AND q IS NOT NULL AND NOT a WHEN 'changed' THEN NOT a AND coalesce(p <> q, false) WHEN 'unchanged' THEN NOT a AND coalesce(p = q, false) WHEN 'missing' THEN p IS NOT NULL AND q IS NULL AND NOT a ELSE q IS NULL AND a END AS fits FROM d)
+SELECT doc_id, CASE WHEN NOT fits THEN 'site_refresh.change_invalid' END AS code FROM f""")
 def change_shape(spark, sf_dir):
-    n = F.col("page_id") % 9
-    p = table(spark, sf_dir, "pages").select(
-        "page_id", F.when(n < 2, "added").when(n < 4, "changed").when(n < 6, "missing").when(n < 8, "failed").otherwise("lost").alias("change_type"), F.when(n.isin(1, 2, 3, 4, 5), "1").alias("previous_digest"),
-        F.when(n.isin(0, 1, 5), "2").when(n == 2, "2").when(n == 3, "1").alias("current_digest"), F.when(n == 6, 1).otherwise(0).alias("n_attempts"), F.when(n == 6, 1).otherwise(0).alias("n_codes"),
+    """Documents as changes: the language names the type, the length decides which digests and attempts there are."""
+    n, lang = F.col("n_chars"), F.col("lang")
+    used = F.when(n % 7 == 0, 1).otherwise(0)
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(lang == "en", "added").when(lang == "de", "changed").when(lang == "fr", "unchanged").when(lang == "es", "failed").otherwise("missing").alias("change_type"),
+        F.when(n % 4 < 2, F.col("source")).alias("previous_digest"), F.when(n % 3 < 2, F.concat("source", F.when(n % 5 == 0, "!").otherwise(""))).alias("current_digest"), used.alias("n_attempts"), used.alias("n_codes"),
     )
-    return p.select("page_id", constraints.change_code().alias("code"))
+    return d.select("doc_id", constraints.change_code().alias("code"))
 
 
 @query(f"SELECT event_id, {choose_sql('event_id', None, 'site_refresh.status_invalid', 'site_refresh.unresolved_forbidden', None, 'site_refresh.missing_forbidden', 'site_refresh.stop_reason_invalid')} AS code FROM events")
@@ -248,19 +255,22 @@ def transform_pairing(spark, sf_dir):
     return constraints.transform_pairs(ok, made.select("run_id", F.concat(F.lit("urn:spindrift:transform:t:"), "tool_version").alias("source_url")))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 IN (1, 3) THEN 'retrieval.state_invalid' END AS code FROM events")
+@query(f"""{A}, g AS (SELECT run_id || '/' || (ord // 3) AS retrieval, CASE WHEN sum(bytes_received) > 5000 THEN 'FETCHED' ELSE 'UNRESOLVED' END AS outcome, count(*) FILTER (WHERE outcome = 'succeeded') AS n, count(*) FILTER (WHERE outcome = 'failed') AS f, bool_or(tool_id = 'acquisition.web_http') AS m FROM attempts GROUP BY retrieval)
+SELECT retrieval, CASE WHEN (outcome = 'FETCHED') <> (n > 0) OR (outcome = 'FETCHED' AND (NOT m OR f > 0)) OR f > 1 THEN 'retrieval.state_invalid' END AS code FROM g""")
 def retrieval_validity(spark, sf_dir):
-    n = F.col("event_id") % 4
-    none = F.array().cast("array<string>")
-    e = table(spark, sf_dir, "events").select("event_id", F.when(n < 2, "FETCHED").otherwise("UNRESOLVED").alias("outcome"), F.when(n < 2, "HTTP_OK").otherwise("METHODS_EXHAUSTED").alias("reason"), F.lit("HTTP").alias("method"), F.when(n == 0, 1).otherwise(0).alias("n_artifacts"), F.lit(1).alias("n_jobs"), F.when(n == 3, F.array(F.lit("x"))).otherwise(none).alias("actions"))
-    return e.select("event_id", constraints.retrieval_code().alias("code"))
+    """Each three attempts of a run as a retrieval that claims to have fetched by its bytes; each failure adds the same action."""
+    a = attempts(spark, sf_dir)
+    g = a.groupBy(F.concat_ws("/", "run_id", F.floor(F.col("ord") / 3)).alias("retrieval")).agg(
+        F.when(F.sum("bytes_received") > 5000, "FETCHED").otherwise("UNRESOLVED").alias("outcome"), F.count_if(F.col("outcome") == "succeeded").alias("n_artifacts"), F.count_if(F.col("outcome") == "failed").alias("_f"), F.bool_or(F.col("tool_id") == "acquisition.web_http").alias("_m"))
+    g = g.select("retrieval", "outcome", "n_artifacts", F.when(F.col("outcome") == "FETCHED", "HTTP_OK").otherwise("METHODS_EXHAUSTED").alias("reason"), F.when(F.col("_m"), "HTTP").alias("method"), F.lit(1).alias("n_jobs"), F.array_repeat(F.lit("retrieve-browser"), F.col("_f").cast("int")).alias("actions"))
+    return g.select("retrieval", constraints.retrieval_code().alias("code"))
 
 
-@query(f"SELECT page_id, {choose_sql('page_id', None, 'acquisition.redirect_invalid', 'acquisition.requests_invalid', 'acquisition.bytes_invalid')} AS code FROM pages")
+@query("""WITH p AS (SELECT page_id, length(url) AS n, octet_length(encode(html)) AS size, length(html) AS chars, starts_with(url, 'https') AS s FROM pages) SELECT page_id, CASE WHEN n % 5 = 0 THEN 'acquisition.redirect_invalid' WHEN NOT s THEN 'acquisition.requests_invalid' WHEN chars < size THEN 'acquisition.bytes_invalid' END AS code FROM p""")
 def acquisition_output(spark, sf_dir):
-    n = F.col("page_id") % 4
+    """Pages behind one redirect: some end elsewhere by the length of their URL, plain HTTP ones count one request, and bytes are given in characters."""
     hop = F.array(F.struct(F.col("url").alias("from_url"), F.lit("https://e.test/").alias("to_url")))
-    p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("requested_url"), F.when(n == 1, "https://f.test/").otherwise("https://e.test/").alias("final_url"), hop.alias("hops"), F.when(n == 2, 1).otherwise(2).alias("requests"), F.when(n == 3, 5).otherwise(10).alias("bytes_received"), F.lit(10).alias("size"), F.lit(False).alias("measured"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("requested_url"), F.when(F.length("url") % 5 == 0, "https://f.test/").otherwise("https://e.test/").alias("final_url"), hop.alias("hops"), F.when(F.col("url").startswith("https"), 2).otherwise(1).alias("requests"), F.length("html").alias("bytes_received"), F.octet_length("html").alias("size"), F.lit(False).alias("measured"))
     return p.select("page_id", constraints.output_code().alias("code"))
 
 

@@ -130,8 +130,10 @@ def handoff_shape(spark, sf_dir):
     return h.select("doc_id", catalog.handoff_code().alias("code"))
 
 
-@query(f"SELECT doc_id, {choose_sql('doc_id', None, 'external.file_missing', 'external.size_mismatch', 'external.sha256_mismatch', 'external.mime_mismatch', 'external.runtime_limit')} AS code FROM documents")
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, text IS NULL AS gone, n_chars, lang FROM documents) SELECT doc_id, CASE WHEN gone THEN 'external.file_missing' WHEN octet_length(encode(t)) <> n_chars THEN 'external.size_mismatch' WHEN t <> trim(t) OR n_chars % 10 = 0 THEN 'external.sha256_mismatch' WHEN lang IS DISTINCT FROM 'en' THEN 'external.mime_mismatch' WHEN n_chars > 1000 THEN 'external.runtime_limit' END AS code FROM d""")
 def external_responses(spark, sf_dir):
-    n = F.col("doc_id") % 6
-    r = table(spark, sf_dir, "documents").select("doc_id", F.when(n == 3, "0").otherwise(F.sha2("text", 256)).alias("claimed_sha256"), (F.octet_length("text") + F.when(n == 2, 1).otherwise(0)).alias("claimed_size"), F.lit("text/markdown").alias("claimed_mime"), F.when(n != 1, F.col("text")).alias("body"), F.when(n == 4, ".html").otherwise(".md").alias("path_suffix"), F.when(n == 5, 2001).otherwise(2000).alias("runtime_ms"), F.lit(2).alias("max_runtime_seconds"))
+    """Documents as an external tool's files: sizes are given in characters, digests of the trimmed text or of another, only English ones with the right suffix, a millisecond a character of a second's limit."""
+    text = F.concat(F.trim("text"), F.when(F.col("n_chars") % 10 == 0, "!").otherwise(""))
+    r = table(spark, sf_dir, "documents").select(
+        "doc_id", F.sha2(text, 256).alias("claimed_sha256"), F.col("n_chars").alias("claimed_size"), F.lit("text/markdown").alias("claimed_mime"), F.col("text").alias("body"), F.when(F.col("lang") == "en", ".md").otherwise(".txt").alias("path_suffix"), F.col("n_chars").alias("runtime_ms"), F.lit(1).alias("max_runtime_seconds"))
     return r.select("doc_id", catalog.external_code().alias("code"))

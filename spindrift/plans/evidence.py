@@ -59,6 +59,18 @@ def peer_check(spark, sf_dir):
     return e.select("event_id", policy.peer_code(peer, F.array(ip, F.lit("1.1.1.1")), evidence.public_ip(peer)).alias("code"))
 
 
+@query(f"""WITH {IPS}, r AS (SELECT user_id, event_type, bool_or(a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31)
+OR (a = 192 AND (b = 168 OR (b = 0 AND c IN (0, 2)))) OR (a = 198 AND (b IN (18, 19) OR (b = 51 AND c = 100))) OR (a = 203 AND b = 0 AND c = 113)) FILTER (WHERE NOT event_type = 'view') AS bad, count(*) FILTER (WHERE NOT event_type = 'view') AS n FROM (SELECT ip.*, user_id FROM ip JOIN events USING (event_id)) GROUP BY ALL)
+SELECT user_id, event_type, CASE WHEN n = 0 THEN 'gateway.dns_failed' WHEN bad THEN 'gateway.dns_not_public' END AS code FROM r""")
+def resolved_names(spark, sf_dir):
+    """A user's events of a kind as the addresses that a name resolves to; views resolve to none."""
+    e = events(spark, sf_dir)
+    ip = F.concat_ws(".", *[x.cast("string") for x in (F.col("event_id") % 230, F.col("user_id") % 256, F.col("event_id") * 7 % 256, F.col("user_id") % 200)])
+    kept = F.when(F.col("event_type") != "view", ip)
+    g = e.withColumns({"ip": kept, "public": evidence.public_ip(kept)}).groupBy("user_id", "event_type").agg(F.collect_list("ip").alias("ips"), F.collect_list(F.when(F.col("ip").isNotNull(), F.col("public"))).alias("publics"))
+    return g.select("user_id", "event_type", evidence.resolution_code(F.col("ips"), F.col("publics")).alias("code"))
+
+
 @query("SELECT doc_id, CASE WHEN lang = 'de' OR source LIKE '%1' THEN 'result.sensitive_data' WHEN n_chars % 5 = 0 THEN 'result.absolute_path' END AS code FROM documents")
 def payload_safety(spark, sf_dir):
     """A nested payload a document: secret keys in an encoded spelling for one language and for sources ending in 1, local paths by length."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindrift.operators import jobs, ledger, results, state, store, tools
-from spindrift.plans.inputs import ATTEMPTS, BODIES, CODES, OBSERVED, attempts, bodies, choose, choose_sql, table, values
+from spindrift.plans.inputs import ATTEMPTS, BODIES, OBSERVED, attempts, bodies, choose, choose_sql, table, values
 from spindrift.sources import fetchlog
 from spindrift.streaming import feeds
 

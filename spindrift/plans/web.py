@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import identity, safety, urls
 from spindrift.operators import discovery, markdown, quality, results, robots, state
-from spindrift.plans.inputs import choose, choose_sql, table, values
+from spindrift.plans.inputs import choose, table, values
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -262,14 +262,20 @@ def robots_decision(spark, sf_dir):
     return robots.decide(targets, robots.policies(robots_files(spark, sf_dir)), "spindrift/1.0").select("page_id", "code", "decision")
 
 
-BODIES_8 = ("", "<div class=g-recaptcha>x</div>", "<input type=\"password\">", "<p>Access   Denied</p>", "<script>go()</script>", "<title>Just a moment</title><p>wait</p>", "<p>Bad gateway</p>", "<p>all is well here</p>")
-CODES_8 = ("acquisition.empty", "acquisition.interaction_required", "acquisition.auth_required", "acquisition.permission_denied", "acquisition.script_only", "acquisition.challenge", "acquisition.error_page", None)
-
-
-@query(f"SELECT page_id, {choose_sql('page_id', *CODES_8)} AS code FROM pages")
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, n_chars % 6 AS k FROM documents), w AS (SELECT *, len(regexp_extract_all(t, '[^\s]+')) AS words FROM d)
+SELECT doc_id, CASE k WHEN 0 THEN 'acquisition.script_only' WHEN 1 THEN CASE WHEN words = 0 THEN 'acquisition.empty' WHEN words < 40 THEN 'runtime.quality_minimum_words' END WHEN 2 THEN 'acquisition.auth_required' WHEN 3 THEN 'acquisition.challenge' WHEN 4 THEN CASE WHEN words + 10 < 40 THEN 'runtime.quality_minimum_words' END
+ ELSE CASE WHEN words = 0 THEN 'acquisition.permission_denied' WHEN words + 2 < 40 THEN 'runtime.quality_minimum_words' END END AS code FROM w""")
 def quality_code(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", choose(F.col("page_id"), *BODIES_8).alias("html"), F.lit("text/html").alias("mime"))
-    return quality.quality(p).select("page_id", "code")
+    """Document texts as bodies: hidden in a script, as they are, beside a password field, under the title of a browser check, with ten words more, behind an error."""
+    k = F.col("n_chars") % 6
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    body = F.concat(F.lit("<body><p>"), text, F.lit("</p></body>"))
+    html = (
+        F.when(k == 0, F.concat(F.lit("<script>"), text, F.lit("</script>"))).when(k == 1, body).when(k == 2, F.concat(body, F.lit("<input name=p type=PASSWORD>"))).when(k == 3, F.concat(F.lit("<head><title>Just a moment...</title></head>"), body))
+        .when(k == 4, F.concat(F.repeat(F.lit("<i>word</i> "), F.lit(10)), body)).otherwise(F.concat(F.lit("<p>Access\n denied</p>"), body))
+    )
+    p = table(spark, sf_dir, "documents").select("doc_id", html.alias("html"), F.lit("text/html").alias("mime"))
+    return quality.quality(p, minimum_words=40).select("doc_id", "code")
 
 
 @query(r"""WITH p AS (SELECT page_id, len(regexp_extract_all(regexp_replace(html, '(?s)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>|<!--.*?-->|<[^>]*>', ' ', 'g'), '[^\s]+')) AS words FROM pages)
