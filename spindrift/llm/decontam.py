@@ -25,8 +25,8 @@ from spindrift.llm.cluster import columns_only
 GRAM, MATCH, MISMATCH, GAP = 3, 2, -1, -1
 #: Share of an item's perfect score from which a passage counts as a copy; seeds that must agree on a place; characters of benchmark per block.
 THRESHOLD, SEEDS, BLOCK_CHARS = 0.5, 2, 16_000_000
-#: One seed is enough for items below so many words.
-SHORT = 16
+#: One seed is enough for items below so many words; words of a text that are searched at once, at least.
+SHORT, STRIDE = 16, 8192
 _U = np.uint64
 _BITS = 20
 
@@ -126,6 +126,23 @@ def passages(words: np.ndarray, index: _Index, items: list[np.ndarray], seeds: i
     return out
 
 
+def all_passages(words: np.ndarray, index: _Index, items: list[np.ndarray], seeds: int, threshold: float, stride: int = STRIDE) -> list[tuple[int, float, int, int]]:
+    """``passages`` of a text of any length, in overlapping windows, which bounds the places of seeds that are held at once.
+
+    A passage that reaches a threshold of a half is at most twice as long as its item, so it lies whole in a window.
+    """
+    longest = max(map(len, items), default=0)
+    width, overlap = max(stride, 8 * longest), 3 * longest + 6
+    if len(words) <= width:
+        return passages(words, index, items, seeds, threshold)
+    best: dict[int, tuple[float, int, int]] = {}
+    for at in range(0, max(1, len(words) - overlap), width - overlap):
+        for item, score, a, b in passages(words[at : at + width], index, items, seeds, threshold):
+            if score > best.get(item, (0.0,))[0]:
+                best[item] = (score, at + a, at + b)
+    return [(item, *found) for item, found in sorted(best.items())]
+
+
 def whole(words: np.ndarray, short: dict[int, _Index]) -> list[tuple[int, float, int, int]]:
     """(item, score, start, end) of the first place of each item of fewer than GRAM words, by number of words in ``short``."""
     out = []
@@ -158,7 +175,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     the best alignment's share of the item's perfect one; the words' range is where it lies in the text
     (the first such place on a tie).  Items with fewer than three words match where their
     words stand in a text, unedited, with score 1; null or empty texts match nothing; equal items and repeated rows are reported each; a null doc_id is reported as null; empty
-    tables give an empty result; extra columns are ignored.
+    tables give an empty result; extra columns are ignored.  Texts of any length are searched whole, in windows;
+    an alignment takes time in proportion to the product of the lengths of item and passage.
     """
     docs = columns_only(docs, "doc_id", "text")
     spark = docs.sparkSession
@@ -183,7 +201,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                 if mine:
                     short[n] = _Index(np.concatenate([grams(items[i], n) for i in mine]), np.array(mine), np.zeros(len(mine), np.int64))
             for batch in tk.pieces(batches):
-                got = [(doc, ids[i], score, a, z) for doc, t in zip(batch.column("doc_id").to_pylist(), tk.texts(batch.column("text")), strict=True) for w in (words_of(hasher, t),) for i, score, a, z in passages(w, index, items, seeds, threshold) + whole(w, short)]
+                got = [(doc, ids[i], score, a, z) for doc, t in zip(batch.column("doc_id").to_pylist(), tk.texts(batch.column("text")), strict=True) for w in (words_of(hasher, t),) for i, score, a, z in all_passages(w, index, items, seeds, threshold) + whole(w, short)]
                 cols = list(zip(*got, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "start_word", "end_word"])
 

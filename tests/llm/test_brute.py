@@ -215,6 +215,24 @@ def test_an_edited_copy_is_found_in_however_many_documents_it_stands(spark, copi
     assert sorted(r.doc_id for r in got) == list(range(copies))
 
 
+def test_long_texts_are_searched_in_windows_with_the_same_result():
+    rng = np.random.default_rng(31)
+    items = [rng.integers(0, 1 << 60, n).astype(np.uint64) for n in rng.integers(8, 60, 30)]
+    grams = [decontam.grams(w) for w in items]
+    index = decontam._Index(np.concatenate(grams), np.repeat(np.arange(30), [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams]))
+    for _ in range(40):
+        parts = []
+        for _ in range(40):
+            parts.append(rng.integers(0, 1 << 60, rng.integers(1, 80)).astype(np.uint64))
+            copy = items[rng.integers(30)].copy()
+            hurt = rng.random(len(copy)) < 0.12
+            copy[hurt] = rng.integers(0, 1 << 60, hurt.sum()).astype(np.uint64)
+            parts.append(copy)
+        text = np.concatenate(parts)
+        want = decontam.passages(text, index, items, 2, 0.5)
+        assert len(text) > 700 and want and decontam.all_passages(text, index, items, 2, 0.5, stride=500) == want
+
+
 def test_short_items_and_scripts_without_spaces_are_found(spark):
     passage = "水在标准大气压下的沸点是一百摄氏度而冰点是零度"
     items = [(1, "Two words"), (2, "xylophone"), (3, passage), (4, "ภาษาไทยไม่เว้นวรรคระหว่างคำ")]
