@@ -110,7 +110,8 @@ def languages(docs: DataFrame, modulus: int = 3, rest: int = 1, sample: int = SA
     margin is narrow, so a caller may reject the prediction; lang_pred still names the smallest.  Texts
     that are null or without a letter, and all texts where nothing was learned, are ``und`` with score 0;
     ties go to the first language in order.  Repeated rows are scored each, a null doc_id is not held
-    out, extra columns are ignored, an empty table gives an empty result.
+    out, extra columns are ignored, an empty table gives an empty result.  Long texts are compressed whole,
+    piece by piece.
     """
     found = dictionaries(docs, modulus, rest, sample)
     bc = [docs.sparkSession.sparkContext.broadcast(found[i : i + block]) for i in range(0, len(found), block)]

@@ -140,7 +140,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     starts in words; base_labels and labels are distinct, sorted and joined by commas, empty if there are
     none; the score is 0 without a label, else 0.5, 0.8 or 0.95 by the highest rank.  Null texts are
     empty; of equal intervals the higher rank stays, of equal ranks all labels do; repeated rows are
-    scanned each; an empty table gives an empty result; extra columns are ignored.
+    scanned each; an empty table gives an empty result; extra columns are ignored.  A text of any length is
+    scanned whole, in time linear in it for each rule that it matches.
     """
     rules = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(rank).alias("rank"), F.lit(keyword(p)).alias("key"), F.lit(f" (?:{p})(?= )").alias("re")) for label, rank, p in RULES])
     base = F.lit(" (?:" + "|".join(BASE) + ")(?= )")

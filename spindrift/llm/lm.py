@@ -318,7 +318,8 @@ def score_texts(docs: DataFrame, modulus: int = 5, rest: int = 1) -> DataFrame:
     Learned from all texts outside the held-out fold.  Words are ``[^\\x20\\x09-\\x0D]+`` after
     lower-casing A-Z, told apart by 64-bit hashes; every text ends with one end token; null texts are
     empty.  A null doc_id is in the training fold; repeated rows are counted and scored each; with no
-    training text the counts are 0; an empty table gives an empty result; extra columns are ignored.
+    training text the counts are 0; an empty table gives an empty result; extra columns are ignored.  Texts
+    of any length are counted and scored whole.
     """
     spark = docs.sparkSession
     docs = columns_only(docs, "doc_id", "text").select("doc_id", held_out(modulus, rest).alias("held_out"), "text")

@@ -295,7 +295,11 @@ def wav_samples(data: bytes) -> bytes:
 
 
 def encode(docs: DataFrame, declared: str = "application/octet-stream") -> DataFrame:
-    """(doc_id, n_bytes, declared, media): each text's UTF-8 bytes, null as empty, padded with zeros to a positive multiple of 64, as a WAV file."""
+    """(doc_id, n_bytes, declared, media): each text's UTF-8 bytes, null as empty, padded with zeros to a positive multiple of 64, as a WAV file.
+
+    Texts of any length are stored whole; repeated rows each; a null doc_id stays null; an empty table gives an
+    empty result; extra columns are ignored.
+    """
 
     def run(batches):
         for batch in tk.pieces(batches):

@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shingles, or its whole word sequence when it has fewer than k words.  Texts that are null, empty or
     without words have an empty set and are linked with nothing; a null doc_id has a null component and
     is kept; rows that share a doc_id are one document; ties go to the smallest id; extra columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result.  Texts of any length are taken whole.
     """
     prints = cut(fingerprints(docs, k))
     ids = prints.where("doc_id is not null and n > 0")

@@ -86,7 +86,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
     Learned from at most ``sample`` labelled rows outside the held-out fold.  Null and empty texts have
     no features and get the model's bias; with no usable labels every score is one half.  Repeated rows
     are scored each, a null doc_id is not held out, extra columns are ignored, an empty table gives an
-    empty result.
+    empty result.  Long texts are read whole, in pieces of a megabyte.
     """
     spark = docs.sparkSession
 

@@ -271,7 +271,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
     texts without hits have the low score of such texts; with no usable labels, or none that
     teach a term, every score is nearly 0.
     Repeated rows are scored each, a null doc_id is not held out, extra columns are ignored, an empty
-    table gives an empty result.  Among equally near terms the first in order counts.
+    table gives an empty result.  Texts of any length are read whole.  Among equally near terms the first in order counts.
     """
     spark = docs.sparkSession
     train = cut(training_texts(docs, labels, "toxic", sample, modulus, rest))
