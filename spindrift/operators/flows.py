@@ -31,21 +31,23 @@ def navigate(starts: DataFrame, edges: DataFrame, most: int = 16) -> DataFrame:
     return walk.select("start", c("at").alias("final_url"), (F.size("seen") - 1).cast("bigint").alias("hops"), c("stop").alias("stop_reason"))
 
 
-def read(starts: DataFrame, responses: DataFrame, policies: DataFrame, paths: Column, kinds: Column, agent: str, most: int = 5) -> DataFrame:
+def read(starts: DataFrame, responses: DataFrame, policies: DataFrame, paths: Column, kinds: Column, agent: str, most: int = 5, within: tuple[str, ...] = ()) -> DataFrame:
     """(start, final_url, hops, status, code) of reading each of starts(url, origins) from a log of responses(url, status, mime, location), as an agent may.
 
     At each hop the URL must be in scope, then robots files must allow it, then the log must hold it; a
     redirect is followed, up to ``most`` times and nowhere twice, if ``evidence.redirect_authority`` allows
     it; the last response passes ``policy.response_gate``.  The code is 'policy.allowed' or the first that fails.
+    A log holds a URL once, or once for each value of the columns ``within`` of starts and responses (such as
+    a run): a start is then answered by its own responses only, and its row has those columns, too.
     """
     c = F.col
-    walk = starts.select(c("url").alias("start"), "origins", c("url").alias("at")).withColumn("seen", F.array("at"))
-    logged = responses.select(c("url").alias("at"), c("status").alias("_status"), c("mime").alias("_mime"), c("location").alias("location"), F.lit(True).alias("_held"))
+    walk = starts.select(c("url").alias("start"), "origins", c("url").alias("at"), *within).withColumn("seen", F.array("at"))
+    logged = responses.select(c("url").alias("at"), c("status").alias("_status"), c("mime").alias("_mime"), c("location").alias("location"), F.lit(True).alias("_held"), *within)
     ended = None
     for hop in range(most + 1):
         here = urls.decide(F.struct(c("at").alias("url"), F.lit(None).cast("string").alias("code")), c("origins"), paths)
         asked = robots.decide(walk.withColumns({"url": c("at"), "origin": urls.origin(c("at")), "_here": here}), policies, agent).withColumnsRenamed({"code": "_robots", "status": "_fetched"})
-        moved = asked.join(logged, "at", "left").withColumns({"kind": F.lit("target"), "current_url": c("at"), "status_code": c("_status")})
+        moved = asked.join(logged, ["at", *within], "left").withColumns({"kind": F.lit("target"), "current_url": c("at"), "status_code": c("_status")})
         turns = F.coalesce(c("_status").isin(*results.REDIRECTS), F.lit(False))
         moved = evidence.redirect_authority(moved.withColumn("location", F.when(turns, c("location"))), c("origins"), paths).withColumnsRenamed({"code": "_redirect", "target_url": "_next"})
         stop = (
@@ -53,10 +55,10 @@ def read(starts: DataFrame, responses: DataFrame, policies: DataFrame, paths: Co
             .when(turns & (c("_redirect") != "policy.allowed"), c("_redirect")).when(turns & F.array_contains("seen", c("_next")), "gateway.redirect_loop").when(turns & F.lit(hop >= most), "gateway.redirect_limit")
             .when(~turns, policy.response_gate(c("_status"), c("_mime"), kinds))
         )
-        step = cut(moved.select("start", "origins", "at", "seen", "_next", c("_status").alias("status"), stop.alias("code")))
-        done = step.where("code is not null").select("start", c("at").alias("final_url"), (F.size("seen") - 1).cast("bigint").alias("hops"), "status", "code")
+        step = cut(moved.select("start", "origins", "at", "seen", "_next", c("_status").alias("status"), stop.alias("code"), *within))
+        done = step.where("code is not null").select("start", c("at").alias("final_url"), (F.size("seen") - 1).cast("bigint").alias("hops"), "status", "code", *within)
         ended = done if ended is None else ended.unionByName(done)
-        walk = step.where("code is null").select("start", "origins", c("_next").alias("at"), F.array_append("seen", c("_next")).alias("seen"))
+        walk = step.where("code is null").select("start", "origins", c("_next").alias("at"), F.array_append("seen", c("_next")).alias("seen"), *within)
         if not walk.limit(1).count():
             break
     return ended

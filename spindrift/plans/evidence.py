@@ -550,16 +550,16 @@ e AS (SELECT *, CASE WHEN o = 2 THEN 'robots.forbidden' WHEN k = 1 THEN 'policy.
 SELECT url AS start, coalesce(barred, CASE k WHEN 0 THEN 'policy.allowed' WHEN 5 THEN 'gateway.http_status' WHEN 6 THEN 'gateway.server_error' WHEN 7 THEN 'scope.content_type_not_allowed' WHEN 3 THEN 'scope.origin_not_allowed' ELSE after END) AS code,
 CAST(CASE WHEN barred IS NULL AND k IN (1, 2, 4) THEN 1 ELSE 0 END AS BIGINT) AS hops FROM e""")
 def governed_reads(spark, sf_dir):
-    """Every page read from a log: by the length of its body it is there, moved, moved in a circle, moved to another site, moved to nowhere, missing, broken, or a file."""
+    """Every page read from a log: by the length of its body it is there, moved, moved in a circle, moved to another site, moved to nowhere, missing, broken, or a file; of pages with one URL each has its own response."""
     c = F.col
     k = F.length("html") % 8
     p = accepted(spark, sf_dir)
     origin = urls.origin(c("url"))
     moved = F.concat(origin, F.lit("/moved/"), c("page_id").cast("string"))
-    first = p.select("url", F.when(k.isin(1, 2, 3, 4), 301).when(k == 5, 404).when(k == 6, 503).otherwise(200).alias("status"), F.when(k == 7, "application/pdf").otherwise("text/html").alias("mime"), F.when(k == 3, "https://far.example.test/").when(k.isin(1, 2, 4), moved).alias("location"))
-    then = p.where(k.isin(1, 2)).select(moved.alias("url"), F.when(k == 2, 302).otherwise(200).alias("status"), F.lit("text/html").alias("mime"), F.when(k == 2, c("url")).alias("location"))
-    starts = p.select("url", F.array(origin).alias("origins"))
-    got = flows.read(starts, first.unionByName(then), robots.policies(robots_files(spark, sf_dir)), F.array(F.lit("/**")), F.array(F.lit("html")), "spindrift/1.0")
+    first = p.select("page_id", "url", F.when(k.isin(1, 2, 3, 4), 301).when(k == 5, 404).when(k == 6, 503).otherwise(200).alias("status"), F.when(k == 7, "application/pdf").otherwise("text/html").alias("mime"), F.when(k == 3, "https://far.example.test/").when(k.isin(1, 2, 4), moved).alias("location"))
+    then = p.where(k.isin(1, 2)).select("page_id", moved.alias("url"), F.when(k == 2, 302).otherwise(200).alias("status"), F.lit("text/html").alias("mime"), F.when(k == 2, c("url")).alias("location"))
+    starts = p.select("page_id", "url", F.array(origin).alias("origins"))
+    got = flows.read(starts, first.unionByName(then), robots.policies(robots_files(spark, sf_dir)), F.array(F.lit("/**")), F.array(F.lit("html")), "spindrift/1.0", within=("page_id",))
     return got.select("start", "code", "hops")
 
 
