@@ -513,8 +513,7 @@ g AS (SELECT site_key, u, position, held, CASE WHEN barred IS NOT NULL THEN barr
 
 def _governed(spark, sf_dir):
     p = accepted(spark, sf_dir).select("url", "html", "mime")
-    use = flows.judged(p).select("canonical_url", "n_bytes")
-    return flows.govern(flows.explore(p, p), robots.policies(robots_files(spark, sf_dir)), use, "spindrift/1.0", 12, 60_000)
+    return flows.govern(flows.explore(p, p), robots.policies(robots_files(spark, sf_dir)), "spindrift/1.0", 12, 60_000)
 
 
 @query(f"WITH {GOVERNED} SELECT site_key, u AS canonical_url, position, code, dispatched FROM g")

@@ -46,3 +46,16 @@ def test_markdown_of_pages_with_many_open_paragraphs(both):
     page = "<html><body><article><h1>one two three four five</h1>" + "<p><b>six.<br>" * 90 + "{}</article></body></html>"
     mine, theirs = both("markdown_status", "pages", [(i, f"https://e.test/{i}", page.format("y" * i)) for i in range(6)], PAGES)
     assert mine == theirs
+
+
+@pytest.mark.parametrize("name", ["site_governed", "site_outcomes"])
+def test_budgets_of_pages_with_one_url(both, name):
+    mine, theirs = both(name, "pages", repeated(24), PAGES)
+    assert mine == theirs
+
+
+def test_pages_with_one_url_spend_their_own_bytes(both):
+    """A site's first two pages share a URL; only both together leave the budget spent."""
+    rows = [(0, "https://h.example.test/en/a", HTML.format("y" * 20_000)), (1, "https://h.example.test/en/a", HTML.format("z" * 41_000)), (2, "https://h.example.test/en/b", HTML.format(""))]
+    mine, theirs = both("site_governed", "pages", rows, PAGES)
+    assert mine == theirs and sum("budget.exhausted" in r for r in mine) == 2
