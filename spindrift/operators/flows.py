@@ -157,16 +157,17 @@ def replay(recipes: DataFrame, responses: DataFrame, limit: int = discovery.LIMI
     return got.select("site_key", "canonical_url", "role", code.alias("code"), F.when(code.isNull(), c("artifact_id")).alias("artifact_id"), F.when(code.isNull(), c("content_digest")).alias("content_digest"))
 
 
-def recovered(previous: DataFrame, replayed: DataFrame, explored: DataFrame) -> DataFrame:
+def recovered(previous: DataFrame, replayed: DataFrame, explored: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
     """(site_key, canonical_url, content_digest, way): pages of a refresh, from the replay of the last state where it succeeded, else from a recovery exploration, else as they were.
 
     A site recovers as a whole: only where a replayed target failed is the exploration taken in.
+    Of pages that are as good and share a URL the first by the columns ``order`` of all three counts, then by digest.
     """
     failed = replayed.where("code is not null").select("site_key").distinct()
-    again = replayed.where("code is null").select("site_key", "canonical_url", "content_digest", F.lit(0).alias("_rank"))
-    fresh = explored.where("code is null").join(failed, "site_key", "left_semi").select("site_key", "canonical_url", "content_digest", F.lit(1).alias("_rank"))
-    old = previous.join(failed, "site_key", "left_semi").select("site_key", "canonical_url", "content_digest", F.lit(2).alias("_rank"))
-    best = F.min_by(F.struct("content_digest", "_rank"), "_rank").alias("b")
+    again = replayed.where("code is null").select("site_key", "canonical_url", "content_digest", F.lit(0).alias("_rank"), *order)
+    fresh = explored.where("code is null").join(failed, "site_key", "left_semi").select("site_key", "canonical_url", "content_digest", F.lit(1).alias("_rank"), *order)
+    old = previous.join(failed, "site_key", "left_semi").select("site_key", "canonical_url", "content_digest", F.lit(2).alias("_rank"), *order)
+    best = F.min_by(F.struct("content_digest", "_rank"), F.struct("_rank", *order, "content_digest")).alias("b")
     way = F.element_at(F.array(F.lit("replayed"), F.lit("recovered"), F.lit("kept")), F.col("b._rank") + 1)
     return again.unionByName(fresh).unionByName(old).groupBy("site_key", "canonical_url").agg(best).select("site_key", "canonical_url", "b.content_digest", way.alias("way"))
 

@@ -534,13 +534,13 @@ def site_outcomes(spark, sf_dir):
 c AS (SELECT site_key, url, d, 0 AS rank FROM x WHERE k <> '0' UNION ALL SELECT site_key, url, d || '!', 1 FROM x JOIN failed USING (site_key) WHERE k < '8' UNION ALL SELECT site_key, url, d || '?', 2 FROM x JOIN failed USING (site_key))
 SELECT site_key, url AS canonical_url, arg_min(d, rank) AS content_digest, CASE min(rank) WHEN 0 THEN 'replayed' WHEN 1 THEN 'recovered' ELSE 'kept' END AS way FROM c GROUP BY ALL""")
 def site_recovered(spark, sf_dir):
-    """Sites where a replayed page failed (digests beginning with 0) take in an exploration that saw only part, and keep the rest."""
+    """Sites where a replayed page failed (digests beginning with 0) take in an exploration that saw only part, and keep the rest; of pages with one URL the first counts."""
     c = F.col
     sha = F.sha2("html", 256)
-    p = accepted(spark, sf_dir).select(urls.site_key(c("url")).alias("site_key"), c("url").alias("canonical_url"), F.concat(F.lit("sha256:"), sha).alias("d"), F.substring(sha, 1, 1).alias("k"))
-    replayed = p.select("site_key", "canonical_url", c("d").alias("content_digest"), F.when(c("k") == "0", "gateway.timeout").alias("code"))
-    explored = p.where("k < '8'").select("site_key", "canonical_url", F.concat("d", F.lit("!")).alias("content_digest"), F.lit(None).cast("string").alias("code"))
-    return flows.recovered(p.select("site_key", "canonical_url", F.concat("d", F.lit("?")).alias("content_digest")), replayed, explored)
+    p = accepted(spark, sf_dir).select("page_id", urls.site_key(c("url")).alias("site_key"), c("url").alias("canonical_url"), F.concat(F.lit("sha256:"), sha).alias("d"), F.substring(sha, 1, 1).alias("k"))
+    replayed = p.select("page_id", "site_key", "canonical_url", c("d").alias("content_digest"), F.when(c("k") == "0", "gateway.timeout").alias("code"))
+    explored = p.where("k < '8'").select("page_id", "site_key", "canonical_url", F.concat("d", F.lit("!")).alias("content_digest"), F.lit(None).cast("string").alias("code"))
+    return flows.recovered(p.select("page_id", "site_key", "canonical_url", F.concat("d", F.lit("?")).alias("content_digest")), replayed, explored, ("page_id",))
 
 
 @query(f"""WITH {CANON}, l AS (SELECT url, origin, path, length(html) % 8 AS k, length(origin) % 6 AS o FROM ok),

@@ -59,3 +59,9 @@ def test_pages_with_one_url_spend_their_own_bytes(both):
     rows = [(0, "https://h.example.test/en/a", HTML.format("y" * 20_000)), (1, "https://h.example.test/en/a", HTML.format("z" * 41_000)), (2, "https://h.example.test/en/b", HTML.format(""))]
     mine, theirs = both("site_governed", "pages", rows, PAGES)
     assert mine == theirs and sum("budget.exhausted" in r for r in mine) == 2
+
+
+def test_of_recovered_pages_with_one_url_the_first_counts(both):
+    """The SQL leaves the order of such pages open; in one thread it takes them in that of the table."""
+    mine, theirs = both("site_recovered", "pages", repeated(24), PAGES)
+    assert mine == theirs and len(mine) == 6 * 8
