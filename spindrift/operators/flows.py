@@ -172,14 +172,17 @@ def recovered(previous: DataFrame, replayed: DataFrame, explored: DataFrame, ord
     return again.unionByName(fresh).unionByName(old).groupBy("site_key", "canonical_url").agg(best).select("site_key", "canonical_url", "b.content_digest", way.alias("way"))
 
 
-def refresh(previous: DataFrame, explored: DataFrame) -> DataFrame:
-    """Six-way change of each URL of a site between its last state(site_key, canonical_url, content_digest) and a new exploration; sites with a failed target are incomplete."""
+def refresh(previous: DataFrame, explored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Six-way change of each URL of a site between its last state(site_key, canonical_url, content_digest) and a new exploration; sites with a failed target are incomplete.
+
+    The columns ``by`` of both tell pages that share a URL apart: each has its own change, and is in the result.
+    """
     explored = explored.where("role <> 'other'")
-    current = explored.where("code is null").select("canonical_url", "content_digest")
+    current = explored.where("code is null").select("canonical_url", "content_digest", *by)
     failed = explored.where("code is not null").select(F.col("canonical_url").alias("url"))
     incomplete = explored.where("code is not null").select("site_key").distinct().withColumn("_part", F.lit(True))
     sites = previous.select(F.col("canonical_url").alias("url"), "site_key").unionByName(explored.select(F.col("canonical_url").alias("url"), "site_key")).distinct()
-    diff = state.diff(previous.select("canonical_url", "content_digest"), current, failed, complete=True)
+    diff = state.diff(previous.select("canonical_url", "content_digest", *by), current, failed, complete=True, by=by)
     tagged = diff.join(sites, "url").join(incomplete, "site_key", "left")
     kind = F.when((F.col("change_type") == "missing") & F.col("_part"), "unresolved").otherwise(F.col("change_type"))
-    return tagged.select("site_key", "url", kind.alias("change_type"))
+    return tagged.select("site_key", "url", kind.alias("change_type"), *by)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +22,20 @@ def failed_urls(attempts: DataFrame) -> DataFrame:
     return bad.groupBy("url").agg(F.array_sort(F.collect_set("attempt_id")).alias("attempt_ids"), F.array_sort(F.collect_set("code")).alias("codes"))
 
 
-def diff(previous: DataFrame, current: DataFrame, failed: DataFrame, complete: bool, key: str = "canonical_url") -> DataFrame:
+def diff(previous: DataFrame, current: DataFrame, failed: DataFrame, complete: bool, key: str = "canonical_url", by: tuple[str, ...] = ()) -> DataFrame:
     """(url, change_type, previous_digest, current_digest) over previous and current (key, content_digest) and failed(url).
 
+    The columns ``by`` of previous and current tell pages with the same key apart and are in the result, null where unknown.
+
     added, changed, unchanged by the current page; else failed if its attempts failed; else missing after
     a complete refresh, unresolved after an incomplete one.  One full outer and one full outer join.
     """
-    p = previous.select(F.col(key).alias("url"), F.col("content_digest").alias("previous_digest"))
-    c = current.select(F.col(key).alias("url"), F.col("content_digest").alias("current_digest"))
+    p = previous.select(F.col(key).alias("url"), F.col("content_digest").alias("previous_digest"), *by)
+    c = current.select(F.col(key).alias("_url"), F.col("content_digest").alias("current_digest"), *[F.col(b).alias(f"_{b}") for b in by])
     f = failed.select("url").distinct().withColumn("_failed", F.lit(True))
-    both = p.join(c, "url", "full_outer").join(f, "url", "full_outer")
+    same = reduce(and_, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by], F.col("url") == F.col("_url"))
+    pages = p.join(c, same, "full_outer").select("previous_digest", "current_digest", *[F.coalesce(b, f"_{b}").alias(b) for b in ("url", *by)])
+    both = pages.join(f, "url", "full_outer")
     kind = (
         F.when(F.col("current_digest").isNotNull() & F.col("previous_digest").isNull(), "added")
         .when(F.col("current_digest") == F.col("previous_digest"), "unchanged")
@@ -36,7 +43,7 @@ def diff(previous: DataFrame, current: DataFrame, failed: DataFrame, complete: b
         .when(F.col("_failed"), "failed")
         .otherwise("missing" if complete else "unresolved")
     )
-    return both.select("url", kind.alias("change_type"), "previous_digest", "current_digest")
+    return both.select("url", kind.alias("change_type"), "previous_digest", "current_digest", *by)
 
 
 def state_digest(state: DataFrame) -> DataFrame:

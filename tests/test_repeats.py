@@ -65,3 +65,8 @@ def test_of_recovered_pages_with_one_url_the_first_counts(both):
     """The SQL leaves the order of such pages open; in one thread it takes them in that of the table."""
     mine, theirs = both("site_recovered", "pages", repeated(24), PAGES)
     assert mine == theirs and len(mine) == 6 * 8
+
+
+def test_changes_of_pages_with_one_url(both):
+    mine, theirs = both("site_refresh", "pages", repeated(24), PAGES)
+    assert mine == theirs and len(mine) == 6 * (24 + 1 + 1)
