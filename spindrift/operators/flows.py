@@ -13,21 +13,22 @@ def navigate(starts: DataFrame, edges: DataFrame, most: int = 16) -> DataFrame:
     """(start, final_url, hops, stop_reason): each start followed along edges(url, n, target), n targets of a page and one of them.
 
     A page with no target ends the walk, with several or with one seen before it stops, and so it does
-    after ``most`` hops.  A join a hop for all starts together; walks that have stopped are spread over the
+    after ``most`` hops, or fewer where starts(url, most) say so.  A join a hop for all starts together; walks that have stopped are spread over the
     tasks and match nothing.
     """
     c, stopped = F.col, F.col("stop").isNotNull()
-    walk = starts.select(c("url").alias("start")).distinct().withColumns({"at": c("start"), "seen": F.array("start"), "stop": F.lit(None).cast("string")})
+    own = F.least(c("most"), F.lit(most)) if "most" in starts.columns else F.lit(most)
+    walk = starts.select(c("url").alias("start"), own.alias("most")).distinct().withColumns({"at": c("start"), "seen": F.array("start"), "stop": F.lit(None).cast("string")})
     step = edges.select(c("url").alias("_key"), "n", "target")
     for hop in range(most + 1):
         stop = (
             F.when(c("n").isNull(), "terminal_html").when(c("n") > 1, "multiple_navigation_targets").when(F.array_contains("seen", c("target")), "navigation_loop")
-            .when(F.lit(hop >= most), "navigation_hop_limit")
+            .when(F.lit(hop) >= c("most"), "navigation_hop_limit")
         )
         key = F.when(stopped, F.concat(F.lit("\u0000"), "start")).otherwise(c("at"))
         walk = walk.withColumn("_key", key).join(step, "_key", "left").withColumn("_stop", F.when(stopped, c("stop")).otherwise(stop))
         on = c("_stop").isNull()
-        walk = walk.select("start", F.when(on, c("target")).otherwise(c("at")).alias("at"), F.when(on, F.array_append("seen", c("target"))).otherwise(c("seen")).alias("seen"), c("_stop").alias("stop"))
+        walk = walk.select("start", "most", F.when(on, c("target")).otherwise(c("at")).alias("at"), F.when(on, F.array_append("seen", c("target"))).otherwise(c("seen")).alias("seen"), c("_stop").alias("stop"))
     return walk.select("start", c("at").alias("final_url"), (F.size("seen") - 1).cast("bigint").alias("hops"), c("stop").alias("stop_reason"))
 
 

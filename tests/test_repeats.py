@@ -70,3 +70,9 @@ def test_of_recovered_pages_with_one_url_the_first_counts(both):
 def test_changes_of_pages_with_one_url(both):
     mine, theirs = both("site_refresh", "pages", repeated(24), PAGES)
     assert mine == theirs and len(mine) == 6 * (24 + 1 + 1)
+
+
+@pytest.mark.parametrize("last", [0, 7, 42, 81, 83, 120])
+def test_walks_end_with_the_last_document(both, last):
+    mine, theirs = both("url_navigation", "documents", [(i,) for i in range(last + 1)], ["doc_id"])
+    assert mine == theirs and len(mine) == last // 40 + 1
